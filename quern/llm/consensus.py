@@ -27,7 +27,7 @@ def long_votes(articles: DataFrame, slots: int = SLOTS) -> DataFrame:
     return votes.where("mean != 0").select("id", "annotator", F.signum("mean").alias("vote"), (F.col("gold") * 2 - 1).cast("double").alias("gold"))
 
 
-def reweighted_votes(votes: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-4, use_gold: bool = True) -> DataFrame:
+def reweighted_votes(votes: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-3, use_gold: bool = True) -> DataFrame:
     """Reliability ``annotator, votes, accuracy, weight`` once weights and consensus no longer change.
 
     A round scores each article by its weighted votes, takes an annotator's own vote out of the score, and

@@ -22,9 +22,9 @@ from quern.llm.tokens import TOKENIZERS, counter, VOCABULARY
 #: Labelled documents the classifier is fitted on, at most (in the order of a hash of their id).
 LABELLED_SAMPLE = 4000
 FEATURES = 1 << 12
-STEPS = 40
+STEPS = 25
 #: A source counts as reached if it comes this close to its share.
-TOLERANCE = 1e-6
+TOLERANCE = 1e-5
 OTHER = "(other)"
 
 
@@ -157,7 +157,7 @@ def mix_sources(
         residuals.append(residual)
         past = list(residuals)
         moved = hard_tokens * descend(past, scale, np.eye(k), uses) + sums(lambda members, past=past: descend(past, scale, members, members @ uses))
-        done = np.abs(moved - at).max() <= 1e-7 * max(size, 1.0)
+        done = np.abs(moved - at).max() <= 1e-6 * max(size, 1.0)
         at = moved
         if done:
             break
