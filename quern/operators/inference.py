@@ -1,0 +1,116 @@
+"""Resampling, permutation and rank tests, corrections for many tests.
+
+Random draws are hashes of seed, resample and item, so a result can be replayed anywhere and a lost executor changes nothing.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from quern.operators.metrics import two_sided_p
+
+
+def _uniform(*parts: Column) -> Column:
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
+
+
+def poisson_weight(u: Column) -> Column:
+    """How often an item is drawn in a resample: Poisson(1) by inversion of ``u`` (the limit of drawing n of n with replacement)."""
+    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
+    return sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
+
+
+def resampled(items: DataFrame, id_col: str, resamples: int, seed: int) -> DataFrame:
+    """Items with ``b`` and ``w`` (draws of the item in resample b, at least one).  Each item makes its own rows; nothing is joined or shuffled."""
+    b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
+    return items.withColumn("b", b).withColumn("w", poisson_weight(_uniform(F.lit(seed), F.col("b"), F.col(id_col).cast("string")))).where("w > 0")
+
+
+def bootstrap_mean(items: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    """``groups, mean, low, high``: bootstrap mean and the 2.5 and 97.5 percentiles of the resampled means."""
+    per = resampled(items, id_col, resamples, seed).groupBy(*groups, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    return per.groupBy(*groups).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def bootstrap_auroc(scored: DataFrame, keys: list[str], id_col: str, resamples: int = 100, seed: int = 42, label: str = "label", score: str = "score_ai", bins: int = 2048) -> DataFrame:
+    """``keys, b, auroc`` with the same draws for all systems; resamples without both classes are left out.
+
+    Scores (in [0, 1]) are cut into ``bins`` steps first, within which they count as ties: a resample then moves at most that many rows per system, not the items.
+    """
+    cut = scored.withColumn("_s", F.floor(F.col(score) * bins))
+    draws = resampled(cut, id_col, resamples, seed)
+    g = draws.groupBy(*keys, "b", "_s").agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) != 1, F.col("w")).otherwise(0)).alias("neg"))
+    w = Window.partitionBy(*keys, "b")
+    below = F.sum("neg").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
+    ranked = g.withColumn("_r", F.col("pos") * (below + 0.5 * F.col("neg")))
+    out = ranked.groupBy(*keys, "b").agg(F.sum("_r").alias("r"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+    return out.where("p > 0 and n > 0").select(*keys, "b", (F.col("r") / (F.col("p") * F.col("n"))).alias("auroc"))
+
+
+def rank_stability(aurocs: DataFrame, system: str) -> DataFrame:
+    """``system, mean_place, p_ahead``: mean place over the resamples, and how often the system beats the one that follows it on average."""
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("auroc"), system))
+    ranks = aurocs.withColumn("place", place)
+    mean = ranks.groupBy(system).agg(F.avg("place").alias("mean_place"))
+    order = mean.withColumns({"next": F.lead(system).over(Window.orderBy("mean_place", system))})  # a row per system
+    a = ranks.join(order, system).select("b", system, "next", "place", "mean_place")
+    b = ranks.select("b", F.col(system).alias("next"), F.col("place").alias("other"))
+    return a.join(b, ["b", "next"], "left").groupBy(system).agg(F.first("mean_place").alias("mean_place"), F.avg((F.col("place") < F.col("other")).cast("double")).alias("p_ahead"))
+
+
+def sign_flip_test(items: DataFrame, groups: list[str], id_col: str, value: str, centre: float = 0.5, permutations: int = 500, seed: int = 7) -> DataFrame:
+    """``groups, p_value``: share of sign flips of ``value - centre`` whose mean is at least the observed one (one-sided)."""
+    d = items.select(*groups, F.col(id_col).alias("_i"), (F.col(value) - centre).alias("_d"))
+    flips = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_d", F.when(_uniform(F.lit(seed), F.col("b"), F.col("_i").cast("string")) < 0.5, F.col("_d")).otherwise(-F.col("_d")))
+    per = flips.groupBy(*groups, "b").agg(F.avg("_d").alias("m"))
+    seen = d.groupBy(*groups).agg(F.avg("_d").alias("seen"))
+    joined = per.join(seen, groups) if groups else per.crossJoin(F.broadcast(seen))  # one row per group
+    return joined.groupBy(*groups).agg(F.avg((F.col("m") >= F.col("seen") - 1e-12).cast("double")).alias("p_value"))
+
+
+def wilcoxon_greater(items: DataFrame, groups: list[str], value: str, centre: float = 0.5) -> DataFrame:
+    """``groups, n, w_plus, z, p_value``: one-sided signed-rank test by the normal approximation with tie correction; zeros are dropped."""
+    d = items.withColumn("_d", F.round(F.col(value) - centre, 12)).where("_d != 0")
+    ties = d.groupBy(*groups, F.abs("_d").alias("_a")).agg(F.count(F.lit(1)).alias("t"), F.count_if(F.col("_d") > 0).alias("up"))
+    w = Window.partitionBy(*groups).orderBy("_a").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ties.withColumn("rank", F.sum("t").over(w) - F.col("t") + (F.col("t") + 1) / 2)
+    g = ranked.groupBy(*groups).agg(F.sum("t").alias("n"), F.sum(F.col("up") * F.col("rank")).alias("w_plus"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("tie"))
+    n = F.col("n").cast("double")
+    var = n * (n + 1) * (2 * n + 1) / 24 - F.col("tie") / 48.0
+    z = F.when(var > 0, (F.col("w_plus") - n * (n + 1) / 4) / F.sqrt(var)).otherwise(F.lit(0.0))
+    tail = two_sided_p(F.col("z")) / 2
+    return g.withColumn("z", z).select(*groups, "n", "w_plus", "z", F.when(F.col("z") >= 0, tail).otherwise(1 - tail).alias("p_value"))
+
+
+def effect_sizes(items: DataFrame, groups: list[str], value: str, centre: float = 0.5) -> DataFrame:
+    """``groups, n, mean_diff, median_diff, sd, cohen_d, hedges_g, share_above``; d and g are null without spread."""
+    d = items.withColumn("_d", F.col(value) - centre)
+    g = d.groupBy(*groups).agg(F.count("_d").alias("n"), F.avg("_d").alias("mean_diff"), F.median("_d").alias("median_diff"), F.stddev_samp("_d").alias("sd"), F.avg((F.col("_d") > 0).cast("double")).alias("share_above"))
+    cohen = F.when(F.col("sd") > 0, F.col("mean_diff") / F.col("sd"))
+    return g.select(*groups, "n", "mean_diff", "median_diff", "sd", cohen.alias("cohen_d"), (cohen * (1 - 3.0 / (4 * F.col("n") - 1))).alias("hedges_g"), "share_above")
+
+
+def benjamini_hochberg(tests: DataFrame, p: str, tie: list[str]) -> DataFrame:
+    """Column ``p_bh``.  One row per test; there are few."""
+    up = Window.orderBy(p, *tie)
+    ranked = tests.withColumns({"_k": F.row_number().over(up), "_m": F.count(F.lit(1)).over(Window.partitionBy())})
+    step = F.col(p) * F.col("_m") / F.col("_k")
+    return ranked.withColumn("p_bh", F.least(F.lit(1.0), F.min(step).over(Window.orderBy("_k").rowsBetween(0, Window.unboundedFollowing)))).drop("_k", "_m")
+
+
+def holm(tests: DataFrame, p: str, tie: list[str]) -> DataFrame:
+    """Column ``p_holm``.  One row per test; there are few."""
+    up = Window.orderBy(p, *tie)
+    ranked = tests.withColumns({"_k": F.row_number().over(up), "_m": F.count(F.lit(1)).over(Window.partitionBy())})
+    step = F.least(F.lit(1.0), F.col(p) * (F.col("_m") - F.col("_k") + 1))
+    return ranked.withColumn("p_holm", F.max(step).over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))).drop("_k", "_m")
+
+
+def kendall_tau(ranks: DataFrame, item: str, a: str, b: str) -> DataFrame:
+    """One row ``tau`` of two rankings of the same few items; ties add nothing."""
+    x, y = ranks.alias("x"), ranks.alias("y")
+    pairs = x.join(y, F.col(f"x.{item}") < F.col(f"y.{item}"))  # items are systems: few
+    agree = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")) * F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
+    return pairs.agg((F.sum(agree) / F.count(F.lit(1))).alias("tau"))
