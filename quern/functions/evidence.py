@@ -1,0 +1,53 @@
+"""Scores of explanations and verdicts as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from quern.functions.text import distinct_ratio
+
+#: Phrases and words that the offline scorer counts for either side.
+AI_WORDS = ("moreover", "furthermore", "conclusion", "overall", "additionally")
+HUMAN_WORDS = ("honestly", "hot take", "lol", "edit", "update")
+
+
+def clamp(c: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    """NULL stays NULL."""
+    return F.when(c.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), c)))
+
+
+def occurrences(text: Column, word: str) -> Column:
+    return ((F.length(text) - F.length(F.replace(text, F.lit(word), F.lit("")))) / len(word)).cast("int")
+
+
+def keyword_score(text: Column) -> Column:
+    """Deterministic offline scorer: logistic of the AI-side keywords minus the human-side ones; 0.5 for a null text."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    balance = sum((occurrences(low, w) for w in AI_WORDS), F.lit(0)) - sum((occurrences(low, w) for w in HUMAN_WORDS), F.lit(0))
+    return 1 / (1 + F.exp(-balance.cast("double")))
+
+
+def label_agreement(kind: Column, label: Column) -> Column:
+    """1 if the type names the label's class, -1 if it names the other, 0 for any other type."""
+    return F.when(F.lower(kind) == "ai", F.when(label == 1, 1).otherwise(-1)).when(F.lower(kind) == "human", F.when(label == 0, 1).otherwise(-1)).otherwise(0)
+
+
+def why_quality(tokens: Column, best: int = 20, most: int = 60) -> Column:
+    """A tent over the number of words (1 at ``best``, 0 from ``most``) times the share of distinct three-word runs."""
+    n = F.size(tokens)
+    tent = F.when(n <= best, n / float(best)).otherwise(F.greatest(F.lit(0.0), (most - n) / float(most - best)))
+    return tent * distinct_ratio(tokens, 3)
+
+
+def length_gate(tokens: Column) -> Column:
+    """Quadratic rise to 50 words, flat to 150, linear fall to 0 at 200, times the share of distinct three-word runs."""
+    n = F.size(tokens).cast("double")
+    ramp = F.when(n < 50, (n / 50) ** 2).when(n <= 150, 1.0).otherwise(F.greatest(F.lit(0.0), (200 - n) / 50))
+    return ramp * distinct_ratio(tokens, 3)
+
+
+def word_recall(annotation: Column, verdict: Column) -> Column:
+    """Share of the annotation's distinct words that the verdict names; 0 without words."""
+    a = F.array_distinct(annotation)
+    return F.when(F.size(a) > 0, F.size(F.array_intersect(a, verdict)) / F.size(a)).otherwise(F.lit(0.0))

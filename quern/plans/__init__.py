@@ -4,7 +4,7 @@ from importlib import import_module
 
 from quern.plans.registry import ORACLE, QUERIES
 
-for _name in ("metrics_q", "corpus_q", "inference_q"):
+for _name in ("metrics_q", "corpus_q", "inference_q", "text_q"):
     import_module(f"quern.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
