@@ -2,9 +2,12 @@
 
 from importlib import import_module
 
+from quern import ship_by_value
 from quern.plans.registry import ORACLE, QUERIES
 
-for _name in ("metrics_q", "corpus_q", "inference_q", "text_q"):
+ship_by_value()
+
+for _name in ("metrics_q", "corpus_q", "inference_q", "text_q", "wire_q"):
     import_module(f"quern.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]
