@@ -123,7 +123,7 @@ def weak_label(s: list[float]) -> int | None:
     """Class of a text whose statistics leave no doubt, else None."""
     g = lambda name: s[_AT[name]]
     many = np.expm1(g("lines")) >= 3
-    if g("vowelless") > 0.4 or g("symbol_ratio") > 0.5 or g("replacement") > 0.2 or g("mixed_words") > 0.35 or g("mean_word") > 30 or (g("single_characters") > 0.25 and g("marked_lines") < 0.5):
+    if g("vowelless") > 0.4 or g("symbol_ratio") > 0.5 or g("replacement") > 0.2 or g("mixed_words") > 0.35 or g("mean_word") > 30 or (g("single_characters") > 0.25 and g("marked_lines") < 0.5 and g("cell_regularity") < 0.75):
         return 3
     if g("top_word") > 0.2 and g("distinct_ratio") < 0.25 and g("common_ratio") < 0.1:
         return 3

@@ -115,7 +115,7 @@ def token_budget(examples: DataFrame, tokenizers: str = TOKENIZERS) -> DataFrame
 
     Spelling variants are brought together; nulls form a slice of their own (the value is null);
     ``slice`` says what a row sums over (``dataset+language+domain``, ``dataset``, ``language``, ``domain``, ``all``).
-    Counting is map-side; the only shuffle carries partial sums.  An empty table gives the ``all`` row alone, with zeros.
+    Counting is map-side; the only shuffle carries partial sums.  An empty table gives no rows.
     """
     counted = with_token_counts(
         examples.select(
