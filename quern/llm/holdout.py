@@ -23,6 +23,8 @@ HOLDOUT = (
     ("list", "* 3 large pots (steel)\n* 12 spoons\n* 4 bowls\n* tea towels\n* cutting board"),
     ("list", "Tische; Stühle; Lampen; Teppiche; Schränke; Regale; Spiegel; Betten; Kissen; Decken"),
     ("list", "+ violín\n+ dos guitarras\n+ piano viejo\n+ tambor\n+ flauta dulce\n+ trompeta"),
+    ("list", "- The bridge was closed in May, and nobody knew why.\n- Two of the boats were sold to a man from the coast.\n- She said that the rest would follow in spring.\n- Nothing was heard of it after that."),
+    ("list", "1. Close the valve before you open the lid.\n2. Wait until the light has gone out.\n3. Take the filter out and wash it under cold water.\n4. Put everything back in the same order."),
     ("table", "name,age,city\nAnna,31,Prague\nPaul,28,Vienna\nMaria,45,Madrid\nJan,19,Brno"),
     ("table", "| item | price | stock |\n|---|---|---|\n| chair | 20.5 | 4 |\n| table | 99.0 | 1 |\n| lamp | 12.0 |  |"),
     ("table", "year\tsales\tcosts\n2001\t514\t320\n2002\t602\t411\n2003\t\t389\n2004\t734\t402"),

@@ -129,6 +129,8 @@ def weak_label(s: list[float]) -> int | None:
         return 3
     if g("common_ratio") < 0.02 and not many and g("sentence_ends") < 0.01 and g("items_per_100") < 5 and g("word_like") > 0.7:
         return 3
+    if many and g("marked_lines") > 0.9:
+        return 1
     if many and g("common_ratio") < 0.08:
         if g("cell_regularity") > 0.75 and g("cells_per_line") >= 2 and g("marked_lines") < 0.2:
             return 2
