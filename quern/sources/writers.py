@@ -22,7 +22,7 @@ def tsv_cell(c: Column, kind: str) -> Column:
 
 
 def write_tsv(rows: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    rows.select(*[tsv_cell(F.col(c), k).alias(c) for c, k in rows.dtypes]).write.mode(mode).option("header", True).option("sep", "\t").option("quote", "").csv(path)
+    rows.select(*[tsv_cell(F.col(c), k).alias(c) for c, k in rows.dtypes]).write.mode(mode).option("header", True).option("sep", "\t").option("quote", "").option("emptyValue", "").csv(path)
 
 
 def write_splits(rows: DataFrame, assignments: DataFrame, path: str, key: str, shards: int = 1, mode: str = "errorifexists") -> None:

@@ -15,6 +15,11 @@ def event_stream(spark: SparkSession, folder: str, schema, files_per_trigger: in
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
+def with_event_time(events: DataFrame, time: str, delay: str) -> DataFrame:
+    """Watermark on ``time``; timestamps without a zone are taken in the session's."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
+
+
 def ema_stream(events: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
     """``key, ema, visits`` after each micro-batch, for keys with new rows; state is two numbers per key.
 
@@ -37,13 +42,13 @@ def ema_stream(events: DataFrame, key: str, order: list[str], value: str, alpha:
 def windowed_counts(events: DataFrame, time: str, keys: list[str], width: str, delay: str, slide: str | None = None) -> DataFrame:
     """Counts and sums by window and keys; a window is final once the watermark has passed it, later rows are left out."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
-    return events.withWatermark(time, delay).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"))
+    return with_event_time(events, time, delay).groupBy(w, *keys).agg(F.count(F.lit(1)).alias("rows"), F.sum("value").alias("total"))
 
 
 def session_counts(events: DataFrame, time: str, keys: list[str], gap: str, delay: str) -> DataFrame:
-    return events.withWatermark(time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("rows"))
+    return with_event_time(events, time, delay).groupBy(F.session_window(time, gap), *keys).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def without_repeats(events: DataFrame, time: str, keys: list[str], delay: str) -> DataFrame:
     """First of rows that repeat ``keys`` within the watermark; state is dropped as the watermark moves on."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return with_event_time(events, time, delay).dropDuplicatesWithinWatermark(keys)
