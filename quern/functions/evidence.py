@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quern.functions.text import distinct_ratio
+from quern.functions.text import distinct_ratio, let
 
 #: Phrases and words that the offline scorer counts for either side.
 AI_WORDS = ("moreover", "furthermore", "conclusion", "overall", "additionally")
@@ -35,16 +35,24 @@ def label_agreement(kind: Column, label: Column) -> Column:
 
 def why_quality(tokens: Column, best: int = 20, most: int = 60) -> Column:
     """A tent over the number of words (1 at ``best``, 0 from ``most``) times the share of distinct three-word runs."""
-    n = F.size(tokens)
-    tent = F.when(n <= best, n / float(best)).otherwise(F.greatest(F.lit(0.0), (most - n) / float(most - best)))
-    return tent * distinct_ratio(tokens, 3)
+
+    def quality(t: Column) -> Column:
+        n = F.size(t)
+        tent = F.when(n <= best, n / float(best)).otherwise(F.greatest(F.lit(0.0), (most - n) / float(most - best)))
+        return tent * distinct_ratio(t, 3)
+
+    return let(tokens, quality)
 
 
 def length_gate(tokens: Column) -> Column:
     """Quadratic rise to 50 words, flat to 150, linear fall to 0 at 200, times the share of distinct three-word runs."""
-    n = F.size(tokens).cast("double")
-    ramp = F.when(n < 50, (n / 50) ** 2).when(n <= 150, 1.0).otherwise(F.greatest(F.lit(0.0), (200 - n) / 50))
-    return ramp * distinct_ratio(tokens, 3)
+
+    def gate(t: Column) -> Column:
+        n = F.size(t).cast("double")
+        ramp = F.when(n < 50, (n / 50) ** 2).when(n <= 150, 1.0).otherwise(F.greatest(F.lit(0.0), (200 - n) / 50))
+        return ramp * distinct_ratio(t, 3)
+
+    return let(tokens, gate)
 
 
 def word_recall(annotation: Column, verdict: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,11 @@ STOP_WORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "not",
 WHITE = r"(?U)\s+"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.  Used in a lambda, an expression would else be computed again for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def squeeze(c: Column) -> Column:
     """White space collapsed to single blanks and stripped, also no-break and other Unicode blanks."""
     return F.trim(F.regexp_replace(c, WHITE, " "))
@@ -66,21 +73,22 @@ def normalized_explanation(c: Column) -> Column:
 
 def word_ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, in order; none for shorter lists."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) >= n, F.transform(F.sequence(F.lit(1), F.size(t) - (n - 1)), lambda i: F.array_join(F.slice(t, i, n), " "))).otherwise(none))
 
 
 def ngrams_upto(tokens: Column, longest: int) -> Column:
-    return F.flatten(F.array(*[word_ngrams(tokens, n) for n in range(1, longest + 1)]))
+    return let(tokens, lambda t: F.flatten(F.array(*[word_ngrams(t, n) for n in range(1, longest + 1)])))
 
 
 def char_ngrams(c: Column, n: int) -> Column:
-    return F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substr(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+    return let(c, lambda t: F.when(F.length(t) >= n, F.transform(F.sequence(F.lit(1), F.length(t) - (n - 1)), lambda i: F.substr(t, i, F.lit(n)))).otherwise(none))
 
 
 def distinct_ratio(tokens: Column, n: int) -> Column:
     """Share of distinct n-grams; 1 where there is none."""
-    g = word_ngrams(tokens, n)
-    return F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(1.0))
+    return let(word_ngrams(tokens, n), lambda g: F.when(F.size(g) > 0, F.size(F.array_distinct(g)) / F.size(g)).otherwise(F.lit(1.0)))
 
 
 def content_tokens(c: Column) -> Column:
@@ -90,8 +98,7 @@ def content_tokens(c: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct values; two empty ones are equal."""
-    both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return F.when(either > 0, both / either).otherwise(F.lit(1.0))
+    return let(F.size(F.array_union(a, b)), lambda either: F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(F.lit(1.0)))
 
 
 def escape_document(c: Column) -> Column:

@@ -20,7 +20,7 @@ def tfidf(rows: DataFrame, id_col: str, tokens: Column, longest: int = 1, min_df
 
     Terms are counted per document before the shuffle by term; N is one row.
     """
-    docs = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), ngrams_upto(tokens, longest).alias("_g"))
+    docs = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (tokens if longest == 1 else ngrams_upto(tokens, longest)).alias("_g"))
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
     tf = docs.select("id", F.explode("_g").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)

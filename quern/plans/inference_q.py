@@ -157,10 +157,10 @@ def f25(spark, d):
     return table(spark, d, "expert_articles").select("id", F.round(F.when(F.size(known) > 0, mean).otherwise(0.5), 9).alias("confidence"))
 
 
-@query("F33_population_variance", f"SELECT id, count(*) AS n, round(coalesce(CASE WHEN count(*) > 1 THEN var_pop(score_ai) END, 0.0), 9) AS variance FROM predictions WHERE {VALID} GROUP BY id")
+@query("F33_population_variance", f"SELECT id, count(*) AS n, round(coalesce(CASE WHEN count(*) > 1 THEN var_pop(score_ai) END, 0.0), 6) AS variance FROM predictions WHERE {VALID} GROUP BY id")
 def f33(spark, d):
     v = F.when(F.count(F.lit(1)) > 1, F.var_pop("score_ai")).otherwise(0.0)
-    return table(spark, d, "predictions").where(M.is_valid()).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(v, 9).alias("variance"))
+    return table(spark, d, "predictions").where(M.is_valid()).groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.round(v, 6).alias("variance"))
 
 
 @query("F34_variance_top_share", f"WITH v AS (SELECT dataset, id, var_pop(score_ai) AS v FROM predictions WHERE {VALID} GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY round(v, 9) DESC, id) AS k, count(*) OVER (PARTITION BY dataset) AS n FROM v) SELECT dataset, id FROM r WHERE k <= greatest(1, round_even(0.1 * n, 0))")

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.functions.text import let
+
 Scorer = Callable[[list[str]], list[float]]
 REGISTRY: dict[str, Callable[..., Scorer]] = {}
 OUT = "id string, detector string, score_ai double, error string, runtime_s double"
@@ -94,8 +96,12 @@ def score_distinct(rows: DataFrame, text_col: str, name: str, **options) -> Data
 
 def word_chunks(words: Column, size: int, stride: int) -> Column:
     """Overlapping slices of a list of words; the last one is the first that reaches the end."""
-    starts = F.when(F.size(words) <= size, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), F.ceil((F.size(words) - size) / stride).cast("int") * stride + 1, F.lit(stride)))
-    return F.transform(starts, lambda s: F.slice(words, s, size))
+    def cut(w: Column) -> Column:
+        last = F.ceil((F.size(w) - size) / stride).cast("int") * stride + 1
+        starts = F.when(F.size(w) <= size, F.array(F.lit(1))).otherwise(F.sequence(F.lit(1), last, F.lit(stride)))
+        return F.transform(starts, lambda s: F.slice(w, s, size))
+
+    return let(words, cut)
 
 
 def fit_feature_model(rows: DataFrame, features: list[str], label: str):
