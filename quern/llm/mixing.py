@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import canonical, checkpoint, words_of
+from quern.llm.common import canonical, checkpoint, hash_sample, words_of
 from quern.llm.tokens import TOKENIZERS, counter, VOCABULARY
 
 #: Labelled documents the classifier is fitted on, at most (in the order of a hash of their id).
@@ -97,7 +97,7 @@ def mix_sources(
     known = F.lit(k - 1) if index is None else F.coalesce(F.try_element_at(index, source), F.lit(k - 1))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.when(source.isNotNull(), known).otherwise(F.lit(-1)).cast("int").alias("known"))
 
-    labelled = rows.where("known >= 0 and text is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    labelled = hash_sample(rows.where("known >= 0 and text is not null"), F.xxhash64("doc_id"), sample)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
