@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import process_cache
+from quern.llm.common import hash_sample, process_cache
 
 from quern.llm.trees import BoostedTrees
 
@@ -153,8 +153,8 @@ def _sample(examples: DataFrame, id_col: str, text_col: str, rows: int) -> tuple
             got = [(s, weak_label(s)) for s in map(statistics, b["text"])]
             yield pd.DataFrame([(k, s) for s, k in got if k is not None], columns=["k", "s"])
 
-    texts = examples.select(F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.length(F.trim(text_col)) >= LEAST_LENGTH)
-    picked = texts.orderBy("h", "text").limit(rows).select("text")
+    texts = examples.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length(F.trim("text")) >= LEAST_LENGTH)
+    picked = hash_sample(texts, F.xxhash64("id", "text"), rows).select("text")
     got = picked.mapInPandas(run, "k int, s array<double>").collect()  # at most `rows` rows
     return np.array([r["s"] for r in got], float).reshape(len(got), len(FEATURES)), np.array([r["k"] for r in got], int)
 
