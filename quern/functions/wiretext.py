@@ -1,0 +1,74 @@
+"""Column functions for model responses, explanations and free-text numbers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Phrases that make a comment depend on its context, and forms that explain nothing.
+DEPENDENT = ("as above", "see above", "mentioned earlier", "same as", "previous comment", "again here", "like before")
+TAUTOLOGY = r"(?i)\b(sounds|seems|feels) (ai|human|generated|robotic)\b"
+
+
+def strip_return_token(c: Column) -> Column:
+    return F.regexp_replace(c, r"<\|return\|>$", "")
+
+
+def normalize_attribute_spacing(c: Column) -> Column:
+    """Blanks inside the type and score attributes dropped, types in their canonical case."""
+    out = F.regexp_replace(c, r'(?i)type="\s*ai\s*"', 'type="AI"')
+    out = F.regexp_replace(out, r'(?i)type="\s*human\s*"', 'type="human"')
+    return F.regexp_replace(out, r'score="\s*([0-9]*\.?[0-9]+)\s*"', 'score="$1"')
+
+
+def collapse_double_entities(c: Column, passes: int = 6) -> Column:
+    for _ in range(passes):
+        c = F.regexp_replace(c, r"&amp;(amp|lt|gt|quot|apos);", "&$1;")
+    return c
+
+
+def json_object(c: Column, schema: str) -> Column:
+    """The object between the first ``{`` and the last ``}`` of a response, parsed; null if it doesn't parse."""
+    return F.from_json(F.regexp_extract(c, r"(?s)(\{.*\})", 1), schema)
+
+
+def probability(c: Column, field: str = "p_ai") -> Column:
+    """A field of a JSON response, else the first number after its name, within 0..1."""
+    n = F.coalesce(F.get_json_object(c, f"$.{field}").try_cast("double"), F.regexp_extract(c, rf'{field}"?\s*[:=]\s*([0-9.]+)', 1).try_cast("double"))
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), n))
+
+
+def needs_rewrite(c: Column) -> Column:
+    """An explanation that is too short or says no more than its label."""
+    n = F.length(F.trim(F.coalesce(c, F.lit(""))))
+    return (n < 20) | ((n < 60) & F.coalesce(c, F.lit("")).rlike(TAUTOLOGY))
+
+
+def is_standalone(c: Column) -> Column:
+    low = F.lower(F.coalesce(c, F.lit("")))
+    out = F.lit(True)
+    for phrase in DEPENDENT:
+        out = out & ~F.contains(low, F.lit(phrase))
+    return out
+
+
+def curly_quotes(c: Column) -> Column:
+    """Straight quotes as typographic ones: opening at the start or after a blank or bracket, else closing; apostrophes close."""
+    out = F.regexp_replace(c, r'(^|[\s(\[])"', "$1“")
+    out = F.replace(out, F.lit('"'), F.lit("”"))
+    out = F.regexp_replace(out, r"(^|[\s(\[])'", "$1‘")
+    return F.replace(out, F.lit("'"), F.lit("’"))
+
+
+def replace_first(c: Column, old: Column, new: Column) -> Column:
+    """The first occurrence only."""
+    at = F.instr(c, old)
+    return F.when(at > 0, F.concat(F.substr(c, F.lit(1), at - 1), new, F.substr(c, at + F.length(old), F.length(c)))).otherwise(c)
+
+
+def truncate_words(words: Column, longest: int, lookback: int = 25) -> Column:
+    """The first ``longest`` words, cut back by at most ``lookback`` words to the end of a sentence if there is one."""
+    head = F.slice(words, 1, longest)
+    tail = F.reverse(F.slice(head, F.greatest(F.size(head) - lookback + 1, F.lit(1)), lookback))
+    back = F.array_position(F.transform(tail, lambda w: w.rlike(r"[.!?]$")), True)
+    return F.when(F.size(words) <= longest, words).when(back > 0, F.slice(head, F.lit(1), (F.size(head) - back + 1).cast("int"))).otherwise(head)
