@@ -1,52 +1,175 @@
 """Resampling, permutation and rank tests, corrections for many tests.
 
 Random draws are hashes of seed, resample and item, so a result can be replayed anywhere and a lost executor changes nothing.
+Thousands of draws per item are made in numpy, in Arrow batches: as rows they would be thousands of times the input.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quern.operators.metrics import two_sided_p
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 30)).cast("double") / float(1 << 30)
+#: Draws made by a task, and resamples and items held at a time.
+TASK_DRAWS, BLOCK, ROWS, CHUNK, HELD = 1 << 28, 128, 4096, 512, 1 << 22
+#: Steps of the distribution of Poisson(1), as 32-bit numbers: as many as that width can tell apart.
+POISSON = tuple(np.uint32(s) for s in (int(sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) * 2**32) for k in range(12)) if s < 2**32 - 1)
+
 
+def _streams(count: int, salt: int) -> np.ndarray:
+    """Offsets of the hashes of an item, one per draw or set of draws."""
+    with np.errstate(over="ignore"):
+        return _mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
 
-def poisson_weight(u: Column) -> Column:
-    """How often an item is drawn in a resample: Poisson(1) by inversion of ``u`` (the limit of drawing n of n with replacement)."""
-    steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119)
-    return sum(((u >= s).cast("int") for s in steps[1:]), (u >= steps[0]).cast("int"))
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Finalizer of splitmix64, in place."""
+    with np.errstate(over="ignore"):
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+    return x
 
-def resampled(items: DataFrame, id_col: str, resamples: int, seed: int) -> DataFrame:
-    """Items with ``b`` and ``w`` (draws of the item in resample b, at least one).  Each item makes its own rows; nothing is joined or shuffled."""
-    b = F.explode(F.sequence(F.lit(0), F.lit(resamples - 1)))
-    return items.withColumn("b", b).withColumn("w", poisson_weight(_uniform(F.lit(seed), F.col("b"), F.col(id_col).cast("string")))).where("w > 0")
 
+def poisson_draws(items: np.ndarray, resamples: int, first: int, count: int) -> np.ndarray:
+    """How often each item (its 64-bit hash) is drawn in the resamples ``first .. first + count - 1``: Poisson(1) by inversion (the limit of drawing n of n with replacement).
 
-def bootstrap_mean(items: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 200, seed: int = 42) -> DataFrame:
+    Rows are items.  A hash holds two draws of 32 bits; ``first`` is even.
+    """
+    streams = _streams((resamples + 1) // 2, 1)[first // 2 : (first + count + 1) // 2]
+    out = np.empty((len(items), 2 * len(streams)), dtype=np.uint8)
+    for at in range(0, len(items), CHUNK):
+        with np.errstate(over="ignore"):
+            u = _mixed(items[at : at + CHUNK, None] + streams).view(np.uint32)
+        w = out[at : at + CHUNK]
+        np.greater_equal(u, POISSON[0], out=w.view(bool))
+        for step in POISSON[1:]:
+            w += u >= step
+    return out[:, :count]
+
+
+def sign_draws(items: np.ndarray, permutations: int, first: int, count: int) -> np.ndarray:
+    """0 or 1 per item (rows) and permutation ``first .. first + count - 1``; a hash holds 64, ``first`` is a multiple of 64."""
+    streams = _streams((permutations + 63) // 64, 2)[first // 64 : (first + count + 63) // 64]
+    with np.errstate(over="ignore"):
+        h = _mixed(items[:, None] + streams)
+    return np.unpackbits(h.view(np.uint8), axis=1)[:, :count]
+
+
+def _tasks(items: DataFrame, draws: int, task_draws: int) -> int:
+    """Tasks for ``draws`` draws of each item: the work lies in the draws, however few bytes the items have."""
+    return max(1, -(-items.count() * draws // task_draws))
+
+
+def _parts(batches) -> pa.Table | None:
+    got = list(batches)
+    return pa.Table.from_batches(got) if got else None
+
+
+def _drawn_sums(items: DataFrame, groups: list[str], draws: int, task_draws: int, draw) -> DataFrame:
+    """``groups, b, s, w``: sums of ``_v`` weighted by ``draw`` and of the weights, per draw.  ``items`` has ``groups, _h, _v``; a task sends one row per group."""
+    rows = items.withColumn("_g", F.xxhash64(*groups) if groups else F.lit(0).cast("bigint"))
+    kept = [f for f in rows.schema.fields if f.name in groups]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _parts(batches)
+        if t is None or not t.num_rows:
+            return
+        group, h, v = t["_g"].to_numpy(), t["_h"].to_numpy().view(np.uint64), t["_v"].to_numpy()
+        for g in np.unique(group):
+            at = np.flatnonzero(group == g)
+            s, w = np.zeros(draws), np.zeros(draws)
+            for part in (at[k : k + ROWS] for k in range(0, len(at), ROWS)):
+                both = np.stack([v[part], np.ones(len(part))])
+                for b in range(0, draws, BLOCK):
+                    x = both @ draw(h[part], draws, b, min(BLOCK, draws - b)).astype(np.float64)
+                    s[b : b + BLOCK] += x[0]
+                    w[b : b + BLOCK] += x[1]
+            one = pa.table({c: pa.array([x.tolist()], pa.list_(pa.float64())) for c, x in (("s", s), ("w", w))})
+            for f in reversed(kept):
+                one = one.add_column(0, t.schema.field(f.name), t[f.name].slice(at[0], 1))
+            yield from one.to_batches()
+
+    made = rows.repartition(_tasks(items, draws, task_draws), "_h").mapInArrow(sums, StructType([*kept, StructField("s", ArrayType(DoubleType())), StructField("w", ArrayType(DoubleType()))]))
+    each = made.select(*groups, F.posexplode(F.arrays_zip("s", "w")).alias("b", "x"))
+    return each.groupBy(*groups, "b").agg(F.sum("x.s").alias("s"), F.sum("x.w").alias("w"))
+
+
+def _hash(seed: int, id_col: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+
+
+def bootstrap_mean(items: DataFrame, groups: list[str], id_col: str, value: str, resamples: int = 200, seed: int = 42, task_draws: int = TASK_DRAWS) -> DataFrame:
     """``groups, mean, low, high``: bootstrap mean and the 2.5 and 97.5 percentiles of the resampled means."""
-    per = resampled(items, id_col, resamples, seed).groupBy(*groups, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
+    rows = items.where(F.col(value).isNotNull()).select(*groups, _hash(seed, id_col).alias("_h"), F.col(value).cast("double").alias("_v"))
+    per = _drawn_sums(rows, groups, resamples, task_draws, poisson_draws).where("w > 0").withColumn("m", F.col("s") / F.col("w"))
     return per.groupBy(*groups).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
-def bootstrap_auroc(scored: DataFrame, keys: list[str], id_col: str, resamples: int = 100, seed: int = 42, label: str = "label", score: str = "score_ai", bins: int = 2048) -> DataFrame:
-    """``keys, b, auroc`` with the same draws for all systems; resamples without both classes are left out.
+def bootstrap_auroc(scored: DataFrame, keys: list[str], id_col: str, resamples: int = 100, seed: int = 42, label: str = "label", score: str = "score_ai", task_draws: int = TASK_DRAWS) -> DataFrame:
+    """``keys, b, auroc`` with the same draws for all systems; resamples without both classes are left out.  Rows without label or score don't count.
 
-    Scores (in [0, 1]) are cut into ``bins`` steps first, within which they count as ties: a resample then moves at most that many rows per system, not the items.
+    Exact over distinct scores, in two levels: a task holds a range of scores and sends, per resample, the drawn classes and the pairs in order of that range;
+    what lies below the range is added after.  Ties at either end of a range may go on in the next and are sent apart, so that a score that many rows share
+    is split over tasks.
     """
-    cut = scored.withColumn("_s", F.floor(F.col(score) * bins))
-    draws = resampled(cut, id_col, resamples, seed)
-    g = draws.groupBy(*keys, "b", "_s").agg(F.sum(F.when(F.col(label) == 1, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(F.col(label) != 1, F.col("w")).otherwise(0)).alias("neg"))
-    w = Window.partitionBy(*keys, "b")
-    below = F.sum("neg").over(w.orderBy("_s").rowsBetween(Window.unboundedPreceding, 0)) - F.col("neg")
-    ranked = g.withColumn("_r", F.col("pos") * (below + 0.5 * F.col("neg")))
-    out = ranked.groupBy(*keys, "b").agg(F.sum("_r").alias("r"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return out.where("p > 0 and n > 0").select(*keys, "b", (F.col("r") / (F.col("p") * F.col("n"))).alias("auroc"))
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(
+        *keys, F.xxhash64(*keys).alias("_g") if keys else F.lit(0).cast("bigint").alias("_g"), (F.col(score) + 0.0).cast("double").alias("_s"), _hash(seed, id_col).alias("_h"), (F.col(label) == 1).alias("_y")
+    )
+    kept = [f for f in rows.schema.fields if f.name in keys]
+    names = [*keys, "_g"]
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = _parts(batches)
+        if t is None or not t.num_rows:
+            return
+        group, scores, h, y = t["_g"].to_numpy(), t["_s"].to_numpy(), t["_h"].to_numpy().view(np.uint64), t["_y"].to_numpy()
+        for g in np.unique(group):
+            mine = np.flatnonzero(group == g)
+            mine = mine[np.argsort(scores[mine], kind="stable")]
+            s = scores[mine]
+            first, last = s == s[0], s == s[-1]
+            for run, at in ((True, mine[first]), (False, mine[~first & ~last]), *([] if first[-1] else [(True, mine[last])])):
+                if not len(at):
+                    continue
+                p, n, r = (np.zeros(resamples) for _ in range(3))
+                yes, no = at[y[at]], at[~y[at]]
+                low, high = (np.searchsorted(scores[no], scores[yes], side) for side in ("left", "right"))
+                wide = max(2, min(BLOCK, HELD // max(1, len(at)) // 2 * 2))
+                for b in range(0, resamples, wide):
+                    k = min(wide, resamples - b)
+                    wy, wn = poisson_draws(h[yes], resamples, b, k), poisson_draws(h[no], resamples, b, k)
+                    p[b : b + k], n[b : b + k] = wy.sum(0, dtype=np.int64), wn.sum(0, dtype=np.int64)
+                    if not run and len(yes) and len(no):
+                        below = np.zeros((len(no) + 1, k), dtype=np.int32)
+                        np.cumsum(wn, axis=0, dtype=np.int32, out=below[1:])
+                        pairs = below[low]
+                        pairs += below[high]
+                        r[b : b + k] = np.einsum("ij,ij->j", pairs, wy, dtype=np.float64, casting="unsafe")
+                one = pa.table({"_s": [float(scores[at[0]])], "run": [run]} | {c: pa.array([x.tolist()], pa.list_(pa.float64())) for c, x in (("p", p), ("n", n), ("r", r))})
+                for c in reversed(names):
+                    one = one.add_column(0, t.schema.field(c), t[c].slice(at[0], 1))
+                yield from one.to_batches()
+
+    numbers = [StructField(c, ArrayType(DoubleType())) for c in ("p", "n", "r")]
+    made = rows.repartitionByRange(_tasks(rows, resamples, task_draws), "_g", "_s", "_h").mapInArrow(ranges, StructType([*kept, StructField("_g", LongType()), StructField("_s", DoubleType()), StructField("run", BooleanType()), *numbers]))
+    each = made.select(*names, "_s", "run", F.posexplode(F.arrays_zip("p", "n", "r")).alias("b", "x"))
+    runs = each.groupBy(*names, "b", "_s").agg(F.first("run").alias("run"), *[F.sum(f"x.{c}").alias(c) for c in "pnr"])
+    below = F.coalesce(F.sum("n").over(Window.partitionBy(*names, "b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    ranked = runs.withColumn("_r", F.when(F.col("run"), F.col("p") * F.col("n")).otherwise(F.col("r")) + 2 * F.col("p") * below)
+    out = ranked.groupBy(*names, "b").agg(F.sum("_r").alias("r"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    return out.where("p > 0 and n > 0").select(*keys, "b", (F.col("r") / (2 * F.col("p") * F.col("n"))).alias("auroc"))
 
 
 def rank_stability(aurocs: DataFrame, system: str) -> DataFrame:
@@ -60,14 +183,14 @@ def rank_stability(aurocs: DataFrame, system: str) -> DataFrame:
     return a.join(b, ["b", "next"], "left").groupBy(system).agg(F.first("mean_place").alias("mean_place"), F.avg((F.col("place") < F.col("other")).cast("double")).alias("p_ahead"))
 
 
-def sign_flip_test(items: DataFrame, groups: list[str], id_col: str, value: str, centre: float = 0.5, permutations: int = 500, seed: int = 7) -> DataFrame:
+def sign_flip_test(items: DataFrame, groups: list[str], id_col: str, value: str, centre: float = 0.5, permutations: int = 500, seed: int = 7, task_draws: int = TASK_DRAWS) -> DataFrame:
     """``groups, p_value``: share of sign flips of ``value - centre`` whose mean is at least the observed one (one-sided)."""
-    d = items.select(*groups, F.col(id_col).alias("_i"), (F.col(value) - centre).alias("_d"))
-    flips = d.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1)))).withColumn("_d", F.when(_uniform(F.lit(seed), F.col("b"), F.col("_i").cast("string")) < 0.5, F.col("_d")).otherwise(-F.col("_d")))
-    per = flips.groupBy(*groups, "b").agg(F.avg("_d").alias("m"))
-    seen = d.groupBy(*groups).agg(F.avg("_d").alias("seen"))
-    joined = per.join(seen, groups) if groups else per.crossJoin(F.broadcast(seen))  # one row per group
-    return joined.groupBy(*groups).agg(F.avg((F.col("m") >= F.col("seen") - 1e-12).cast("double")).alias("p_value"))
+    d = items.where(F.col(value).isNotNull()).select(*groups, _hash(seed, id_col).alias("_h"), (F.col(value) - centre).cast("double").alias("_v"))
+    kept = _drawn_sums(d, groups, permutations, task_draws, sign_draws).withColumnRenamed("s", "up")
+    seen = d.groupBy(*groups).agg(F.avg("_v").alias("seen"), F.sum("_v").alias("all"), F.count("_v").alias("n"))
+    joined = kept.join(F.broadcast(seen), groups) if groups else kept.crossJoin(F.broadcast(seen))  # one row per group
+    m = (2 * F.col("up") - F.col("all")) / F.col("n")
+    return joined.groupBy(*groups).agg(F.avg((m >= F.col("seen") - 1e-12).cast("double")).alias("p_value"))
 
 
 def wilcoxon_greater(items: DataFrame, groups: list[str], value: str, centre: float = 0.5) -> DataFrame:

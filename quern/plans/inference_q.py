@@ -13,6 +13,9 @@ from quern.operators.aggregates import lower_quantile, softmax_mean
 from quern.plans.metrics_q import VALID
 from quern.plans.registry import query, table
 
+#: Resamples and permutations of the reference.
+RESAMPLES = 10_000
+
 _RATES = """r AS (SELECT doc_id, judge_id, rank, count(*) FILTER (true_kind = 'model') AS a, count(*) FILTER (true_kind = 'human') AS b FROM judgments WHERE true_kind IN ('model', 'human') AND rank IS NOT NULL GROUP BY ALL),
   x AS (SELECT m.doc_id, m.judge_id, sum(CASE WHEN m.rank < h.rank THEN m.a * h.b WHEN m.rank = h.rank THEN 0.5 * m.a * h.b ELSE 0 END)::DOUBLE AS wins, sum(m.a * h.b)::DOUBLE AS duels FROM r m JOIN r h USING (doc_id, judge_id) GROUP BY ALL),
   rates AS (SELECT *, wins / duels AS win_rate FROM x WHERE duels > 0)"""
@@ -82,17 +85,17 @@ def m13(spark, d):
 @query("M09_bootstrap_win_rate")
 def m09(spark, d):
     items = _rates(spark, d).withColumn("item", F.concat_ws("|", "doc_id", "judge_id"))
-    return I.bootstrap_mean(items, ["judge_id"], "item", "win_rate")
+    return I.bootstrap_mean(items, ["judge_id"], "item", "win_rate", RESAMPLES)
 
 
 @query("M10_sign_flips")
 def m10(spark, d):
     items = _rates(spark, d).withColumn("item", F.concat_ws("|", "doc_id", "judge_id"))
-    return I.sign_flip_test(items, ["judge_id"], "item", "win_rate", permutations=200)
+    return I.sign_flip_test(items, ["judge_id"], "item", "win_rate", permutations=RESAMPLES)
 
 
 def _aurocs(spark, d):
-    return I.bootstrap_auroc(table(spark, d, "predictions").where(M.is_valid()), ["detector"], "id")
+    return I.bootstrap_auroc(table(spark, d, "predictions").where(M.is_valid()), ["detector"], "id", RESAMPLES)
 
 
 @query("M02_bootstrap_auroc")

@@ -82,3 +82,41 @@ def test_sampler_weights(spark):
     assert all(abs(r["count"] / 2000 - rows[r["k"]]) < 0.05 for r in draws)
     obs = spark.createDataFrame([("u1", 1, 0.5), ("u2", 2, 0.1), ("u3", 3, 0.9), ("u1", 4, 0.7)], "u string, t int, v double")
     assert {r["u"] for r in S.fifo_pool(obs, "u", ["t"], "v", 0.5, 2).collect()} == {"u2", "u3"}
+
+
+def test_bootstrap_auroc_is_exact_for_saturated_scores_and_ties(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 300)
+    saturated = 1 - 1e-6 * (2 - y) - 1e-8 * rng.random(300)  # all within 1/2048 of 1, and perfectly ordered
+    tied = np.where(rng.random(300) < 0.4, 1.0, rng.integers(0, 30, 300) / 1e5)
+    rows = [(f"i{k}", g, int(a), float(b)) for g, s in (("sat", saturated), ("tied", tied)) for k, (a, b) in enumerate(zip(y, s, strict=True))]
+    df = spark.createDataFrame(rows, "id string, grp string, label int, score_ai double")
+    h = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.lit(3), "id").alias("h")).collect()}
+    w = I.poisson_draws(np.array([h[f"i{k}"] for k in range(300)]).view(np.uint64), 41, 0, 41).astype(float)
+    assert abs(w.mean() - 1) < 0.05 and abs(w.var() - 1) < 0.1
+    for task_draws in (1 << 28, 41 * 50):  # one task, and some twelve
+        got = {(r["grp"], r["b"]): r["auroc"] for r in I.bootstrap_auroc(df, ["grp"], "id", 41, 3, task_draws=task_draws).collect()}
+        for g, s in (("sat", saturated), ("tied", tied)):
+            pos, neg = s[y == 1][:, None], s[y == 0][None, :]
+            won = (pos > neg) + 0.5 * (pos == neg)
+            for b in range(41):
+                wp, wn = w[y == 1, b], w[y == 0, b]
+                assert got[g, b] == pytest.approx(wp @ won @ wn / (wp.sum() * wn.sum()), abs=1e-12)
+
+
+def test_draws_do_not_depend_on_the_tasks(spark):
+    v = items(spark, np.random.default_rng(2).normal(0.52, 0.2, 90))
+    for f in (I.bootstrap_mean, I.sign_flip_test):
+        one, many = (f(v, ["grp"], "id", "v", 0.5, 333, 5, task_draws=t).first() if f is I.sign_flip_test else f(v, ["grp"], "id", "v", 333, 5, task_draws=t).first() for t in (1 << 28, 3330))
+        assert list(one)[1:] == pytest.approx(list(many)[1:])
+
+
+def test_queries_resample_as_often_as_the_reference(spark, small, monkeypatch):
+    from quern.plans import QUERIES
+
+    seen = []
+    draws = I._tasks
+    monkeypatch.setattr(I, "_tasks", lambda rows, n, most: seen.append(n) or draws(rows, n, most))
+    for name in ("M02_bootstrap_auroc", "K03_rank_stability", "M09_bootstrap_win_rate", "M10_sign_flips"):
+        QUERIES[name](spark, small)
+    assert seen == [10_000] * 4
