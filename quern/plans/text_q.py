@@ -131,8 +131,8 @@ def o10(spark, d):
 _SPANS = "(SELECT doc_id, k, ('0x' || substr(sha256(doc_id::VARCHAR || '|' || k), 1, 6))::BIGINT % greatest(length(text), 1) AS s, ('0x' || substr(sha256(doc_id::VARCHAR || '|' || k), 7, 2))::BIGINT AS w, text FROM documents, (VALUES (1), (2), (3)) AS v(k) WHERE text IS NOT NULL)"
 
 
-def _spans(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+def _spans(spark, d, documents=None):
+    docs = (table(spark, d, "documents") if documents is None else documents).where("text is not null").select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
     h = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.col("k").cast("string")), 256)
     s = F.pmod(F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint"), F.greatest(F.length("text"), F.lit(1)))
     rows = docs.withColumns({"s": s, "w": F.conv(F.substring(h, 7, 2), 16, 10).cast("bigint")})
@@ -148,9 +148,9 @@ def i01(spark, d):
     return V.merge_interval_rows(_spans(spark, d), ["doc_id"])
 
 
-def _per_document(spark, d):
-    g = _spans(spark, d).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("x"))  # three spans a document
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+def _per_document(spark, d, documents=None):
+    g = _spans(spark, d, documents).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("x"))  # three spans a document
+    docs = (table(spark, d, "documents") if documents is None else documents).where("text is not null").select("doc_id", "text")
     return docs.join(g, "doc_id").select("doc_id", "text", V.merged(F.col("x")).alias("iv"))
 
 

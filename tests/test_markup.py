@@ -85,3 +85,18 @@ def test_columns(spark):
     assert rows[0]["p"]["ok"] and rows[0]["p"]["tells"][0]["span_text"] == "two" and rows[0]["f"] == wire
     assert rows[0]["a"][0]["type"] == "AI" and 'score="0.5"' not in rows[0]["s"]
     assert [r["r"]["reason"] for r in rows] == ["ok", "empty_final", "missing_outer_annotation"] and rows[1]["f"] is None
+
+
+def test_wires_of_every_document(spark, tmp_path):
+    from quern.plans import QUERIES
+    from quern.plans.wire_q import _every_wire
+
+    texts = {k: f"R&D {k} <b>&amp;</b>" + ("\x01\x0b" if k % 2 else "") + " said \"no\" & left, & came 'back' again" * 4 for k in range(20)}
+    spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = _every_wire(spark, str(tmp_path)).select("doc_id", "wire", W.parse_udf("wire").alias("p"), W.diagnose_udf("wire", "text").alias("r")).collect()
+    assert {r["doc_id"] for r in rows} == set(texts)
+    for r in rows:
+        text = texts[r["doc_id"]].replace("\x01", "").replace("\x0b", "")
+        assert r["r"]["reason"] == "ok" and r["p"]["plain"] == text and r["p"]["tells"]
+        assert all(t["span_text"] == text[t["start"] : t["end"]] for t in r["p"]["tells"])
+    assert {tuple(r) for r in QUERIES["J21_repaired_wires"](spark, str(tmp_path)).collect()} == {(k, True) for k in texts}
