@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import checkpoint
 
-#: In a ranking, each item is compared with this many items after it; rankings of a few contestants are compared completely.
-REACH = 12
+#: Rankings of at most REACH + 1 items are compared item by item, longer ones by counts in slices of some SLICE items.
+REACH, SLICE = 12, 256
 #: Edges up to which the system is solved on the driver (32 bytes each); beyond, each product with the Laplacian is a Spark job.
 LOCAL_EDGES = 4_000_000
 SOLVES, CG_STEPS = 8, 200
@@ -48,17 +48,46 @@ def clean_rankings(judgments: DataFrame) -> DataFrame:
     return flat.withColumn("position", position).where("position is not null").select("doc_id", "judge_id", "item_id", "source_id", "position")
 
 
-def comparisons(rankings: DataFrame, reach: int = REACH) -> DataFrame:
+def _long_comparisons(rankings: DataFrame, slice_items: int) -> DataFrame:
+    """``a, b, n, wins`` per ranking and slice, all pairs of each ranking: within a slice from counts per contestant and position, between slices from counts of what lies before.
+
+    Slices, not rankings, are the keys of the joins, so a long ranking is split over tasks.  Ties are never cut.
+    """
+    by = ["doc_id", "judge_id"]
+    cells = rankings.groupBy(*by, "position", "source_id").agg(F.count(F.lit(1)).cast("double").alias("c"))
+    ranking = Window.partitionBy(*by)
+    upto = F.sum("c").over(ranking.orderBy("position").rangeBetween(Window.unboundedPreceding, 0))
+    cells = checkpoint(cells.withColumn("slice", F.floor((upto - F.sum("c").over(Window.partitionBy(*by, "position"))) / slice_items)))
+    x, y = cells.withColumnsRenamed({"source_id": "a", "position": "pa", "c": "ca"}), cells.withColumnsRenamed({"source_id": "b", "position": "pb", "c": "cb"})
+    n = F.col("ca") * F.col("cb")
+    within = x.join(y, [*by, "slice"]).where("a < b").select("a", "b", n.alias("n"), (F.when(F.col("pa") < F.col("pb"), 1.0).when(F.col("pa") == F.col("pb"), 0.5).otherwise(0.0) * n).alias("wins"))
+    counts = cells.groupBy(*by, "slice", "source_id").agg(F.sum("c").alias("c"))
+    grid = counts.select(*by, "source_id").distinct().join(counts.select(*by, "slice").distinct(), by).join(counts, [*by, "slice", "source_id"], "left")
+    earlier = F.sum("c").over(Window.partitionBy(*by, "source_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    before = grid.select(*by, "slice", F.col("source_id").alias("winner"), earlier.alias("earlier")).where("earlier > 0")
+    m = F.col("earlier") * F.col("c")
+    met = before.join(counts, [*by, "slice"]).where("winner != source_id")
+    between = met.select(F.least("winner", "source_id").alias("a"), F.greatest("winner", "source_id").alias("b"), m.alias("n"), F.when(F.col("winner") < F.col("source_id"), m).otherwise(0.0).alias("wins"))
+    return within.unionByName(between)
+
+
+def comparisons(rankings: DataFrame, reach: int = REACH, slice_items: int = SLICE) -> DataFrame:
     """Edges ``a, b, n, wins`` (a < b): comparisons of two contestants and how many a won, ties being half won.
 
-    Within a ranking, pairs at most ``reach`` places apart; a contestant isn't compared with itself.
+    All pairs of items of a ranking, however long it is; a contestant isn't compared with itself.
     """
+    sized = checkpoint(rankings.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "judge_id"))))
     order = Window.partitionBy("doc_id", "judge_id").orderBy("position", "item_id")
     ahead = [F.lead(F.struct("source_id", "position"), k).over(order) for k in range(1, reach + 1)]
-    pairs = rankings.withColumn("ahead", F.array(*ahead)).select("source_id", "position", F.explode("ahead").alias("o")).where("o is not null and o.source_id != source_id")
+    short = sized.where(F.col("items") <= reach + 1)
+    pairs = short.withColumn("ahead", F.array(*ahead)).select("source_id", "position", F.explode("ahead").alias("o")).where("o is not null and o.source_id != source_id")
     won = F.when(F.col("position") < F.col("o.position"), 1.0).otherwise(0.5)
     first = F.col("source_id") < F.col("o.source_id")
-    return pairs.select(F.least("source_id", "o.source_id").alias("a"), F.greatest("source_id", "o.source_id").alias("b"), F.when(first, won).otherwise(1 - won).alias("won")).groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("won").alias("wins"))
+    each = pairs.select(F.least("source_id", "o.source_id").alias("a"), F.greatest("source_id", "o.source_id").alias("b"), F.lit(1.0).alias("n"), F.when(first, won).otherwise(1 - won).alias("wins"))
+    long = sized.where(F.col("items") > reach + 1)
+    if long.limit(1).count():
+        each = each.unionByName(_long_comparisons(long, slice_items))
+    return each.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins"))
 
 
 def _at(s: np.ndarray, a, b, n, wins) -> tuple[np.ndarray, np.ndarray]:

@@ -269,3 +269,20 @@ def test_kinds_on_tables(spark, small, clash):
     assert (got["list"], got["junk"], got["long"]) == ("list", "junk", "prose")
     assert len(got) == both.count()
     assert quality.text_statistics(both.limit(0)).count() == 0
+
+
+def test_long_rankings_are_compared_completely(spark):
+    rng = random.Random(4)
+    rows = [(f"d{d}", "j", f"I{k}", f"c{rng.randrange(9)}", float(rng.randrange(most))) for d, (n, most) in enumerate([(60, 40), (45, 1), (14, 99), (5, 4), (1, 1)]) for k in range(n)]
+    rows += [("wide", "j", f"I{k}", f"c{k}", float(k)) for k in range(30)]
+    want = {}
+    for k, (d, _, _, a, p) in enumerate(rows):
+        for e, _, _, b, q in rows[:k]:
+            if d == e and a != b:
+                n, w = want.get((min(a, b), max(a, b)), (0, 0))
+                x, y = (p, q) if a < b else (q, p)
+                want[min(a, b), max(a, b)] = (n + 1, w + (x < y) + 0.5 * (x == y))
+    df = spark.createDataFrame(rows, "doc_id string, judge_id string, item_id string, source_id string, position double")
+    for slice_items in (7, 256):
+        got = {(r["a"], r["b"]): (r["n"], r["wins"]) for r in ranking.comparisons(df, slice_items=slice_items).collect()}
+        assert got == want
