@@ -109,11 +109,13 @@ def compare_block(cls: np.ndarray, n: np.ndarray, fps: np.ndarray, part: np.ndar
 
 def _candidates(rows: pd.DataFrame, threshold: float, most: int) -> Iterator[pd.DataFrame]:
     """Pairs within the blocks of ``rows``, which are sorted by block and set size and hold whole blocks."""
+    if rows.empty:  # no block has ended yet
+        return
     rows = rows[~rows.duplicated(["key", "cls"])]
     key, cls, n = rows["key"].to_numpy(), rows["cls"].to_numpy(), rows["n"].to_numpy()
     fps = np.frombuffer(b"".join(rows["fp"]), dtype=np.uint64).reshape(len(rows), -1)
     split, part = rows["split"].to_numpy(), rows["part"].to_numpy()
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     sizes = np.diff(np.r_[starts, len(key)])
     pairs = []
     small = np.repeat(sizes <= 64, sizes)

@@ -140,3 +140,14 @@ def test_shingles_are_case_and_markup_blind():
     a = shingles("The quick <b>brown</b> fox " * 6)
     b = shingles("the QUICK brown, fox! " * 6)
     assert (a == b).all() and shingles("too short") is None and shingles(None) is None
+
+
+def test_block_longer_than_an_arrow_batch(spark):
+    fp = lambda k: bytes(31) + bytes([k % 2])
+    sigs = spark.createDataFrame([(k, 30, fp(k), [7]) for k in range(1, 61)], "cls bigint, n int, fp binary, keys array<bigint>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    try:
+        got = {tuple(r) for r in neardup.candidate_pairs(sigs, 0.5).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {(a, b) for b in range(1, 61) for a in range(1, b)}
