@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from quern.llm.common import canonical_class, checkpoint
 
-ROUNDS = 25
+#: Rounds after which accuracies that still change are an error.
+ROUNDS = 200
 #: Strength (in votes) and accuracy of the prior that smooths an annotator's accuracy.
 PRIOR_VOTES, PRIOR_ACCURACY = 4.0, 0.7
 SLOTS = 5
@@ -27,7 +28,7 @@ def long_votes(articles: DataFrame, slots: int = SLOTS) -> DataFrame:
     return votes.where("mean != 0").select("id", "annotator", F.signum("mean").alias("vote"), (F.col("gold") * 2 - 1).cast("double").alias("gold"))
 
 
-def reweighted_votes(votes: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-3, use_gold: bool = True) -> DataFrame:
+def reweighted_votes(votes: DataFrame, rounds: int = ROUNDS, tolerance: float = 1e-3, use_gold: bool = False) -> DataFrame:
     """Reliability ``annotator, votes, accuracy, weight`` once weights and consensus no longer change.
 
     A round scores each article by its weighted votes, takes an annotator's own vote out of the score, and
@@ -53,17 +54,17 @@ def reweighted_votes(votes: DataFrame, rounds: int = ROUNDS, tolerance: float =
         moved = new.agg(F.max(F.abs(F.col("accuracy") - F.col("old")))).first()[0]
         people = new.drop("old")
         if moved is None or moved < tolerance:
-            break
-    return people
+            return people
+    raise RuntimeError(f"accuracies still change by {moved:.3g} after {rounds} rounds")
 
 
-def consensus_labels(articles: DataFrame, use_gold: bool = True) -> tuple[DataFrame, DataFrame]:
+def consensus_labels(articles: DataFrame, use_gold: bool = False) -> tuple[DataFrame, DataFrame]:
     """Consensus per article and reliability per annotator.
 
     ``articles`` has ``id``, ``annotator_1..5`` (structs with ``annotator_id`` and ``guess``), ``majority_vote`` and ``ground_truth``; other columns don't matter.
     First result: ``id, n_votes, agreement, score, consensus, probability, majority, gold`` - classes are 1 (AI), 0 (human)
     or null (no usable vote, or a score of exactly 0); ``agreement`` is the share of agreeing pairs of votes (null under two votes);
-    with ``use_gold`` a known truth is the consensus.  Second: ``annotator, votes, accuracy, weight``.
+    the votes alone decide; only with ``use_gold`` does a known truth weigh in and is the consensus where it exists.  Second: ``annotator, votes, accuracy, weight``.
     Articles without votes keep a row; rows that repeat an id are one article (their votes are taken together).
     """
     votes = checkpoint(long_votes(articles))

@@ -19,7 +19,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_annotators(spark: SparkSession, d: str) -> DataFrame:
-    _, people = consensus.consensus_labels(table(spark, d, "expert_articles"), use_gold=False)
+    _, people = consensus.consensus_labels(table(spark, d, "expert_articles"))
     return people.select("annotator", "votes", F.round("accuracy", 4).alias("accuracy"))
 
 

@@ -21,7 +21,8 @@ from quern.llm.common import checkpoint
 REACH, SLICE = 12, 256
 #: Edges up to which the system is solved on the driver (32 bytes each); beyond, each product with the Laplacian is a Spark job.
 LOCAL_EDGES = 4_000_000
-SOLVES, CG_STEPS = 8, 200
+#: Solves after which strengths that still move are an error, and the most a solve moves a strength (their end doesn't depend on it).
+SOLVES, STRIDE = 500, 4.0
 #: Weight of a virtual comparison with an average contestant, won and lost once each; keeps those without a loss finite.
 PRIOR = 0.3
 
@@ -29,23 +30,30 @@ PRIOR = 0.3
 def clean_rankings(judgments: DataFrame) -> DataFrame:
     """``doc_id, judge_id, item_id, source_id, position`` with one row per item of a ranking.
 
-    Rows without document, judge, item, source or rank are left out; spellings of ``item_id`` are brought together; of an item delivered
-    more than once the latest row counts.  ``rank`` decides unless it runs against ``quality_score`` (scores within 0..1) over the whole ranking:
-    then ``rank`` was written upside down and the scores decide.  Repeated ranks stay ties.
+    Rows without document, judge, item or source are left out, and those with neither a rank nor a score within 0..1; spellings of ``item_id``
+    are brought together; of an item delivered more than once the latest row counts.  ``rank`` decides unless it runs against
+    ``quality_score`` over the whole ranking: then it was written upside down, and the scores decide.  An item without the
+    one that decides takes its place by the other, behind all items that are at least as good by it.  Repeated ranks stay ties.
     """
     item = F.regexp_replace(F.upper(F.col("item_id")), r"[^A-Z0-9]", "")
-    rows = judgments.where("doc_id is not null and judge_id is not null and source_id is not null and rank is not null").select("doc_id", F.lower(F.trim("judge_id")).alias("judge_id"), item.alias("item_id"), F.trim("source_id").alias("source_id"), F.col("rank").cast("double").alias("rank"), F.when(F.col("quality_score").between(0, 1), F.col("quality_score")).alias("quality"), "judged_at")
-    latest = rows.where("item_id != ''").groupBy("doc_id", "judge_id", "item_id").agg(F.max(F.struct(F.coalesce("judged_at", F.lit("1970-01-01").cast("timestamp")).alias("at"), "rank", "quality", "source_id")).alias("m"))
+    quality = F.when(F.col("quality_score").between(0, 1), F.col("quality_score"))
+    rows = judgments.select("doc_id", F.lower(F.trim("judge_id")).alias("judge_id"), item.alias("item_id"), F.trim("source_id").alias("source_id"), F.col("rank").cast("double").alias("rank"), quality.alias("quality"), "judged_at")
+    rows = rows.where("doc_id is not null and judge_id is not null and source_id is not null and item_id != '' and (rank is not null or quality is not null)")
+    latest = rows.groupBy("doc_id", "judge_id", "item_id").agg(F.max(F.struct(F.coalesce("judged_at", F.lit("1970-01-01").cast("timestamp")).alias("at"), "rank", "quality", "source_id")).alias("m"))
     flat = latest.select("doc_id", "judge_id", "item_id", "m.source_id", "m.rank", "m.quality")
     ranking = Window.partitionBy("doc_id", "judge_id")
-    both = F.col("quality").isNotNull()
-    scored = F.when(both, F.col("rank"))
-    spread = F.stddev_pop(scored).over(ranking) * F.stddev_pop("quality").over(ranking)
-    agree = F.try_divide(F.covar_pop(scored, F.col("quality")).over(ranking), spread)  # null where all are tied
-    flat = flat.withColumn("agree", agree)
-    upside_down = (F.col("agree") > 0.5) & (F.count("quality").over(ranking) >= 3)
-    position = F.when(upside_down & both, -F.col("quality")).when(~F.coalesce(upside_down, F.lit(False)), F.col("rank"))
-    return flat.withColumn("position", position).where("position is not null").select("doc_id", "judge_id", "item_id", "source_id", "position")
+    both = F.col("quality").isNotNull() & F.col("rank").isNotNull()
+    ranked, scored = F.when(both, F.col("rank")), F.when(both, F.col("quality"))
+    spread = F.stddev_pop(ranked).over(ranking) * F.stddev_pop(scored).over(ranking)
+    agree = F.try_divide(F.covar_pop(ranked, scored).over(ranking), spread)  # null where all are tied
+    flat = flat.withColumns({"agree": agree, "scores": F.count(scored).over(ranking), "odd": F.count_if(~both).over(ranking), "better": -F.col("quality"), "later": -F.col("rank")})
+    upside_down = F.coalesce((F.col("agree") > 0.5) & (F.col("scores") >= 3), F.lit(False))
+    whole = flat.where("odd = 0").withColumn("position", F.when(upside_down, F.col("better")).otherwise(F.col("rank")))
+    upto = (Window.unboundedPreceding, 0)
+    behind_rank = F.coalesce(F.max(ranked).over(ranking.orderBy("better").rangeBetween(*upto)), F.lit(0.0)) + 0.5
+    behind_score = F.coalesce(F.max(-scored).over(ranking.orderBy("later").rangeBetween(*upto)), F.lit(-2.0)) + 1e-9
+    gaps = flat.where("odd > 0").withColumn("position", F.when(upside_down, F.coalesce("better", behind_score)).otherwise(F.coalesce("rank", behind_rank)))
+    return whole.unionByName(gaps).select("doc_id", "judge_id", "item_id", "source_id", "position")
 
 
 def _long_comparisons(rankings: DataFrame, slice_items: int) -> DataFrame:
@@ -156,36 +164,37 @@ class SparkGraph:
         return self._sum(len(x), of)[0]
 
 
-def conjugate_gradient(times, b: np.ndarray, diagonal: np.ndarray, x: np.ndarray, tolerance: float, steps: int) -> np.ndarray:
+def conjugate_gradient(times, b: np.ndarray, diagonal: np.ndarray, x: np.ndarray, tolerance: float) -> np.ndarray:
+    """Solution of the system whose matrix ``times`` applies; raises if it isn't found in far more steps than there are unknowns."""
     r = b - times(x)
     z = r / diagonal
     p, rz = z.copy(), r @ z
     goal = tolerance * max(np.linalg.norm(b), 1e-12)
-    for _ in range(steps):
+    for _ in range(100 + 10 * len(b)):
         if np.linalg.norm(r) <= goal:
-            break
+            return x
         q = times(p)
         step = rz / max(p @ q, 1e-300)
         x, r = x + step * p, r - step * q
         z = r / diagonal
         rz, old = r @ z, rz
         p = z + (rz / old) * p
-    return x
+    raise RuntimeError("the Laplacian system has not been solved")
 
 
 def solve_strengths(graph, size: int, prior: float = PRIOR) -> np.ndarray:
-    """Strengths of ``size`` contestants with mean 0."""
+    """Strengths of ``size`` contestants with mean 0, once they move by less than a thousandth; a solve moves none by more than STRIDE."""
     s, at = None, np.zeros(size)
     for _ in range(SOLVES):
         b, diagonal = graph.system(s, size)
         ridge = prior / 2
-        new = conjugate_gradient(lambda x, s=s: graph.times(s, x) + ridge * x, b, diagonal + ridge, at.copy(), 1e-4, CG_STEPS)
-        new = np.clip(new - new.mean(), -12, 12)
-        moved = np.abs(new - at).max() if size else 0.0
+        new = conjugate_gradient(lambda x, s=s: graph.times(s, x) + ridge * x, b, diagonal + ridge, at.copy(), 1e-4)
+        new = at + np.clip(new - new.mean() - at, -STRIDE, STRIDE)
+        moved = np.abs(new - at).max(initial=0.0)
         s = at = new
         if moved < 1e-3:
-            break
-    return at
+            return at - at.mean()
+    raise RuntimeError(f"strengths still move by {moved:.3g} after {SOLVES} solves")
 
 
 def rank_contestants(judgments: DataFrame, local_edges: int = LOCAL_EDGES) -> tuple[DataFrame, DataFrame]:
@@ -195,7 +204,7 @@ def rank_contestants(judgments: DataFrame, local_edges: int = LOCAL_EDGES) -> tu
     strongest (equal strengths share a standing).  Second: one row ``edges, comparisons, total_margin, residual_margin, inconsistency``:
     the share of the weighted squared margins that no ranking can explain (cycles and noise).  A contestant in no comparison has no row.
     Without comparisons the first result is empty and the second has zeros and a null share.
-    Strengths of parts of the graph that never meet are comparable only through the prior.
+    Strengths of parts of the graph that never meet are comparable only through the prior.  Strengths that don't settle are an error.
     """
     spark = judgments.sparkSession
     edges = checkpoint(comparisons(clean_rankings(judgments)))

@@ -120,10 +120,35 @@ def test_laplacian_solution_matches_dense():
     b, diagonal = g.system(None, 7)
     dense = np.stack([g.times(None, v) for v in np.eye(7)])
     assert np.allclose(np.diag(dense), diagonal)
-    x = ranking.conjugate_gradient(lambda v: g.times(None, v) + 0.1 * v, b, diagonal + 0.1, np.zeros(7), 1e-10, 200)
+    x = ranking.conjugate_gradient(lambda v: g.times(None, v) + 0.1 * v, b, diagonal + 0.1, np.zeros(7), 1e-10)
     assert np.allclose((dense + 0.1 * np.eye(7)) @ x, b, atol=1e-6)
 
 
+def test_positions_of_items_without_rank_or_score(spark):
+    rows = [("d", "j", "A1", "model", "a", 1, 0.9, None), ("d", "j", "A2", "model", "b", 2, 0.5, None), ("d", "j", "A3", "model", "c", 3, 0.2, None), ("d", "j", "A4", "model", "e", None, 0.6, None), ("d", "j", "A5", "model", "f", None, None, None)]
+    rows += [("u", "j", "A1", "model", "a", 3, 0.9, None), ("u", "j", "A2", "model", "b", 2, 0.5, None), ("u", "j", "A3", "model", "c", 1, 0.2, None), ("u", "j", "A4", "model", "e", 2, 7.0, None), ("u", "j", "A5", "model", "f", 9, None, None)]
+    got = {}
+    for r in ranking.clean_rankings(spark.createDataFrame(rows, JUDGMENTS)).collect():
+        got.setdefault(r["doc_id"], []).append((r["position"], r["source_id"]))
+    assert "".join(s for _, s in sorted(got["d"])) == "aebc"
+    assert "".join(s for _, s in sorted(got["u"])) == "fabec"
+
+
+def test_long_ranking_equals_dense_solution(spark):
+    """A ranking of 40 items: strengths are the maximum of the penalised likelihood over all 780 pairs."""
+    df = spark.createDataFrame([("d", "j", f"A{k}", "model", f"c{k:02}", k + 1, None, None) for k in range(40)], JUDGMENTS)
+    got = np.array([r["strength"] for r in ranking.rank_contestants(df)[0].orderBy("source_id").collect()])
+    s = np.zeros(40)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(s[:, None] - s[None, :])))
+        won = np.triu(np.ones((40, 40)), 1)
+        gradient = (won - p * (won + won.T)).sum(axis=1) - ranking.PRIOR / 2 * s
+        h = p * (1 - p) * (won + won.T)
+        hessian = np.diag(h.sum(axis=1)) - h + ranking.PRIOR / 2 * np.eye(40)
+        s = s + np.clip(np.linalg.solve(hessian, gradient), -1, 1)
+    assert np.allclose(got, s - s.mean(), atol=0.02) and (np.diff(got) < 0).all()
+
+
 def test_ranking_empty_and_ties(spark):
     empty = spark.createDataFrame([], JUDGMENTS)
     table, residual = ranking.rank_contestants(empty)
