@@ -24,6 +24,8 @@ _GAP = re.compile(r"[^\w|]+|_+")
 #: Stretches with fewer words are no sentences (speech tags, headings); a longer stretch counts once per SENTENCE_WORDS words.
 LEAST_WORDS, SENTENCE_WORDS = 4, 16
 DEFAULT_THRESHOLD = 0.3
+#: Labelled documents a subject needs for a threshold of its own, and how many the documents of all subjects count for in it.
+LEAST_POSITIVE, PRIOR_POSITIVE = 8, 20
 
 
 def _automaton():
@@ -35,8 +37,9 @@ def _automaton():
         for k, (term, _, _) in enumerate(terms()):
             by_term.setdefault(term, []).append(k)
         a = ahocorasick.Automaton()
-        for term, ks in by_term.items():
-            a.add_word(f" {term} ", (len(term), tuple(ks)))
+        for term, ks in by_term.items():  # with the distance from the first blank to the end of the match
+            word = f" {term[:-1]}" if term.endswith("*") else f" {term} "
+            a.add_word(word, (len(word) - 1, tuple(ks)))
         a.make_automaton()
         cache["subject automaton"] = a
     return cache["subject automaton"]
@@ -59,7 +62,7 @@ def profile(text: str | None) -> tuple[int, dict[tuple[int, ...], int]]:
         stretches.append(0 if n < LEAST_WORDS else max(1, round(n / SENTENCE_WORDS)))
     found: dict[int, list[tuple[int, int, tuple[int, ...]]]] = {}
     for end, (length, ks) in _automaton().iter(flat):
-        begin = end - length - 1
+        begin = end - length
         k = bisect_right(ends, begin)
         if stretches[k] > 1:  # an unpunctuated stretch: take even parts of it for sentences
             first = ends[k - 1] if k else 0
@@ -123,30 +126,39 @@ def scored(profiled: DataFrame) -> DataFrame:
     return profiled.mapInPandas(run, f"doc_id {id_type}, lang string, sentences int, subject string, score double")
 
 
-def calibrated_threshold(scores: DataFrame, labels: DataFrame) -> float:
-    """The score from which a subject is assigned: best F1 over the labelled documents, in the middle of the best stretch.
+def _best(positive: np.ndarray, negative: np.ndarray) -> float:
+    """The bin from which F1 is best, in the middle of the best stretch."""
+    tp, fp = positive[::-1].cumsum()[::-1], negative[::-1].cumsum()[::-1]
+    f1 = 2 * tp / np.maximum(tp + fp + positive.sum(), 1e-9)
+    return float(np.median(np.flatnonzero(f1[1:] >= f1[1:].max() - 1e-3) + 1))
 
-    All of a labelled document's other subjects count as negatives.  Scores are counted in hundredths, so the driver gets at most 200 rows.
+
+def calibrated_thresholds(scores: DataFrame, labels: DataFrame) -> tuple[dict[str, float], float]:
+    """The score from which each subject is assigned, and the one for subjects with fewer than LEAST_POSITIVE labelled documents.
+
+    A subject's threshold has the best F1 over its labelled documents, with those of all subjects counting as PRIOR_POSITIVE more; the common
+    one has the best F1 over all.  All of a labelled document's other subjects count as negatives.  Scores are counted in hundredths, so the
+    driver gets at most 200 rows per subject.
     """
     marked = labels.select("doc_id", F.lower(F.trim("subject")).alias("subject")).where("doc_id is not null and subject is not null").distinct()
     of_labelled = scores.join(marked.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", "subject", "score")
     joined = of_labelled.join(marked.withColumn("yes", F.lit(1)), ["doc_id", "subject"], "full")
-    bins = joined.groupBy(F.floor(F.coalesce("score", F.lit(0.0)) * 100).cast("int").alias("b"), F.coalesce("yes", F.lit(0)).alias("yes")).agg(F.count(F.lit(1)).alias("n")).collect()
-    counts = np.zeros((2, 202))
+    bins = joined.groupBy("subject", F.floor(F.coalesce("score", F.lit(0.0)) * 100).cast("int").alias("b"), F.coalesce("yes", F.lit(0)).alias("yes")).agg(F.count(F.lit(1)).alias("n")).collect()
+    counts: dict[str, np.ndarray] = {}
     for r in bins:
-        counts[r["yes"], min(max(r["b"], 0), 200)] += r["n"]
-    if not counts[1].sum() or not counts[0].sum():
-        return DEFAULT_THRESHOLD
-    tp, fp = counts[1][::-1].cumsum()[::-1], counts[0][::-1].cumsum()[::-1]
-    f1 = 2 * tp / np.maximum(tp + fp + counts[1].sum(), 1)
-    best = np.flatnonzero(f1[1:] >= f1[1:].max() - 1e-3) + 1
-    return float(np.median(best)) / 100
+        counts.setdefault(r["subject"], np.zeros((2, 202)))[r["yes"], min(max(r["b"], 0), 200)] += r["n"]
+    every = sum(counts.values(), np.zeros((2, 202)))
+    if not every[1].sum() or not every[0].sum():
+        return {}, DEFAULT_THRESHOLD
+    prior = every * (PRIOR_POSITIVE / every[1].sum())
+    own = {s: _best(c[1] + prior[1], c[0] + prior[0]) / 100 for s, c in counts.items() if c[1].sum() >= LEAST_POSITIVE}
+    return own, _best(every[1], every[0]) / 100
 
 
 def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
     """``doc_id, subject, score`` for each subject assigned, and the make-up ``lang, subject, documents, share`` of the corpus.
 
-    A document has none, one or several subjects.  Null and empty texts have none.  Without labels of both kinds the threshold is DEFAULT_THRESHOLD.  ``subjects`` restricts the subjects to
+    A document has none, one or several subjects.  Null and empty texts have none.  Thresholds are calibrated per subject on ``labels``, with a common one where a subject has few; without labels of both kinds it is DEFAULT_THRESHOLD.  ``subjects`` restricts the subjects to
     those listed.  The make-up has a row per language and subject and, with a null subject, one for documents without any; shares are of the language's documents.
     """
     profiled = checkpoint(profiles(docs, id_col, text_col, lang_col))
@@ -154,9 +166,10 @@ def assign_subjects(docs: DataFrame, labels: DataFrame, subjects: DataFrame | No
     if subjects is not None:
         listed = [r["subject"] for r in subjects.select(F.lower(F.trim("subject")).alias("subject")).distinct().collect()]
         scores = scores.where(F.col("subject").isin(listed))
-    scores = checkpoint(scores.where("score >= 0.02"))
-    threshold = calibrated_threshold(scores, labels)
-    assigned = scores.where(F.col("score") >= threshold)
+    scores = checkpoint(scores)
+    own, common = calibrated_thresholds(scores, labels)
+    least = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in own.items() for x in kv]), F.col("subject")), F.lit(common)) if own else F.lit(common)
+    assigned = scores.where(F.col("score") >= least)
     per_lang = profiled.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
     with_any = assigned.groupBy("lang").agg(F.count_distinct("doc_id").alias("any"))
     none = per_lang.join(with_any, per_lang["lang"].eqNullSafe(with_any["lang"]), "left").select(per_lang["lang"], F.lit(None).cast("string").alias("subject"), (F.col("all") - F.coalesce("any", F.lit(0))).alias("documents"))
