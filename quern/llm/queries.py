@@ -79,6 +79,10 @@ def p6_targets(spark: SparkSession, d: str) -> DataFrame:
     return sampling.target_report(table(spark, d, "examples"), table(spark, d, "sample_targets"))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.proportional_sample(table(spark, d, "examples"), table(spark, d, "sample_targets"))[1]
+
+
 def p6_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.proportional_sample(table(spark, d, "examples"), table(spark, d, "sample_targets"))[0]
 
@@ -134,6 +138,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_annotators, p1_agreement, p2_found, p2_statistics, p3_budget, p3_per_document, p4_found, p4_report, p5_found, p5_ranking, p5_inconsistency,
-        p6_found, p6_targets, p6_sample, p7_found, p7_groups, p8_found, p8_containers, p8_fill, p9_found, p9_shares, p9_mixture, p10_found, p10_makeup,
+        p6_found, p6_targets, p6_sample, p6_report, p7_found, p7_groups, p8_found, p8_containers, p8_fill, p9_found, p9_shares, p9_mixture, p10_found, p10_makeup,
     )
 }

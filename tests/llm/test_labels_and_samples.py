@@ -178,10 +178,12 @@ def test_sample_follows_targets(spark, clash):
     assert size == e.count() // 10
     assert (rows[1]["available"], rows[2]["available"], rows[3]["available"], rows[4]["available"]) == (502, 300, 3, 0)
     assert [k for k, r in sorted(rows.items()) if not r["feasible"]] == [3, 4]
-    for k in (1, 2):
-        assert abs(rows[k]["drawn"] - rows[k]["target_share"] * size) <= 1
-        assert rows[k]["drawn"] >= rows[k]["drawn_aim"]
-    assert rows[3]["drawn"] == 3 and rows[4]["drawn"] == 0
+    assert chosen.count() == size == sum(r["drawn"] for r in rows.values())
+    for k in (1, 2):  # what targets 3 and 4 lack is shared out in proportion
+        assert abs(rows[k]["drawn"] - rows[k]["target_share"] / 0.8 * (size - 3)) <= 1 and rows[k]["shortfall"] == 0
+    assert rows[3]["drawn"] == 3 and rows[4]["drawn"] == 0 and rows[4]["shortfall"] == rows[4]["wanted"] == math.ceil(size / 10)
+    per = {r["target_id"]: r["count"] for r in chosen.groupBy("target_id").count().collect()}
+    assert per == {k: r["drawn"] for k, r in rows.items() if r["drawn"]}
     assert chosen.where("id is not null").count() == chosen.where("id is not null").distinct().count()
     again, _ = sampling.proportional_sample(e, t)
     assert {(r["id"], r["target_id"]) for r in again.collect()} == {(r["id"], r["target_id"]) for r in chosen.collect()}
@@ -195,6 +197,29 @@ def test_sample_empty(spark):
     assert chosen.count() == report.count() == 0
 
 
+def test_quotas_keep_the_size_and_the_floors():
+    rng = random.Random(5)
+    for _ in range(200):
+        n = rng.randint(1, 12)
+        shares = [rng.random() for _ in range(n)]
+        plan = [{"target_id": k, "target_share": s / sum(shares), "min_rows": rng.choice([0, 1, 5]), "available": rng.choice([0, 1, 3, 50, 1000])} for k, s in enumerate(shares)]
+        size = rng.choice([0, 1, 10, 100, 700])
+        got = sampling.quotas(plan, size)
+        least = sum(min(t["min_rows"], t["available"]) for t in plan)
+        assert sum(got.values()) == pytest.approx(max(least, min(size, sum(t["available"] for t in plan))), abs=1e-6)
+        assert all(min(t["min_rows"], t["available"]) <= got[t["target_id"]] <= t["available"] for t in plan)
+
+
+def test_sample_size_is_kept_where_floors_bind(spark):
+    rows = [(f"a{k}", "news", 1, "d") for k in range(950)] + [(f"b{k}", "mail", 0, "d") for k in range(40)] + [(f"c{k}", "code", 0, "d") for k in range(10)]
+    e = spark.createDataFrame(rows, "id string, domain string, label int, dataset string")
+    t = spark.createDataFrame([(1, "news", 1, "d", 0.98, 1), (2, "mail", 0, "d", 0.015, 20), (3, "code", 0, "d", 0.005, 15)], TARGETS)
+    for seed in range(4):
+        chosen, report = sampling.proportional_sample(e, t, seed=seed)
+        got = {r["target_id"]: (r["drawn"], r["feasible"], r["shortfall"]) for r in report.collect()}
+        assert got == {1: (70, True, 28), 2: (20, True, 0), 3: (10, False, 5)} and chosen.distinct().count() == 100
+
+
 DOCS = "doc_id bigint, text string, source string"
 
 
