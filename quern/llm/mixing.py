@@ -1,13 +1,14 @@
 """A mixture of documents whose sources reach target shares of its tokens, by soft membership.
 
-A naive Bayes table of hashed word counts, fitted on a bounded sample of documents of known source, gives
-documents of unknown source a posterior over the sources; known ones belong to their source alone.  Projected gradient least squares then
+A naive Bayes table of hashed word counts, fitted on a bounded sample of documents of known source, gives every
+document a posterior over the sources; a recorded source is evidence beside the text.  Projected gradient least squares then
 finds a rate per document, between 0 and the uses allowed, such that expected tokens per source match the targets.
-Documents of one source alone share one rate, so they enter as one row of sums; the others take part row by row.
+The rate depends on the posterior alone, so documents of equal posterior (in steps of 1 / GRID) take part as one row of sums.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,22 +17,48 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import canonical, checkpoint, hash_sample, words_of
-from quern.llm.tokens import TOKENIZERS, counter, VOCABULARY
+from quern.llm.common import canonical, checkpoint, hash_sample, process_cache, words_of
+from quern.llm.tokens import TOKENIZERS, VOCABULARY, counter
 
 #: Labelled documents the classifier is fitted on, at most (in the order of a hash of their id).
 LABELLED_SAMPLE = 4000
 FEATURES = 1 << 12
-STEPS = 25
+#: Probability that a recorded source is the true one, before the text is read.
+EVIDENCE = 0.999
+#: Posteriors are kept in steps of 1 / GRID.
+GRID = 256
+#: Steps after which rates that still move are an error, and the share of the mixture by which they may.
+STEPS, SETTLED = 1000, 1e-6
 #: A source counts as reached if it comes this close to its share.
 TOLERANCE = 1e-5
 OTHER = "(other)"
+MEMO_WORDS = 1_000_000
+
+
+class Slots(dict):
+    def __missing__(self, word: str) -> int:
+        n = xxhash.xxh32_intdigest(word) & (FEATURES - 1)
+        if len(word) <= 40:
+            self[word] = n
+        return n
+
+
+def sparse_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the words of the whole text, and their counts damped by the logarithm."""
+    memo = process_cache().setdefault("mixing slots", Slots())
+    if len(memo) > MEMO_WORDS:
+        memo.clear()
+    words = words_of(text)
+    slots, counts = np.unique(np.fromiter(map(memo.__getitem__, words), dtype=np.int32, count=len(words)), return_counts=True)
+    return slots, np.log1p(counts).astype(np.float32)
 
 
 def word_counts(text: str) -> np.ndarray:
-    """Hashed counts of the words of the whole text, damped by their logarithm."""
-    slots = np.fromiter((xxhash.xxh32_intdigest(w) & (FEATURES - 1) for w in words_of(text)), dtype=np.int64)
-    return np.log1p(np.bincount(slots, minlength=FEATURES)).astype(np.float32)
+    """The same as a dense vector."""
+    out = np.zeros(FEATURES, np.float32)
+    slots, counts = sparse_counts(text)
+    out[slots] = counts
+    return out
 
 
 def fit_naive_bayes(x: np.ndarray, y: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, float]:
@@ -60,6 +87,13 @@ def posterior(x: np.ndarray, table: np.ndarray, prior: np.ndarray, temperature:
     return p / p.sum(axis=1, keepdims=True)
 
 
+def on_grid(p: np.ndarray) -> np.ndarray:
+    """Rows of probabilities in steps of 1 / GRID, as integers that sum to GRID; the likeliest source takes what rounding leaves."""
+    q = np.round(p * GRID).astype(np.int32)
+    q[np.arange(len(q)), p.argmax(axis=1)] += GRID - q.sum(axis=1)
+    return q.astype(np.uint16)
+
+
 def descend(residuals: list[np.ndarray], scale: np.ndarray, members: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Rates after one projected step per residual, from 0; ``members``: documents x sources."""
     rate = np.zeros(len(members))
@@ -77,10 +111,10 @@ def mix_sources(
     The report has a row per target: ``source, target_share, max_uses, available_tokens, reachable_share, expected_share,
     actual_share, feasible``.  Shares are of a mixture of ``size_share`` times all tokens of ``docs``.
     Sources are compared trimmed, lower-cased, with blanks and hyphens as underscores; a source repeated in ``targets``
-    counts once, with its largest share.  Documents with a null source get a posterior from their text; with a null
-    or empty text they have no tokens and are never used.  Documents of other sources are not used.
-    ``uses`` is the rate rounded up or down by a hash of the id, so that its expectation is the rate; it never
-    exceeds ``max_uses`` of the source (of the likeliest one where it is unknown).
+    counts once, with its largest share.  Every document gets a posterior from its text and, where it has one, its recorded source; those
+    with a null or empty text have no tokens and are never used.  Documents of other sources are a class of their own, without a target.
+    ``source`` is the recorded one, else the likeliest.  ``uses`` is the rate rounded up or down by a hash of the id, so that its
+    expectation is the rate; it never exceeds ``max_uses`` of that source.  Rates that don't settle are an error.
     Empty ``docs`` make every target infeasible; empty ``targets`` an empty report.
     """
     spark = docs.sparkSession
@@ -101,91 +135,93 @@ def mix_sources(
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"known": b["known"], "x": [word_counts(t).tobytes() for t in b["text"]]})
-
-    fitted = labelled.select("known", "text").mapInPandas(features, "known int, x binary").collect()  # at most `sample` rows
-    x = np.frombuffer(b"".join(r["x"] for r in fitted), np.float32).reshape(len(fitted), FEATURES)
-    model = spark.sparkContext.broadcast(fit_naive_bayes(x, np.array([r["known"] for r in fitted], dtype=int), k))
-    import os
-
+            got = [sparse_counts(t) for t in b["text"]]
+            yield pd.DataFrame({"known": b["known"], "slots": [i.tobytes() for i, _ in got], "counts": [c.tobytes() for _, c in got]})
+
+    fitted = labelled.select("known", "text").mapInPandas(features, "known int, slots binary, counts binary").collect()  # at most `sample` rows
+    x = np.zeros((len(fitted), FEATURES), np.float32)
+    for i, r in enumerate(fitted):
+        x[i, np.frombuffer(r["slots"], np.int32)] = np.frombuffer(r["counts"], np.float32)
+    table, prior, temperature = fit_naive_bayes(x, np.array([r["known"] for r in fitted], dtype=int), k)
+    model = spark.sparkContext.broadcast((np.ascontiguousarray(table.T / temperature), prior))
     path = os.path.join(tokenizers, VOCABULARY)
+    doubt = np.full((k + 1, k), np.log((1 - EVIDENCE) / max(k - 1, 1)))  # by recorded source; the last row: none
+    doubt[np.arange(k), np.arange(k)] = np.log(EVIDENCE)
+    doubt[k] = 0.0
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         count = counter(path)
+        weights, prior = model.value
         for b in batches:
-            n = [count(t) for t in b["text"]]
-            p: list[bytes | None] = [None] * len(b)
-            unknown = [i for i, (c, m) in enumerate(zip(b["known"], n, strict=True)) if c < 0 and m]
-            for i, q in zip(unknown, posterior(np.array([word_counts(b["text"].iloc[i]) for i in unknown]).reshape(len(unknown), FEATURES), *model.value), strict=True):
-                p[i] = q.astype(np.float64).tobytes()
-            yield pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n_tokens": np.array(n, dtype=np.int64), "p": p})
+            n = np.array([count(t) for t in b["text"]], dtype=np.int64)
+            z = np.zeros((len(b), k))
+            for i, t in enumerate(b["text"]):
+                if n[i]:
+                    slots, counts = sparse_counts(t)
+                    z[i] = counts @ weights[slots]
+            z += prior + doubt[np.where(b["known"] < 0, k, b["known"])]
+            p = np.exp(z - z.max(axis=1, keepdims=True))
+            q = on_grid(p / p.sum(axis=1, keepdims=True))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "known": b["known"], "n_tokens": n, "p": [r.tobytes() for r in q]})
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     sized = checkpoint(rows.mapInPandas(measure, f"doc_id {id_type}, known int, n_tokens bigint, p binary"))
-    hard = {r["known"]: r["n"] for r in sized.where("known >= 0").groupBy("known").agg(F.sum("n_tokens").alias("n")).collect()}  # at most k rows
-    soft = sized.where("known < 0 and p is not null")
+    alike = checkpoint(sized.where("n_tokens > 0").groupBy("p").agg(F.sum("n_tokens").alias("n")))
 
-    hard_tokens = np.array([float(hard.get(i, 0) or 0) for i in range(k)])
+    def memberships(p: pd.Series) -> np.ndarray:
+        return np.frombuffer(b"".join(p), np.uint16).reshape(len(p), k) / GRID
 
     def sums(of) -> np.ndarray:
-        """Tokens per source over the soft documents, each weighted by ``of(members)``."""
+        """Tokens per source, with each document weighted by ``of(members)``."""
 
         def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             total = np.zeros(k)
             for b in batches:
                 if len(b):
-                    members = np.frombuffer(b"".join(b["p"]), np.float64).reshape(len(b), k)
-                    total += (members * (of(members) * b["n_tokens"].to_numpy())[:, None]).sum(axis=0)
+                    members = memberships(b["p"])
+                    total += (of(members) * b["n"].to_numpy()) @ members
             yield pd.DataFrame({"i": np.arange(k, dtype=np.int32), "n": total})
 
-        got = soft.select("n_tokens", "p").mapInPandas(add, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect()
         out = np.zeros(k)
-        for r in got:
+        for r in alike.mapInPandas(add, "i int, n double").groupBy("i").agg(F.sum("n").alias("n")).collect():  # k rows
             out[r["i"]] = r["n"]
         return out
 
-    soft_tokens = sums(lambda members: np.ones(len(members)))
-    all_tokens = hard_tokens.sum() + soft_tokens.sum()
-    size = size_share * all_tokens
-    reachable = hard_tokens * uses + sums(lambda members: members @ uses)
-    scale = np.maximum((hard_tokens + soft_tokens) / max(size, 1e-9), 1e-9)  # the Hessian's diagonal in the metric of tokens
+    tokens = sums(lambda members: np.ones(len(members)))
+    size = size_share * tokens.sum()
+    reachable = sums(lambda members: members @ uses)
+    scale = np.maximum(tokens / max(size, 1e-9), 1e-9)  # at least the Hessian, so a step never overshoots
     residuals: list[np.ndarray] = []
     at = np.zeros(k)
-    for _ in range(STEPS):
+    while True:
         residual = at / max(size, 1e-9) - share
         residual[-1] = 0.0  # what is of other sources has no target
         residuals.append(residual)
-        past = list(residuals)
-        moved = hard_tokens * descend(past, scale, np.eye(k), uses) + sums(lambda members, past=past: descend(past, scale, members, members @ uses))
-        done = np.abs(moved - at).max() <= 1e-6 * max(size, 1.0)
-        at = moved
-        if done:
+        moved = sums(lambda members, past=list(residuals): descend(past, scale, members, members @ uses))
+        change, at = np.abs(moved - at).max(), moved
+        if change <= SETTLED * max(size, 1.0):
             break
+        if len(residuals) >= STEPS:
+            raise RuntimeError(f"rates still move by {change / size:.3g} of the mixture after {STEPS} steps")
 
     past = list(residuals)
     all_names = [*names, None]
 
     def rates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        alone = descend(past, scale, np.eye(k), uses)
         for b in batches:
+            members = memberships(b["p"])
             known_ = b["known"].to_numpy()
-            rate = np.where(known_ >= 0, alone[known_], 0.0)
-            cap, likeliest = np.where(known_ >= 0, uses[known_], 0.0), known_.copy()
-            at_ = [i for i, p in enumerate(b["p"]) if p is not None]
-            if at_:
-                members = np.frombuffer(b"".join(b["p"].iloc[at_]), np.float64).reshape(len(at_), k)
-                rate[at_] = descend(past, scale, members, members @ uses)
-                likeliest[at_] = members.argmax(axis=1)
-                cap[at_] = uses[members.argmax(axis=1)]
-            rate = np.where(b["n_tokens"] > 0, rate, 0.0)
+            label = np.where(known_ >= 0, known_, members.argmax(axis=1))
+            rate = np.where(b["n_tokens"] > 0, descend(past, scale, members, members @ uses), 0.0)
             draw = np.array([xxhash.xxh64_intdigest(f"mix|{i}") for i in b["doc_id"]], dtype=np.uint64) / 2.0**64
-            count = np.minimum(np.floor(rate + draw), cap).astype(np.int32)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": [all_names[i] if i >= 0 else None for i in likeliest], "n_tokens": b["n_tokens"], "rate": rate, "uses": count})
+            count = np.minimum(np.floor(rate + draw), uses[label]).astype(np.int32)
+            source_ = [all_names[i] if c >= 0 or n > 0 else None for i, c, n in zip(label, known_, b["n_tokens"], strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": source_, "n_tokens": b["n_tokens"], "rate": rate, "uses": count})
 
     mixture = sized.mapInPandas(rates, f"doc_id {id_type}, source string, n_tokens bigint, rate double, uses int")
     used = mixture.where("uses > 0").groupBy("source").agg(F.sum(F.col("uses") * F.col("n_tokens")).alias("used_tokens"))
     facts = [
-        (n, float(share[i]), int(uses[i]), float(hard_tokens[i] + soft_tokens[i]), float(reachable[i] / size if size else 0.0), float(at[i] / size if size else 0.0),
+        (n, float(share[i]), int(uses[i]), float(tokens[i]), float(reachable[i] / size if size else 0.0), float(at[i] / size if size else 0.0),
          bool(size > 0 and at[i] / size >= share[i] - TOLERANCE and reachable[i] > 0 or share[i] <= 0))
         for i, n in enumerate(names)
     ]
