@@ -7,6 +7,8 @@ import sys
 import tempfile
 import types
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,13 +26,46 @@ def process_cache() -> dict:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the session names; a folder of our own only where none is set."""
+    """Reliable checkpoint in the shared folder the session names.
+
+    Where none is set, a local session gets a folder of its own; on a cluster that is an error, as executors don't share local disks.
+    """
     spark = df.sparkSession
     if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quern-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+class Bitmap:
+    """Which hashes may occur in a column: a bit for each value of the top bits of a 64-bit hash.
+
+    It has 2 ** bits / 8 bytes, however many hashes there are, so it can be broadcast; bits are set and packed in the executors.
+    A hash of the column is always in it; others are in it by the share of bits that are set.
+    """
+
+    CHUNK = 4096  # words of 64 bits in a row that the driver gets
+
+    def __init__(self, hashes: DataFrame, column: str, bits: int):
+        slot, chunk = f"shiftrightunsigned(`{column}`, {64 - bits})", self.CHUNK
+        words = hashes.where(F.col(column).isNotNull()).groupBy(F.expr(f"shiftright({slot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("b"))
+
+        def pack(group: pd.DataFrame) -> pd.DataFrame:
+            out = np.zeros(chunk, dtype=np.int64)
+            out[group["w"].to_numpy() % chunk] = group["b"]
+            return pd.DataFrame({"k": [int(group["w"].iloc[0] // chunk)], "x": [out.tobytes()]})
+
+        set_ = np.zeros(1 << (bits - 6), dtype=np.uint64)
+        for r in words.groupBy((F.col("w") / chunk).cast("bigint").alias("k")).applyInPandas(pack, "k bigint, x binary").collect():  # a row per chunk
+            set_[r["k"] * chunk : (r["k"] + 1) * chunk] = np.frombuffer(r["x"], np.uint64)
+        self._words, self._shift = hashes.sparkSession.sparkContext.broadcast(set_), np.uint64(64 - bits)
+
+    def may_hold(self, h: np.ndarray) -> np.ndarray:
+        slot = h.view(np.uint64) >> self._shift
+        return (self._words.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) != 0
+
+
 def words_of(text: str) -> list[str]:
     """Runs of letters or digits of the lower-cased text, tags in angle brackets left out."""
     text = text.lower()
