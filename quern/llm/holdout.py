@@ -1,4 +1,4 @@
-"""Short texts written and labelled by hand; every second one trains, the others calibrate."""
+"""Texts written and labelled by hand: SEEDS train, so that a class the sample lacks is known; HOLDOUT calibrates and never trains."""
 
 HOLDOUT = (
     ("prose", "The old bridge was closed for repairs in May, and nobody in the village knew when it would open again."),
@@ -44,3 +44,26 @@ HOLDOUT = (
     ("junk", "Welcome to our page. kj3 99x zz1 p0q 7hh 2k9 xx8 m4m 0o0 t6r 8yy 5gf w2w 3e3 r9r 1a1 b7b"),
     ("junk", "lamp harbor quick violet sand orange kettle forest mirror dozen basket thunder copper ladder velvet saddle marble cotton"),
 )
+
+SEEDS = (
+    ("prose", "My grandmother kept the letters in a wooden box under the stairs. After the funeral we read them aloud, one after the other, until it was light."),
+    ("prose", "the bus was late again so I walked and when I got there they had already started without me which was fine because I was tired anyway"),
+    ("prose", "Der Zug hielt mitten auf der Strecke, und niemand wusste warum. Nach einer Stunde fuhr er weiter, als ob nichts gewesen wäre."),
+    ("prose", "La tienda cerró el año pasado y desde entonces la plaza está vacía. Nadie ha querido alquilar el local, aunque el precio ha bajado."),
+    ("prose", "Starý mlýn stojí u řeky už dvě stě let. Když přijde velká voda, lidé z vesnice se tam chodí dívat."),
+    ("list", "- two shirts\n- wool socks\n- torch and batteries\n- rope\n- map of the valley\n- dried fruit"),
+    ("list", "1) oak\n2) birch\n3) old maple\n4) silver fir\n5) ash tree\n6) wild cherry\n7) pine"),
+    ("list", "pencil, ruler, blue ink, paper clips, stapler, eraser, tape, scissors, folder, glue stick"),
+    ("list", "Brown Bread\nGoat Cheese\nApple Juice\nRye Flour\nSea Salt\nGreen Tea\nRed Onion"),
+    ("list", "Teller; Gabeln; kleine Löffel; Tassen; Schüsseln; Gläser; Servietten; Tischtuch; Kerzen"),
+    ("table", "name;height;weight\nOskar;182;80\nEva;169;61\nJonas;177;\nMarta;171;66\nPetr;190;92"),
+    ("table", "| day | high | low |\n|---|---|---|\n| Mon | 21.5 | 12.0 |\n| Tue | 19.0 | 11.5 |\n| Wed |  | 9.0 |"),
+    ("table", "player\tgames\tgoals\nNovak\t12\t3\nBraun\t14\t7\nRuiz\t9\t\nHill\t11\t2\nKral\t13\t5"),
+    ("table", "model     year      doors     price\nfox       1998      4         3100\nlynx      2004      2         5250\nowl       2011      4         7900"),
+    ("table", "port,ships,tons\nNorth,14,88200\nEast,9,40110\nWest,21,120450\nSouth,3,9050"),
+    ("junk", "~~##@@ !!;;%% {}{}[] <<>>|| ^^&&** ++--== //\\\\ ::,, ((%%)) @#@# ~!~! ;;## $$%% }{ ]["),
+    ("junk", "xkqv brtzz mpplk wqrtn dfghjk zzxcv nnbvt plkrs qqwrt tgbnm ccvbn rfvtg yhnbj mkplq"),
+    ("junk", "aGVsbG8gd29ybGQgdGhpcyBpcyBub3RoaW5nIGJ1dCBhIGxvbmcgbGluZSBvZiBjb2RlMDEyMzQ1Njc4OQ=="),
+    ("junk", "win win prize prize click win click prize win now now click prize win click now prize win click win prize now"),
+    ("junk", "copper lantern meadow seventeen gravel violin curtain almond thunder ribbon harvest pillow cinder maple anchor button"),
+)

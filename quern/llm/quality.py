@@ -1,7 +1,7 @@
 """Statistics of a text that tell prose from lists, tables and junk, and trees trained on them.
 
 Labelling rules of high precision mark clear prose, lists, tables and junk in a bounded sample; gradient-boosted trees learn
-the classes from the statistics alone, and a temperature is set on a small holdout that was written and checked by hand.
+the classes from the statistics alone, and a temperature is set on a holdout that was written and checked by hand.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ KINDS = ("prose", "list", "table", "junk")
 #: Texts the trees are fitted on, at most: the first in the order of a hash of their id.
 TRAINING_ROWS = 4000
 LEAST_LENGTH = 40
+MEMO_WORDS = 500_000
 
 #: Frequent function words of the four languages.
 COMMON = frozenset(
@@ -62,57 +63,94 @@ def _classes() -> np.ndarray:
     return cache["character classes"]
 
 
+class Words(dict):
+    """token -> its row in ``facts`` and ``form``, worked out once per process."""
+
+    FACTS = 10  # token, length, its square, long word, long word with a vowel, word-like, single letter, common, mixed, number
+
+    def __init__(self):
+        super().__init__()
+        self.facts, self.form, self.longest = np.zeros((4096, self.FACTS)), np.zeros(4096, dtype=np.int64), np.zeros(4096, dtype=np.int64)
+        self.forms: dict[str, int] = {}
+
+    def __missing__(self, token: str) -> int:
+        k = len(self)
+        if k == len(self.form):
+            self.facts, self.form, self.longest = np.vstack([self.facts, np.zeros_like(self.facts)]), np.r_[self.form, np.zeros_like(self.form)], np.r_[self.longest, np.zeros_like(self.longest)]
+        form = token.lower().strip(".:!?…\"“”'()[]{}»«")
+        n, size, alpha = len(token), len(form), form.isalpha()
+        voiced = alpha and _VOWEL.search(form) is not None
+        self.facts[k] = (
+            1, n, n * n, alpha and size > 2, voiced and size > 2, voiced and 2 <= size <= 14, alpha and size == 1, alpha and form in COMMON,
+            not alpha and _MIXED.search(form) is not None, not alpha and form.replace(".", "").isdigit(),
+        )
+        self.form[k], self.longest[k] = self.forms.setdefault(form, len(self.forms)), n
+        self[token] = k
+        return k
+
+
+def _spread(values: list[int]) -> tuple[float, float]:
+    """Mean and standard deviation."""
+    mean = sum(values) / len(values)
+    return mean, max(sum(v * v for v in values) / len(values) - mean * mean, 0.0) ** 0.5
+
+
 def statistics(text: str) -> list[float]:
     """The values of FEATURES for a whole text; all are finite, also for an empty one."""
+    cache = process_cache()
+    memo = cache.get("quality words")
+    if memo is None or len(memo) > MEMO_WORDS:
+        memo = cache["quality words"] = Words()
     raw = text.strip()
-    rows = "</t" in raw.lower()
+    tagged = "<" in raw
+    rows = tagged and "</t" in raw.lower()
     body = re.sub(r"</t[dh]>\s*<t[dh][^<>]*>", " | ", raw, flags=re.I) if rows else raw
-    body = re.sub(r"</(?:tr|li|p|div)>|<br\s*/?>", "\n", body, flags=re.I) if "<" in body else body
-    plain = _TAG.sub(" ", body) if "<" in body else body
+    body = re.sub(r"</(?:tr|li|p|div)>|<br\s*/?>", "\n", body, flags=re.I) if tagged else body
+    plain = _TAG.sub(" ", body) if tagged else body
     chars = max(len(plain), 1)
     bare = _MARK.sub("", plain)  # what follows the marks of list items
-    tokens = _TOKEN.findall(bare)
-    n = max(len(tokens), 1)
-    low = [t.strip(".:!?…\"“”'()[]{}»«") for t in _TOKEN.findall(bare.lower())]
-    counts = Counter(low)
-    odd = [w for w in low if not w.isalpha()]
-    alpha = [(w, c) for w, c in counts.items() if w.isalpha()]
-    lengths = np.fromiter(map(len, tokens), float, len(tokens)) if tokens else np.zeros(1)
+    at = [memo[t] for t in _TOKEN.findall(bare)]
+    total, length_sum, square_sum, long_words, voiced_long, word_like, singles, common, mixed, numbers = memo.facts[at].sum(axis=0).tolist() if at else [0.0] * Words.FACTS
+    longest = int(memo.longest[at].max()) if at else 0
+    repeats = Counter(memo.form[at].tolist()) if at else {}
+    n = max(total, 1)
+    mean_word = length_sum / n
     lines = [x for x in plain.split("\n") if x.strip()] or [""]
-    line_words = np.array([len(x.split()) for x in lines], float)
+    per_line = [len(x.split()) for x in lines]
+    line_mean, line_sd = _spread(per_line)
     codes = np.frombuffer(plain.encode("utf-32-le", "replace"), dtype=np.uint32)
     kinds = np.bincount(_classes()[np.minimum(codes, 0xFFFF)], minlength=5)
     letters, upper, digits, spaces = int(kinds[1] + kinds[2]), int(kinds[2]), int(kinds[3]), int(kinds[4])
-    voiced = [(w, c) for w, c in alpha if _VOWEL.search(w)]
-    long_words = sum(c for w, c in alpha if len(w) > 2)
     ends = len(_SENTENCE.findall(plain))
     marked = sum(1 for x in lines if _MARK.match(x))
-    cells = [[c for c in _CELL.split(x.strip().strip("|"))] for x in lines]
-    widths = Counter(len(c) for c in cells)
+    cells = [_CELL.split(x.strip().strip("|")) for x in lines]
+    widths = Counter(map(len, cells))
     wide = {k: v for k, v in widths.items() if k > 1}
     same = max(wide.values(), default=0)
+    all_cells = sum(k * v for k, v in widths.items())
     # A text in one or two lines may be a list divided by separators.
     items: list[str] = []
+    item_sizes = [0]
     if len(lines) <= 3:
         best = max(_SEPARATORS, key=plain.count)
         if plain.count(best) >= 4:
             items = [x.strip() for x in max(lines, key=len).split(best)]
+            item_sizes = [len(x.split()) for x in items]
     else:
-        items = [x.strip() for x in lines]
-    item_words = np.array([len(x.split()) for x in items], float) if items else np.zeros(1)
+        items, item_sizes = lines, per_line
     blank = sum(not c.strip() for row in cells if len(row) > 1 for c in row)
     return [
-        np.log1p(len(raw)), float(np.log1p(len(tokens))), lengths.mean(), lengths.std(), 1 - (letters + digits + spaces) / chars, digits / chars, upper / max(letters, 1), spaces / chars,
-        (long_words - sum(c for w, c in voiced if len(w) > 2)) / n, float(np.log1p(lengths.max(initial=0))),
-        sum(1 for w in odd if _MIXED.search(w)) / n,
-        sum(c for w, c in alpha if w in COMMON) / n, len(counts) / n, max(counts.values(), default=0) / n,
-        float(np.log1p(len(lines))), min(line_words.mean(), 60.0), min(line_words.std(), 60.0), sum(1 for x in lines if x.rstrip().rstrip("\"”'*_)").endswith((".", "!", "?", "…", ":"))) / len(lines),
-        marked / len(lines), sum(1 for x in line_words if x <= 6) / len(lines),
-        ends / n, min(n / max(ends, 1), 200.0), sum(1 for w in odd if w.replace(".", "").isdigit()) / n,
-        min(sum(len(c) for c in cells) / len(lines), 20.0), same / len(lines), sum(wide.values()) / len(lines), 1 - len(plain.replace(" ", "")) / max(len(raw.replace(" ", "")), 1), len(_MOJIBAKE.findall(plain)) / chars,
-        min(item_words.mean(), 60.0), min(len(items) * 100 / n, 100.0), float((item_words <= 4).mean()), blank / max(sum(len(c) for c in cells), 1),
+        np.log1p(len(raw)), float(np.log1p(total)), mean_word, max(square_sum / n - mean_word * mean_word, 0.0) ** 0.5, 1 - (letters + digits + spaces) / chars, digits / chars, upper / max(letters, 1), spaces / chars,
+        (long_words - voiced_long) / n, float(np.log1p(longest)),
+        mixed / n,
+        common / n, len(repeats) / n, max(repeats.values(), default=0) / n,
+        float(np.log1p(len(lines))), min(line_mean, 60.0), min(line_sd, 60.0), sum(1 for x in lines if x.rstrip().rstrip("\"”'*_)").endswith((".", "!", "?", "…", ":"))) / len(lines),
+        marked / len(lines), sum(1 for x in per_line if x <= 6) / len(lines),
+        ends / n, min(n / max(ends, 1), 200.0), numbers / n,
+        min(all_cells / len(lines), 20.0), same / len(lines), sum(wide.values()) / len(lines), 1 - len(plain.replace(" ", "")) / max(len(raw.replace(" ", "")), 1), len(_MOJIBAKE.findall(plain)) / chars,
+        min(sum(item_sizes) / len(item_sizes), 60.0), min(len(items) * 100 / n, 100.0), sum(1 for x in item_sizes if x <= 4) / len(item_sizes), blank / max(all_cells, 1),
         sum(1 for x in lines if x.lstrip()[:1].islower()) / len(lines),
-        sum(c for w, c in voiced if 2 <= len(w) <= 14) / n, sum(1 for x in lines if x.istitle()) / len(lines), len(re.findall(r"\S {3,}\S", plain)) / len(lines), sum(c for w, c in alpha if len(w) == 1) / n,
+        word_like / n, sum(1 for x in lines if x.istitle()) / len(lines), len(re.findall(r"\S {3,}\S", plain)) / len(lines), singles / n,
     ]
 
 
@@ -160,16 +198,13 @@ def _sample(examples: DataFrame, id_col: str, text_col: str, rows: int) -> tuple
 
 
 def fit_kinds(examples: DataFrame, id_col: str = "id", text_col: str = "text", rows: int = TRAINING_ROWS) -> BoostedTrees:
-    """Trees over FEATURES with a calibrated temperature; with an empty sample, of the hand-written texts alone."""
-    from quern.llm.holdout import HOLDOUT
+    """Trees over FEATURES, fitted on weak labels and the hand-written SEEDS, with a temperature calibrated on HOLDOUT, of which nothing trains."""
+    from quern.llm.holdout import HOLDOUT, SEEDS
 
     x, y = _sample(examples, id_col, text_col, rows)
     order = np.lexsort((np.arange(len(y)), [xxhash.xxh32_intdigest(v.tobytes()) for v in x])) if len(y) else np.zeros(0, int)
     x, y = x[order], y[order]
-    # A few texts of each class that were written by hand keep a class known that the sample lacks.
-    hand = [(statistics(t), KINDS.index(k)) for k, t in HOLDOUT]
-    train = [h for i, h in enumerate(hand) if i % 2 == 0]
-    held = [h for i, h in enumerate(hand) if i % 2 == 1]
+    train, held = ([(statistics(t), KINDS.index(k)) for k, t in texts] for texts in (SEEDS, HOLDOUT))
     x = np.vstack([x, np.repeat(np.array([s for s, _ in train]), 3, axis=0)])
     y = np.concatenate([y, np.repeat([k for _, k in train], 3)])
     trees = BoostedTrees(len(KINDS)).fit(x, y)
