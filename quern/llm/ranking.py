@@ -39,7 +39,8 @@ def clean_rankings(judgments: DataFrame) -> DataFrame:
     quality = F.when(F.col("quality_score").between(0, 1), F.col("quality_score"))
     rows = judgments.select("doc_id", F.lower(F.trim("judge_id")).alias("judge_id"), item.alias("item_id"), F.trim("source_id").alias("source_id"), F.col("rank").cast("double").alias("rank"), quality.alias("quality"), "judged_at")
     rows = rows.where("doc_id is not null and judge_id is not null and source_id is not null and item_id != '' and (rank is not null or quality is not null)")
-    latest = rows.groupBy("doc_id", "judge_id", "item_id").agg(F.max(F.struct(F.coalesce("judged_at", F.lit("1970-01-01").cast("timestamp")).alias("at"), "rank", "quality", "source_id")).alias("m"))
+    # One shuffle brings a ranking together for what follows; its items hardly combine before it.
+    latest = rows.repartition("doc_id", "judge_id").groupBy("doc_id", "judge_id", "item_id").agg(F.max(F.struct(F.coalesce("judged_at", F.lit("1970-01-01").cast("timestamp")).alias("at"), "rank", "quality", "source_id")).alias("m"))
     flat = latest.select("doc_id", "judge_id", "item_id", "m.source_id", "m.rank", "m.quality")
     ranking = Window.partitionBy("doc_id", "judge_id")
     both = F.col("quality").isNotNull() & F.col("rank").isNotNull()
@@ -47,6 +48,7 @@ def clean_rankings(judgments: DataFrame) -> DataFrame:
     spread = F.stddev_pop(ranked).over(ranking) * F.stddev_pop(scored).over(ranking)
     agree = F.try_divide(F.covar_pop(ranked, scored).over(ranking), spread)  # null where all are tied
     flat = flat.withColumns({"agree": agree, "scores": F.count(scored).over(ranking), "odd": F.count_if(~both).over(ranking), "better": -F.col("quality"), "later": -F.col("rank")})
+    flat = checkpoint(flat)
     upside_down = F.coalesce((F.col("agree") > 0.5) & (F.col("scores") >= 3), F.lit(False))
     whole = flat.where("odd = 0").withColumn("position", F.when(upside_down, F.col("better")).otherwise(F.col("rank")))
     upto = (Window.unboundedPreceding, 0)
@@ -84,7 +86,7 @@ def comparisons(rankings: DataFrame, reach: int = REACH, slice_items: int = SLIC
 
     All pairs of items of a ranking, however long it is; a contestant isn't compared with itself.
     """
-    sized = checkpoint(rankings.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "judge_id"))))
+    sized = rankings.withColumn("items", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "judge_id")))
     order = Window.partitionBy("doc_id", "judge_id").orderBy("position", "item_id")
     ahead = [F.lead(F.struct("source_id", "position"), k).over(order) for k in range(1, reach + 1)]
     short = sized.where(F.col("items") <= reach + 1)
@@ -92,9 +94,8 @@ def comparisons(rankings: DataFrame, reach: int = REACH, slice_items: int = SLIC
     won = F.when(F.col("position") < F.col("o.position"), 1.0).otherwise(0.5)
     first = F.col("source_id") < F.col("o.source_id")
     each = pairs.select(F.least("source_id", "o.source_id").alias("a"), F.greatest("source_id", "o.source_id").alias("b"), F.lit(1.0).alias("n"), F.when(first, won).otherwise(1 - won).alias("wins"))
-    long = sized.where(F.col("items") > reach + 1)
-    if long.limit(1).count():
-        each = each.unionByName(_long_comparisons(long, slice_items))
+    if rankings.groupBy("doc_id", "judge_id").count().where(F.col("count") > reach + 1).limit(1).count():
+        each = each.unionByName(_long_comparisons(sized.where(F.col("items") > reach + 1), slice_items))
     return each.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("wins").alias("wins"))
 
 
