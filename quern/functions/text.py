@@ -8,9 +8,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Spellings of languages and the codes they stand for.
-LANGUAGE_ALIASES = {"english": "en", "german": "de", "spanish": "es", "czech": "cs", "french": "fr", "italian": "it"}
+LANGUAGE_ALIASES = {"en": "en", "en-en": "en", "en-us": "en", "english": "en", "es": "es", "es-es": "es", "spanish": "es", "de": "de", "german": "de", "cs": "cs", "czech": "cs"}
 #: Words that carry no content in explanations.
-STOP_WORDS = ("the", "and", "for", "that", "this", "with", "are", "was", "not", "but", "from", "has", "have", "which", "their", "its", "more")
+STOP_WORDS = (
+    "the", "a", "an", "and", "or", "it", "this", "that", "is", "are", "was", "were", "of", "to", "in", "for", "with", "as", "on", "by", "because", "suggests", "indicates", "text", "span",
+    "phrase", "writing", "authorship", "human", "ai", "generated", "common", "typical",
+)
 WHITE = r"(?U)\s+"
 
 
@@ -19,6 +22,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def strip(c: Column) -> Column:
+    """White space at both ends dropped, also no-break and other Unicode blanks."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """White space collapsed to single blanks and stripped, also no-break and other Unicode blanks."""
     return F.trim(F.regexp_replace(c, WHITE, " "))
@@ -66,9 +74,14 @@ def ascii_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z0-9]+"), F.lit(0))
 
 
+def white_words(c: Column) -> Column:
+    """Words between white space, as an array; empty for null."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), WHITE), lambda w: w != "")
+
+
 def normalized_explanation(c: Column) -> Column:
-    """Lower case, only letters, digits, blanks and hyphens, collapsed."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s-]", ""), r"\s+", " "))
+    """Lower case, stripped, white space collapsed, then all but letters, digits, blanks and hyphens dropped."""
+    return F.regexp_replace(squeeze(F.lower(c)), r"[^a-z0-9\s-]", "")
 
 
 def word_ngrams(tokens: Column, n: int) -> Column:
@@ -97,7 +110,7 @@ def content_tokens(c: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of distinct values; two empty ones are equal."""
+    """Of two arrays of distinct values; 1 for two empty ones."""
     return let(F.size(F.array_union(a, b)), lambda either: F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(F.lit(1.0)))
 
 
@@ -121,7 +134,23 @@ def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-x))).otherwise(F.exp(x) / (1 + F.exp(x)))
 
 
-def first_number(c: Column) -> Column:
-    """First number in a free text as a share: percentages over 1 are divided by 100."""
-    n = F.regexp_extract(c, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return F.when(n > 1, n / 100).otherwise(n)
+#: Phrases of a reported score that say there is none.
+NO_SCORE = (
+    "not reported", "not applicable", "n/a", "significant drop", "varies by", "considerable unreliability", "evaluated as", "evaluated across", "near-zero error", "trade-off possible",
+    "reduced in real-world", "average improvement", "low reliability",
+)
+
+
+def reported_score(c: Column) -> Column:
+    """A score from free text: the first number, or the last where the text says "from .. to ..", as a share (over 1 and up to 100: a percentage).
+
+    Null for an empty text, one without a number and one that says there is no score.
+    """
+    low = F.lower(F.trim(c))
+    none = low == ""
+    for phrase in NO_SCORE:
+        none = none | F.contains(low, F.lit(phrase))
+    numbers = F.regexp_extract_all(low, F.lit(r"(\d+\.\d+|\d+)"), F.lit(1))
+    span = F.contains(low, F.lit(" from ")) & F.contains(low, F.lit(" to "))
+    n = F.when(~none & (F.size(numbers) > 0), F.when(span, F.element_at(numbers, -1)).otherwise(F.try_element_at(numbers, F.lit(1)))).try_cast("double")
+    return F.when((n > 1) & (n <= 100), n / 100).otherwise(n)

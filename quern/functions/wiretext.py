@@ -5,9 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Phrases that make a comment depend on its context, and forms that explain nothing.
-DEPENDENT = ("as above", "see above", "mentioned earlier", "same as", "previous comment", "again here", "like before")
-TAUTOLOGY = r"(?i)\b(sounds|seems|feels) (ai|human|generated|robotic)\b"
+from quern.functions.text import strip, white_words
+
+#: Phrases by which a comment leans on another version of the text.
+DEPENDENT = ("compared to", "compared with", "original version", "source version", "human version", "ai version", "reference text")
+#: Patterns of explanations that name what models do, what people do, or a cause, and of those that only restate a verdict.
+MECHANISM = (
+    r"(?i)AI\s+(tends?|rarely|never|often|usually|frequently|almost never|is trained|generates?|produces?)",
+    r"(?i)LLMs?\s+(tends?|rarely|never|often|generates?|produces?)",
+    r"(?i)language models?\s+(tends?|rarely|generates?|produces?|are trained)",
+    r"(?i)\btrained\s+(to|on\b|not\s+to)",
+    r"(?i)\bfine[- ]?tun(ed|ing)\b",
+    r"(?i)(GPT|Claude|Gemini|Grok|LLMs?|models?)\s+(tends?|often|rarely|generates?|produces?|are\s+trained|is\s+trained)",
+    r"(?i)(generated|auto-?generated|AI-?generated)\s+text",
+    r"(?i)\bgenerat(es?|ed|ion)\b.{0,40}\b(AI|model|LLM|automat)",
+    r"(?i)\b(AI|LLM|models?).{0,40}\b(generat|produc|avoid|omit|skip|rarely|seldom|never)",
+    r"(?i)humans?\s+(naturally|tends?|often|rarely|writes?|uses?|prefers?|avoids?)",
+    r"(?i)people\s+(tends?|naturally|often|rarely)",
+    r"(?i)human\s+writers?",
+    r"(?i)(humans|people)\s+(instinctively|spontaneously|unconsciously)",
+    r"(?i)\bbecause\b.{5,}",
+    r"(?i)\bunlike\b.{10,}",
+    r"(?i)\bwhereas\b.{10,}",
+    r"(?i)\bin contrast\b.{10,}",
+    r"(?i)\bunless prompted\b",
+    r"(?i)since\s+(AI|LLM|model|language)",
+)
+TAUTOLOGY = (
+    r"(?i)is a\s+(small |subtle |clear |strong |notable |definitive |tell-?tale )?(sign|tell\b|indicator|marker|clue|hallmark|hint|evidence)",
+    r"(?i)(indicates?|suggests?)\s+(human|AI|machine|non-AI|that this)",
+    r"(?i)points?\s+to\s+(human|AI|machine)",
+    r"(?i)is\s+(consistent|inconsistent)\s+with\s+(human|AI|machine)",
+)
+
+
+def matches_any(c: Column, patterns: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | c.rlike(p)
+    return out
 
 
 def strip_return_token(c: Column) -> Column:
@@ -33,15 +69,15 @@ def json_object(c: Column, schema: str) -> Column:
 
 
 def probability(c: Column, field: str = "p_ai") -> Column:
-    """A field of a JSON response, else the first number after its name, within 0..1."""
-    n = F.coalesce(F.get_json_object(c, f"$.{field}").try_cast("double"), F.regexp_extract(c, rf'{field}"?\s*[:=]\s*([0-9.]+)', 1).try_cast("double"))
+    """A field of a JSON response, else the first number between 0 and 1 in its text, within 0..1."""
+    n = F.coalesce(F.get_json_object(c, f"$.{field}").try_cast("double"), F.nullif(F.regexp_extract(c, r"(0(?:\.\d+)?|1(?:\.0+)?)", 1), F.lit("")).try_cast("double"))
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), n))
 
 
 def needs_rewrite(c: Column) -> Column:
-    """An explanation that is too short or says no more than its label."""
-    n = F.length(F.trim(F.coalesce(c, F.lit(""))))
-    return (n < 20) | ((n < 60) & F.coalesce(c, F.lit("")).rlike(TAUTOLOGY))
+    """An explanation under 60 characters, one that names no mechanism, or one that names one and still only restates the verdict."""
+    why = F.trim(F.coalesce(c, F.lit("")))
+    return (F.length(why) < 60) | ~matches_any(why, MECHANISM) | matches_any(why, TAUTOLOGY)
 
 
 def is_standalone(c: Column) -> Column:
@@ -53,13 +89,38 @@ def is_standalone(c: Column) -> Column:
 
 
 def curly_quotes(c: Column) -> Column:
-    """Straight quotes as typographic ones: opening at the start or after a blank or bracket, else closing; apostrophes close."""
-    out = F.regexp_replace(c, r'(^|[\s(\[])"', "$1“")
+    """Straight quotes as typographic ones: opening at the start or after a blank or bracket, else closing; within a word an apostrophe."""
+    out = F.regexp_replace(c, r'(?<=^|[\s({\[])"', "“")
     out = F.replace(out, F.lit('"'), F.lit("”"))
-    out = F.regexp_replace(out, r"(^|[\s(\[])'", "$1‘")
+    out = F.regexp_replace(out, r"(?U)(\w)'(\w)", "$1’$2")
+    out = F.regexp_replace(out, r"(?<=^|[\s({\[])'", "‘")
     return F.replace(out, F.lit("'"), F.lit("’"))
 
 
+def escaped_comment(c: Column) -> Column:
+    """``& < >`` as entities, then typographic quotes."""
+    out = c
+    for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        out = F.replace(out, F.lit(raw), F.lit(entity))
+    return curly_quotes(out)
+
+
+def unquoted_words(c: Column) -> Column:
+    """Words between white space outside quoted sections."""
+    return F.size(white_words(F.regexp_replace(c, r'“[^”]*”|"[^"]*"', "")))
+
+
+def response_text(c: Column) -> Column:
+    """The part of a completion that is meant for the user: its block of the channel 'final', else its last block of any channel, else the
+    completion without its thinking and without backticks around it (unless nothing is left)."""
+    block = r"(?s)<\|channel\|>\s*([^<\s]+)\s*<\|message\|>(.*?)(?=<\|channel\|>|<\|end\|>|<\|return\|>|$)"
+    names = F.regexp_extract_all(c, F.lit(block), F.lit(1))
+    bodies = F.regexp_extract_all(c, F.lit(block), F.lit(2))
+    final = F.array_position(F.transform(names, lambda n: F.lower(F.trim(n)) == "final"), True)
+    plain = F.regexp_replace(strip(F.regexp_replace(c, r"(?s)<\|channel\|>\s*analysis\s*<\|message\|>.*?<\|end\|>", "")), r"^`+|`+$", "")
+    return F.when(F.size(bodies) > 0, strip(F.coalesce(F.when(final > 0, F.try_element_at(bodies, final.cast("int"))), F.element_at(bodies, -1)))).when(plain != "", plain).otherwise(strip(c))
+
+
 def replace_first(c: Column, old: Column, new: Column) -> Column:
     """The first occurrence only."""
     at = F.instr(c, old)
@@ -67,8 +128,44 @@ def replace_first(c: Column, old: Column, new: Column) -> Column:
 
 
 def truncate_words(words: Column, longest: int, lookback: int = 25) -> Column:
-    """The first ``longest`` words, cut back by at most ``lookback`` words to the end of a sentence if there is one."""
+    """The first ``longest`` words, cut back to the last end of a sentence among the last ``lookback`` words if there is one (never to nothing)."""
     head = F.slice(words, 1, longest)
-    tail = F.reverse(F.slice(head, F.greatest(F.size(head) - lookback + 1, F.lit(1)), lookback))
+    seen = F.least(F.lit(lookback), F.size(head) - 1)
+    tail = F.reverse(F.slice(head, F.size(head) - seen + 1, F.greatest(seen, F.lit(0))))
     back = F.array_position(F.transform(tail, lambda w: w.rlike(r"[.!?]$")), True)
     return F.when(F.size(words) <= longest, words).when(back > 0, F.slice(head, F.lit(1), (F.size(head) - back + 1).cast("int"))).otherwise(head)
+
+
+def first_match(c: Column, patterns: tuple[str, ...]) -> Column:
+    """The number the first pattern that matches captures; over 1 it is a percentage; rounded to four places."""
+    n = F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns]).try_cast("double")
+    return F.round(F.when(n > 1, n / 100).otherwise(n), 4)
+
+
+def from_inverted_index(index: Column) -> Column:
+    """Text from a map word -> positions."""
+    places = F.flatten(F.transform(F.map_entries(index), lambda e: F.transform(e["value"], lambda i: F.struct(i.alias("i"), e["key"].alias("w")))))
+    return F.array_join(F.transform(F.array_sort(places), lambda p: p["w"]), " ")
+
+
+def rubric_scores(c: Column, n: int, field: str = "ann") -> Column:
+    """The numbers of the last object of a response that starts with ``field``, within 0..1; null unless there are ``n``."""
+    last = F.concat(F.lit(f'{{"{field}":'), F.element_at(F.split(c, rf'\{{"{field}":'), -1))
+    numbers = F.from_json(F.regexp_extract(last, rf'\{{"{field}":\s*(\[[^\]]*\])', 1), "array<double>")
+    return F.when(F.size(numbers) == n, F.transform(numbers, lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))))
+
+
+def scorer_text(c: Column, openings: tuple[str, ...]) -> Column:
+    """A response as a scorer gets it: what follows the thinking, without a first paragraph that opens like an assistant (if there are more), in lower case, white space collapsed."""
+    from quern.functions.text import let, squeeze
+
+    answer = F.when(F.contains(c, F.lit("</think>")), strip(F.substr(c, F.instr(c, "</think>") + 8, F.length(c)))).otherwise(c)
+
+    def join(p: Column) -> Column:
+        head = F.regexp_replace(F.try_element_at(p, F.lit(1)), "^[^a-zA-Z0-9]*", "")
+        stock = F.lit(False)
+        for o in openings:
+            stock = stock | F.startswith(head, F.lit(o))
+        return F.array_join(F.when((F.size(p) > 1) & stock, F.slice(p, F.lit(2), F.size(p))).otherwise(p), "\n")
+
+    return squeeze(F.lower(let(F.filter(F.split(answer, "\n"), lambda x: strip(x) != ""), join)))

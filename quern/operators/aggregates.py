@@ -4,16 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from quern.operators.ranks import positions
 
 
 def lower_quantile(rows: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    """Discrete lower quantiles ``sorted[floor(q * (n - 1))]`` per group, as columns; from counts per distinct value."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy(*groups).orderBy("_v")
-    cum = counts.withColumns({"_to": F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(Window.partitionBy(*groups))})
-    at = {k: F.floor(F.lit(q) * (F.col("_n") - 1)) + 1 for k, q in quantiles.items()}
-    return cum.groupBy(*groups).agg(*[F.min(F.when(F.col("_to") >= a, F.col("_v"))).alias(k) for k, a in at.items()])
+    """Discrete lower quantiles ``sorted[floor(q * (n - 1))]`` per group, as columns; from positions, so no task holds a group."""
+    placed = positions(rows.where(F.col(value).isNotNull()).select(*groups, value), [value], groups)
+    at = {k: F.floor(F.lit(q) * (F.col("group_rows") - 1)) for k, q in quantiles.items()}
+    return placed.groupBy(*groups).agg(*[F.max(F.when(F.col("position") == a, F.col(value))).alias(k) for k, a in at.items()])
+
+
+def linear_quantile(rows: DataFrame, groups: list[str], value: str, quantiles: dict[str, float]) -> DataFrame:
+    """Interpolated quantiles per group, as columns (q <= 0: the least, q >= 1: the greatest); from positions, so no task holds a group."""
+    placed = positions(rows.where(F.col(value).isNotNull()).select(*groups, value), [value], groups)
+    out = []
+    for k, q in quantiles.items():
+        at = F.lit(min(1.0, max(0.0, q))) * (F.col("group_rows") - 1)
+        share = at - F.floor(at)
+        low = F.max(F.when(F.col("position") == F.floor(at), F.col(value)))
+        high = F.max(F.when(F.col("position") == F.ceil(at), F.col(value)))
+        out.append((low + (high - low) * F.max(share)).alias(k))
+    return placed.groupBy(*groups).agg(*out)
 
 
 def softmax_mean(score: Column, beta: float = 3.0) -> Column:

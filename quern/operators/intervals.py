@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quern.functions.text import let, strip
+
 INTERVALS = "array<struct<start:int,end:int>>"
 
 
@@ -34,20 +36,20 @@ def covered(intervals: Column) -> Column:
 
 
 def kept_spans(text: Column, intervals: Column, sep: str = " [...] ") -> Column:
-    """The pieces of ``text`` in merged intervals, stripped and joined; a blank if there is none."""
-    pieces = F.transform(intervals, lambda x: F.trim(F.substr(text, x["start"] + 1, x["end"] - x["start"])))
-    return F.when(F.size(intervals) > 0, F.array_join(pieces, sep)).otherwise(F.lit(" "))
+    """The pieces of ``text`` in merged intervals, stripped and joined, blank ones left out; a blank if there is none."""
+    pieces = F.filter(F.transform(intervals, lambda x: strip(F.substr(text, x["start"] + 1, x["end"] - x["start"]))), lambda p: p != "")
+    return let(pieces, lambda p: F.when(F.size(p) > 0, F.array_join(p, sep)).otherwise(F.lit(" ")))
 
 
 def without_spans(text: Column, intervals: Column, mask: str = "") -> Column:
-    """``text`` without the merged intervals (or with ``mask`` in their place), stripped; a blank if nothing is left."""
+    """``text`` without the merged intervals (or with ``mask`` in their place), stripped; a blank if nothing is left, and as it is without intervals."""
     state = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
     folded = F.aggregate(
         intervals, state, lambda a, x: F.struct(F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit(mask)).alias("out"), x["end"].alias("at")),
         lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1, F.greatest(F.length(text) - a["at"], F.lit(0)))),
     )
-    done = F.trim(folded)
-    return F.when(done == "", " ").otherwise(done)
+    done = strip(folded)
+    return F.when(F.size(intervals) == 0, text).when(done == "", " ").otherwise(done)
 
 
 def merge_interval_rows(rows: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:

@@ -7,41 +7,55 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def global_position(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Column ``position`` from 0 in the order of ``order`` (which must be unique for a fixed result).
+#: Rows that a range of the first column may hold before it is cut further, and the most ranges of a number.
+LARGEST, RANGES = 1_000_000, 1024
+
+
+def positions(rows: DataFrame, order: list[str], groups: list[str] = [], largest: int = LARGEST) -> DataFrame:  # noqa: B006
+    """Columns ``position`` (from 0, in ascending ``order`` within ``groups``, nulls first) and ``group_rows``; ``order`` must be unique for a fixed result.
 
-    Rows are cut into ranges of the first column by its quantiles; a row's position is its rank in its range plus the rows of the ranges before.
-    Ties of the first column stay in one range, as the range depends on the value alone.
+    A row's position is its rank in its range of the first column plus the rows of its group in the ranges before, so no task holds a group.
+    Strings are cut by a prefix, which is lengthened until no range holds more than ``largest`` rows; numbers and times by their quantiles.  Ties of the first
+    column stay in one range, as the range depends on the value alone.
     """
-    first = order[0]
-    hashed = rows.schema[first].dataType.simpleString() == "string"
-    if hashed:
-        # Strings: ranges by their first three characters, numbered in order.
-        heads = rows.groupBy(F.substring(first, 1, 3).alias("_head")).agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        heads = heads.withColumn("_before", before).drop("_n")
-        marked = rows.withColumn("_head", F.substring(first, 1, 3)).join(heads, "_head")
+    first, kind = order[0], rows.schema[order[0]].dataType.simpleString()
+    counted = lambda m: m.groupBy("_key").agg(F.first("_group").alias("_group"), F.first("_head").alias("_head"), F.count(F.lit(1)).alias("_n"))
+    group = F.struct(*groups) if groups else F.lit(0)
+    keyed = lambda head: rows.withColumns({"_group": group, "_head": head}).withColumn("_key", F.struct("_group", "_head"))
+    if kind == "string":
+        for length in (3, 6, 12, 24, 48, 96, 192):
+            marked = keyed(F.substring(first, 1, length))
+            most = counted(marked).agg(F.max("_n")).first()[0]
+            if most is None or most <= largest:
+                break
     else:
-        cuts = rows.approxQuantile(first, [i / 64 for i in range(1, 64)], 0.01)
-        at = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(first))) if cuts else F.lit(0)
-        marked = rows.withColumn("_head", at)
-        counts = marked.groupBy("_head").agg(F.count(F.lit(1)).alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        marked = marked.join(F.broadcast(counts.withColumn("_before", before).drop("_n")), "_head")  # 64 rows at most
-    rank = F.row_number().over(Window.partitionBy("_head").orderBy(*order)) - 1
-    return marked.withColumn("position", F.col("_before") + rank).drop("_head", "_before")
+        value = F.unix_micros(F.col(first).cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else F.col(first).cast("double")
+        numbers = rows.select(value.alias("_x"))
+        ranges = min(RANGES, max(16, rows.count() // largest + 1))
+        cuts = sorted(set(numbers.where(~F.isnan("_x")).approxQuantile("_x", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+        marked = keyed(F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))).otherwise(-1) if cuts else F.lit(0))
+    heads = counted(marked)
+    of_group = Window.partitionBy("_group")
+    before = F.coalesce(F.sum("_n").over(of_group.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = heads.select("_key", before.alias("_before"), F.sum("_n").over(of_group).alias("group_rows"))  # a row per group and range
+    rank = F.row_number().over(Window.partitionBy("_key").orderBy(*order)) - 1
+    return marked.join(heads, "_key").withColumn("position", F.col("_before") + rank).drop("_key", "_group", "_head", "_before")
+
+
+def global_position(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Column ``position`` from 0 over the whole table."""
+    return positions(rows, order).drop("group_rows")
 
 
 def ordered_ema(rows: DataFrame, key: str, order: list[str], value: str, alpha: float, start: float) -> DataFrame:
     """``key, ema, visits``: exponential moving average of a key's values in arrival order.
 
-    As the average is a weighted sum with weights alpha * (1 - alpha)^(rows after), it needs a rank and a sum, not a fold over a collected list.
+    As the average is a weighted sum with weights alpha * (1 - alpha)^(rows after), it needs positions and a sum, not a fold over a collected list.
     """
-    back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])) - 1
-    ranked = rows.select(key, F.col(value).alias("_v"), back.alias("_back"))
-    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("_back"))
+    placed = positions(rows.select(key, *order, F.col(value).alias("_v")), order, [key])
+    weight = F.lit(alpha) * F.pow(F.lit(1 - alpha), F.col("group_rows") - 1 - F.col("position"))
     visits = F.count(F.lit(1))
-    return ranked.groupBy(key).agg((F.sum(weight * F.col("_v")) + F.lit(start) * F.pow(F.lit(1 - alpha), visits)).alias("ema"), visits.alias("visits"))
+    return placed.groupBy(key).agg((F.sum(weight * F.col("_v")) + F.lit(start) * F.pow(F.lit(1 - alpha), visits)).alias("ema"), visits.alias("visits"))
 
 
 def streaks(rows: DataFrame, key: str, order: list[str], condition: Column) -> DataFrame:

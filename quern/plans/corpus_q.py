@@ -12,8 +12,6 @@ from quern.operators.ranks import global_position
 from quern.plans.registry import query, table
 
 _NAME = "regexp_replace(lower(trim({0})), '[\\s-]+', '_', 'g')"
-_LANG = """CASE WHEN {0} IS NULL OR trim({0}) = '' THEN NULL ELSE coalesce(CASE replace(lower(trim({0})), '_', '-') WHEN 'english' THEN 'en' WHEN 'german' THEN 'de' WHEN 'spanish' THEN 'es' WHEN 'czech' THEN 'cs' WHEN 'french' THEN 'fr' WHEN 'italian' THEN 'it' END,
-  nullif(regexp_extract(replace(lower(trim({0})), '_', '-'), '^([a-z]{{2}})(-|$)', 1), ''), replace(lower(trim({0})), '_', '-')) END"""
 _WHITE = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 
 
@@ -28,28 +26,6 @@ def _clean(x: str) -> str:
 _BUCKET = "(('0x' || substr(sha256({0}), 1, 8))::BIGINT % {1})"
 
 
-def _unified(spark, d):
-    e = table(spark, d, "examples")
-    return N.unified_record(
-        e, F.col("dataset"), F.split("id", "::")[1], F.split("id", "::")[2], F.col("text"), F.col("label"), F.col("domain"), F.try_element_at("meta", F.lit("language")), F.col("generator"), F.col("attack"),
-        source=F.split("dataset", "/")[0], detail=F.try_element_at("meta", F.lit("source_detail")), title=F.try_element_at("meta", F.lit("title")),
-    )
-
-
-_UNIFIED_SQL = f"""SELECT dataset || '::' || split_part(id, '::', 2) || '::' || split_part(id, '::', 3) AS unified_id, dataset AS dataset_id, label, coalesce({_NAME.format("domain")}, 'unknown') AS domain,
-  coalesce({_LANG.format("meta['language']")}, 'en') AS language, coalesce(CASE WHEN trim(generator) <> '' THEN generator END, CASE WHEN label = 0 THEN 'human' END) AS generator_model, coalesce(lower(trim(attack)) <> 'none', false) AS is_adversarial FROM examples"""
-
-
-@query("C01_unified_records", f"WITH u AS ({_UNIFIED_SQL}) SELECT *, domain NOT IN ('code', 'non_english', 'unknown') AND NOT is_adversarial AS is_default_training_candidate FROM u")
-def c01(spark, d):
-    return _unified(spark, d).select("unified_id", "dataset_id", "label", "domain", "language", "generator_model", "is_adversarial", "is_default_training_candidate")
-
-
-@query("C13_language_codes", f"SELECT lang, {_LANG.format('lang')} AS language, count(*) AS documents FROM documents GROUP BY ALL")
-def c13(spark, d):
-    return table(spark, d, "documents").groupBy("lang", T.normalize_language(F.col("lang")).alias("language")).agg(F.count(F.lit(1)).alias("documents"))
-
-
 @query("C21_text_hash", f"SELECT doc_id, sha256({_squeeze('lower(text)')}) AS text_hash FROM documents WHERE text IS NOT NULL")
 def c21(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.stable_hash(T.normalize_for_hash(F.col("text"))).alias("text_hash"))
@@ -87,11 +63,6 @@ def c28(spark, d):
     return table(spark, d, "examples").select("id", F.substring(F.sha2(T.key_of("dataset", "domain", "label", head), 256), 1, 26).alias("uid"))
 
 
-@query("C38_word_counts", "SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS words FROM documents WHERE text IS NOT NULL")
-def c38(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(F.regexp_extract_all("text", F.lit("[A-Za-z0-9_]+"), F.lit(0))).cast("bigint").alias("words"))
-
-
 @query("C49_hash_choice", f"SELECT doc_id, ('0x' || substr(sha256('7|' || substr(text, 1, 128)), 1, 8))::BIGINT % 3 AS choice FROM documents WHERE text IS NOT NULL")
 def c49(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", T.hash_bucket(T.key_of(F.lit("7"), F.substring("text", 1, 128)), 3).alias("choice"))
@@ -103,46 +74,6 @@ def c50(spark, d):
     return rows.select("id", "detector", "generated_at", "raw_score", F.round(T.sigmoid(F.col("raw_score")), 6).alias("p"))
 
 
-@query("D05_clean_rows", f"SELECT label, count(*) AS rows FROM examples WHERE trim(text) <> '' AND label IS NOT NULL AND coalesce(lower(trim(attack)), 'none') = 'none' AND coalesce({_NAME.format('domain')}, 'unknown') <> 'unknown' GROUP BY label")
-def d05(spark, d):
-    u = _unified(spark, d).where("is_default_training_candidate and trim(text) != '' and label is not null")
-    return u.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("D06_adversarial_rows", f"SELECT dataset, lower(trim(attack)) AS attack, count(*) AS rows FROM examples WHERE label = 1 AND trim(text) <> '' AND lower(trim(attack)) <> 'none' AND {_NAME.format('domain')} NOT IN ('code', 'non_english') GROUP BY ALL")
-def d06(spark, d):
-    rows = table(spark, d, "examples").where((F.col("label") == 1) & (F.trim("text") != "") & (F.lower(F.trim("attack")) != "none") & ~N.canonical_name(F.col("domain")).isin("code", "non_english"))
-    return rows.groupBy("dataset", F.lower(F.trim("attack")).alias("attack")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("D12_missing_labels", "SELECT coalesce(id, 'x') AS id, CASE WHEN text IS NULL OR trim(text) = '' THEN 'empty_text' WHEN label IS NULL OR label NOT IN (0, 1) THEN 'bad_label' END AS reason FROM examples WHERE text IS NULL OR trim(text) = '' OR label IS NULL OR label NOT IN (0, 1)")
-def d12(spark, d):
-    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), "empty_text").when(F.col("label").isNull() | ~F.col("label").isin(0, 1), "bad_label")
-    return N.route_rows(table(spark, d, "examples"), reason)[1].select("id", "reason")
-
-
-@query("D17_expert_comments", "SELECT id, slot, a.annotator_id AS annotator_id, a.comment AS comment FROM (SELECT id, unnest([1, 2, 3, 4, 5]) AS slot, unnest([annotator_1, annotator_2, annotator_3, annotator_4, annotator_5]) AS a FROM expert_articles) WHERE len(regexp_extract_all(a.comment, '[A-Za-z0-9]+')) >= 3")
-def d17(spark, d):
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"annotator_{i}").alias("a")) for i in range(1, 6)])
-    rows = table(spark, d, "expert_articles").select("id", F.explode(slots).alias("s")).select("id", "s.slot", "s.a.annotator_id", "s.a.comment")
-    return rows.where(F.size(F.regexp_extract_all("comment", F.lit("[A-Za-z0-9]+"), F.lit(0))) >= 3)
-
-
-@query("D18_edited_pairs", f"SELECT {_NAME.format('source')} AS source, source_id, ai_edited.model AS model, length(source_text) AS n_source, length(ai_edited.text) AS n_edited FROM pair_docs WHERE text_type = 'ai_edited' AND trim(source_text) <> '' AND ai_edited.text IS NOT NULL")
-def d18(spark, d):
-    rows = table(spark, d, "pair_docs").where("text_type = 'ai_edited' and trim(source_text) != '' and ai_edited.text is not null")
-    return rows.select(N.canonical_name(F.col("source")).alias("source"), "source_id", F.col("ai_edited.model").alias("model"), F.length("source_text").alias("n_source"), F.length("ai_edited.text").alias("n_edited"))
-
-
-@query("D19_pairs_within_q3", "WITH p AS (SELECT source_id, greatest(length(source_text), length(ai_edited.text)) AS n FROM pair_docs WHERE source_text IS NOT NULL AND ai_edited.text IS NOT NULL), q AS (SELECT list_sort(list(n))[(0.75 * (count(*) - 1))::DECIMAL(18,2)::BIGINT + 1] AS x, floor(0.75 * (count(*) - 1)) AS k FROM p) SELECT source_id, n FROM p WHERE n <= (SELECT list_sort(list(n))[floor(0.75 * (count(*) - 1))::BIGINT + 1] FROM p)")
-def d19(spark, d):
-    from quern.operators.aggregates import lower_quantile
-
-    p = table(spark, d, "pair_docs").select("source_id", F.length("source_text").alias("a"), F.length("ai_edited.text").alias("b")).where("a is not null and b is not null").select("source_id", F.greatest("a", "b").alias("n"))
-    cut = lower_quantile(p, [], "n", {"q3": 0.75})
-    return p.crossJoin(F.broadcast(cut)).where("n <= q3").select("source_id", "n")  # one row
-
-
 @query(
     "F01_count_tables",
     f"""WITH u AS (SELECT dataset, lower(trim(split)) AS split, {_NAME.format('domain')} AS domain, label FROM examples)
@@ -154,12 +85,6 @@ def f01(spark, d):
     return sets.agg(F.grouping_id().cast("bigint").alias("gid"), F.count(F.lit(1)).alias("rows"))
 
 
-@query("F02_conservation", "SELECT dataset, count(*) AS seen, count(*) FILTER (text IS NULL OR trim(text) = '') AS excluded, count(*) FILTER (text IS NOT NULL AND trim(text) <> '') AS included, true AS adds_up FROM examples GROUP BY dataset")
-def f02(spark, d):
-    reason = F.when(F.col("text").isNull() | (F.trim("text") == ""), F.lit("empty"))
-    return N.conservation(table(spark, d, "examples"), "dataset", reason)
-
-
 @query("F03_labels_by_domain", f"SELECT {_NAME.format('domain')} AS domain, count(*) FILTER (label = 0) AS human, count(*) FILTER (label = 1) AS ai, count(*) AS total FROM examples GROUP BY 1")
 def f03(spark, d):
     rows = table(spark, d, "examples").select(N.canonical_name(F.col("domain")).alias("domain"), "label")
@@ -168,17 +93,6 @@ def f03(spark, d):
     return p.withColumnRenamed("domain", "d").join(totals, F.col("d").eqNullSafe(F.col("domain"))).select("domain", F.coalesce("0", F.lit(0)).alias("human"), F.coalesce("1", F.lit(0)).alias("ai"), "total")
 
 
-@query("F04_split_summary", "SELECT coalesce(lower(trim(split)), 'remaining') AS split, coalesce(lower(trim(attack)), 'none') AS attack, label, count(*) AS rows FROM examples GROUP BY ALL")
-def f04(spark, d):
-    return table(spark, d, "examples").groupBy(F.coalesce(F.lower(F.trim("split")), F.lit("remaining")).alias("split"), F.coalesce(F.lower(F.trim("attack")), F.lit("none")).alias("attack"), "label").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("F05_value_counts", "WITH v AS (SELECT 'generator' AS field, coalesce(generator, 'null') AS value, count(*) AS rows FROM examples GROUP BY ALL) SELECT field, value, rows FROM v ORDER BY rows DESC, value LIMIT 20")
-def f05(spark, d):
-    v = table(spark, d, "examples").groupBy(F.coalesce("generator", F.lit("null")).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-    return v.orderBy(F.desc("rows"), "value").limit(20).select(F.lit("generator").alias("field"), "value", "rows")  # a top-20 report
-
-
 @query(
     "G03_stratified_sample",
     f"""WITH c AS (SELECT dataset, count(*) AS n FROM examples GROUP BY dataset), r AS (SELECT *, 200 * n / sum(n) OVER () AS raw FROM c),
@@ -218,12 +132,6 @@ def g12(spark, d):
     return A.sha_split(rows, "id", 9, [("test", 0.1), ("val", 0.2), ("train", 0.7)], ["label"])
 
 
-@query("G16_group_split", "SELECT id, prompt_id, CASE WHEN prompt_id % 5 = 0 THEN 'test' WHEN prompt_id % 5 = 1 THEN 'validation' ELSE 'train' END AS assigned FROM expert_articles WHERE prompt_id IS NOT NULL")
-def g16(spark, d):
-    g = F.pmod("prompt_id", F.lit(5))
-    return table(spark, d, "expert_articles").where("prompt_id is not null").select("id", "prompt_id", F.when(g == 0, "test").when(g == 1, "validation").otherwise("train").alias("assigned"))
-
-
 @query("G24_blind_ids", "SELECT doc_id, judge_id, source_id, item_id, 'A' || row_number() OVER (PARTITION BY doc_id, judge_id ORDER BY sha256('11|' || source_id || '|' || item_id), source_id, item_id) AS blind FROM (SELECT DISTINCT doc_id, judge_id, source_id, item_id FROM judgments WHERE source_id IS NOT NULL AND item_id IS NOT NULL)")
 def g24(spark, d):
     items = table(spark, d, "judgments").where("source_id is not null and item_id is not null").select("doc_id", "judge_id", "source_id", "item_id").distinct()
@@ -237,12 +145,6 @@ def g26(spark, d):
     return A.oversample(table(spark, d, "mix_targets"), F.col("max_uses")).groupBy("source", F.col("copy").cast("bigint").alias("copy")).agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("G28_weighted_sample", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY round(-ln((('0x' || substr(sha256('17|' || doc_id), 1, 8))::BIGINT + 1) / 4294967297.0) / (1 + n_chars), 9), doc_id) AS place FROM documents WHERE source IS NOT NULL) WHERE place <= 2")
-def g28(spark, d):
-    rows = table(spark, d, "documents").where("source is not null")
-    return A.weighted_without_replacement(rows, ["source"], 1 + F.col("n_chars"), 2, 17, "doc_id").select("source", "doc_id")
-
-
 @query("B07_round_robin_shards", "SELECT shard, count(*) AS rows, min(id) AS first_id FROM (SELECT id, (row_number() OVER (ORDER BY sha256('7|' || id), id) - 1) % 8 AS shard FROM examples) GROUP BY shard")
 def b07(spark, d):
     keyed = A.with_sort_key(table(spark, d, "examples").select("id"), 7, "id")

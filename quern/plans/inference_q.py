@@ -72,16 +72,6 @@ def m11(spark, d):
     return I.wilcoxon_greater(_rates(spark, d), ["judge_id"], "win_rate").select("judge_id", "n", F.round("w_plus", 3).alias("w_plus"), F.round("z", 6).alias("z"))
 
 
-@query("M13_holm", f"""WITH {_RATES}, s AS (SELECT judge_id, avg(win_rate) AS m, stddev_samp(win_rate) AS sd, count(*) AS n FROM rates GROUP BY judge_id), p AS (SELECT judge_id, round(least(1.0, exp(-abs((m - 0.5) / (sd / sqrt(n))))), 9) AS p FROM s),
-  k AS (SELECT *, row_number() OVER (ORDER BY p, judge_id) AS k, count(*) OVER () AS m FROM p), h AS (SELECT *, max(least(1.0, p * (m - k + 1))) OVER (ORDER BY k) AS p_holm, least(1.0, min(p * m / k) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM k)
-  SELECT judge_id, p, round(p_holm, 9) AS p_holm, round(p_bh, 9) AS p_bh FROM h""")
-def m13(spark, d):
-    s = _rates(spark, d).groupBy("judge_id").agg(F.avg("win_rate").alias("m"), F.stddev_samp("win_rate").alias("sd"), F.count(F.lit(1)).alias("n"))
-    tests = s.select("judge_id", F.round(F.least(F.lit(1.0), F.exp(-F.abs((F.col("m") - 0.5) / (F.col("sd") / F.sqrt("n"))))), 9).alias("p"))
-    both = I.benjamini_hochberg(I.holm(tests, "p", ["judge_id"]), "p", ["judge_id"])
-    return both.select("judge_id", "p", F.round("p_holm", 9).alias("p_holm"), F.round("p_bh", 9).alias("p_bh"))
-
-
 @query("M09_bootstrap_win_rate")
 def m09(spark, d):
     items = _rates(spark, d).withColumn("item", F.concat_ws("|", "doc_id", "judge_id"))
@@ -133,13 +123,6 @@ def k07(spark, d):
     return R.streaks(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") < 50).groupBy("user_id").agg(F.max("streak").alias("longest"))
 
 
-@query("K08_best_so_far", "SELECT event_type, count(*) FILTER (value > coalesce(before, -1)) AS improvements, max(value) AS best FROM (SELECT event_type, value, max(value) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM events) GROUP BY event_type")
-def k08(spark, d):
-    before = F.max("value").over(Window.partitionBy("event_type", "user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1))
-    rows = table(spark, d, "events").withColumn("before", before)
-    return rows.groupBy("event_type").agg(F.count_if(F.col("value") > F.coalesce("before", F.lit(-1.0))).alias("improvements"), F.max("value").alias("best"))
-
-
 @query("K16_group_advantages", f"WITH s AS (SELECT detector, dataset, id, generated_at, score_ai, avg(score_ai) OVER w AS m, stddev_pop(score_ai) OVER w AS sd FROM predictions WHERE {VALID} WINDOW w AS (PARTITION BY detector, dataset)) SELECT detector, dataset, id, generated_at, score_ai, round(greatest(-5.0, least(5.0, (score_ai - m) / greatest(sd, 0.0001))), 6) AS advantage FROM s")
 def k16(spark, d):
     w = Window.partitionBy("detector", "dataset")
@@ -180,13 +163,6 @@ def o01(spark, d):
     return rows.groupBy("id").agg(F.round(softmax_mean(F.col("s")), 9).alias("evidence"), F.round(softmax_mean(F.col("s"), 0.0), 9).alias("plain"))
 
 
-@query("O05_verdict_score", f"WITH s AS (SELECT id, 2 * score_ai - 1 AS s FROM predictions WHERE {VALID}), g AS (SELECT id, sum(exp(3 * abs(s)) * s) / sum(exp(3 * abs(s))) AS e FROM s GROUP BY id) SELECT id, round(least(1.0, greatest(0.0, 0.5 + 0.5 * (exp(2 * e / 0.5) - 1) / (exp(2 * e / 0.5) + 1))), 9) AS verdict FROM g")
-def o05(spark, d):
-    rows = table(spark, d, "predictions").where(M.is_valid()).withColumn("s", 2 * F.col("score_ai") - 1)
-    e = rows.groupBy("id").agg(softmax_mean(F.col("s")).alias("e"))
-    return e.select("id", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.5 * F.tanh(F.col("e") / 0.5))), 9).alias("verdict"))
-
-
 @query("Q02_ucb_weights", """WITH r AS (SELECT event_type, value / 100.0 AS x, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) - 1 AS back FROM events), e AS (SELECT event_type, count(*) AS n, sum(0.1 * power(0.9, back) * x) + 0.5 * power(0.9, count(*)) AS ema, var_pop(x) AS v FROM r GROUP BY event_type),
   u AS (SELECT *, v + 0.5 / sqrt(n + 1) + 0.3 * greatest(0.0, 0.5 - ema) AS raw FROM e), s AS (SELECT *, exp(2 * (raw - max(raw) OVER ())) AS x FROM u) SELECT event_type, round(0.9 * x / sum(x) OVER () + 0.1 / count(*) OVER (), 6) AS weight FROM s""")
 def q02(spark, d):

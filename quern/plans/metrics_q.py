@@ -206,13 +206,3 @@ def d08(spark, d):
     s = F.col("score_ai")
     bad = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
     return table(spark, d, "predictions").groupBy("detector").agg(F.count(F.lit(1)).alias("rows"), F.count_if(M.is_valid()).alias("valid_rows"), F.count_if(bad).alias("unscored"))
-
-
-@query(
-    "F23_runtime_summary",
-    "SELECT detector, count(*) AS rows, round(avg(runtime_s), 6) AS mean_s, round(quantile_cont(runtime_s, 0.5), 6) AS p50, round(quantile_cont(runtime_s, 0.9), 6) AS p90, round(quantile_cont(runtime_s, 0.95), 6) AS p95, round(quantile_cont(runtime_s, 0.99), 6) AS p99 FROM predictions WHERE coalesce(error, '') = '' AND runtime_s IS NOT NULL GROUP BY detector",
-)
-def f23(spark, d):
-    rows = table(spark, d, "predictions").where((F.coalesce("error", F.lit("")) == "") & F.col("runtime_s").isNotNull())
-    q = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
-    return rows.groupBy("detector").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("runtime_s"), 6).alias("mean_s"), *[F.round(F.percentile("runtime_s", p), 6).alias(k) for k, p in q.items()])

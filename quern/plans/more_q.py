@@ -23,43 +23,6 @@ def c36(spark, d):
     return table(spark, d, "examples").where("text is not null").select("id", F.sha2(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("  "), F.lit(" ")), 256).alias("form"))
 
 
-@query("C33_curly_quotes", """SELECT cid, replace(regexp_replace(replace(regexp_replace(comment, '(^|[\\s(\\[])"', '\\1“', 'g'), '"', '”'), '(^|[\\s(\\[])''', '\\1‘', 'g'), '''', '’') AS form FROM """ + _COMMENTS)
-def c33(spark, d):
-    return _comments(spark, d).select("cid", R.curly_quotes(F.col("comment")).alias("form"))
-
-
-@query("C35_comment_words", f"SELECT cid, len({_TOK.format('comment')}) AS words FROM {_COMMENTS}")
-def c35(spark, d):
-    return _comments(spark, d).select("cid", F.size(T.ascii_tokens(F.col("comment"))).cast("bigint").alias("words"))
-
-
-@query("C40_needs_rewrite", f"SELECT cid, length(trim(comment)) < 20 OR (length(trim(comment)) < 60 AND regexp_matches(comment, '(?i)\\b(sounds|seems|feels) (ai|human|generated|robotic)\\b')) AS rewrite FROM {_COMMENTS}")
-def c40(spark, d):
-    return _comments(spark, d).select("cid", R.needs_rewrite(F.col("comment")).alias("rewrite"))
-
-
-@query("C44_numbers_in_titles", "SELECT id, CASE WHEN n > 1 THEN n / 100 ELSE n END AS share FROM (SELECT id, TRY_CAST(regexp_extract(text, '(\\d+(?:\\.\\d+)?)', 1) AS DOUBLE) AS n FROM examples WHERE text IS NOT NULL) WHERE n IS NOT NULL AND n < 1e9")
-def c44(spark, d):
-    n = F.regexp_extract("text", r"(\d+(?:\.\d+)?)", 1).try_cast("double")
-    rows = table(spark, d, "examples").where("text is not null").withColumn("n", n).where("n is not null and n < 1e9")
-    return rows.select("id", T.first_number(F.col("text")).alias("share"))
-
-
-@query("C48_truncated_documents", "WITH w AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) SELECT doc_id, least(len(w), 128) AS most FROM w")
-def c48(spark, d):
-    words = F.filter(F.split("text", r"[ \t\n\r]+"), lambda x: x != "")
-    rows = table(spark, d, "documents").where("text is not null").select("doc_id", words.alias("w"))
-    cut = rows.select("doc_id", F.size("w").alias("n"), F.size(R.truncate_words(F.col("w"), 128)).alias("k"))
-    # Cutting back loses at most 25 words; what is compared is the bound that every cut must keep.
-    return cut.where("k <= least(n, 128) and k >= least(n, 128) - 25").select("doc_id", F.least("n", F.lit(128)).cast("bigint").alias("most"))
-
-
-@query("D01_allowed_strata", "SELECT dataset, count(*) AS rows FROM examples WHERE dataset IN (SELECT dataset FROM sample_targets) GROUP BY dataset")
-def d01(spark, d):
-    allowed = table(spark, d, "sample_targets").select("dataset").distinct()  # a configuration
-    return table(spark, d, "examples").join(F.broadcast(allowed), "dataset", "left_semi").groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("D10_split_is_disjoint", "WITH a AS (SELECT prompt_id, prompt_id % 5 = 0 AS test FROM expert_articles) SELECT count(DISTINCT prompt_id) FILTER (test) AS test_prompts, count(DISTINCT prompt_id) FILTER (NOT test) AS other_prompts, (SELECT count(*) FROM (SELECT prompt_id FROM a WHERE test INTERSECT SELECT prompt_id FROM a WHERE NOT test)) AS shared FROM a")
 def d10(spark, d):
     a = table(spark, d, "expert_articles").select("prompt_id", (F.pmod("prompt_id", F.lit(5)) == 0).alias("test"))
@@ -67,11 +30,6 @@ def d10(spark, d):
     return per.agg(F.count_if("any").alias("test_prompts"), F.count_if(~F.col("every")).alias("other_prompts"), F.count_if(F.col("any") & ~F.col("every")).alias("shared"))
 
 
-@query("D14_standalone_comments", f"SELECT cid FROM {_COMMENTS} WHERE NOT regexp_matches(lower(comment), '" + "|".join(R.DEPENDENT) + "')")
-def d14(spark, d):
-    return _comments(spark, d).where(R.is_standalone(F.col("comment"))).select("cid")
-
-
 @query("E05_test_beside_validation", f"WITH t AS (SELECT detector, avg(score_ai) AS m FROM predictions WHERE {VALID} AND lower(trim(split)) = 'test' GROUP BY detector), v AS (SELECT detector, avg(score_ai) AS m FROM predictions WHERE {VALID} AND lower(trim(split)) IN ('val', 'validation') GROUP BY detector) SELECT t.detector, round(t.m, 6) AS test_mean, round(v.m, 6) AS validation_mean FROM t LEFT JOIN v USING (detector)")
 def e05(spark, d):
     rows = table(spark, d, "predictions").where(M.is_valid()).withColumn("s", F.lower(F.trim("split")))
@@ -103,12 +61,6 @@ def e16(spark, d):
     return pairs.groupBy(F.col("x.detector").alias("a"), F.col("y.detector").alias("b")).agg(F.round(F.avg(F.col("x.m") - F.col("y.m")), 6).alias("gap"), F.count(F.lit(1)).alias("domains"))
 
 
-@query("F08_stratum_means", f"SELECT dataset, domain, count(*) AS rows, round(avg(score_ai), 6) AS mean_score, round(avg((coalesce(error, '') = '')::INT), 6) AS clean_rate FROM predictions WHERE {_FINITE_SQL} GROUP BY ALL")
-def f08(spark, d):
-    clean = (F.coalesce("error", F.lit("")) == "").cast("double")
-    return table(spark, d, "predictions").where(_FINITE).groupBy("dataset", "domain").agg(F.count(F.lit(1)).alias("rows"), F.round(F.avg("score_ai"), 6).alias("mean_score"), F.round(F.avg(clean), 6).alias("clean_rate"))
-
-
 @query("F09_sign_rates", f"SELECT detector, round(avg((2 * score_ai - 1 > 0)::INT), 6) AS positive, round(avg((abs(2 * score_ai - 1) < 0.2)::INT), 6) AS ambiguous, round(avg(score_ai) FILTER (label = 1) - avg(score_ai) FILTER (label = 0), 6) AS gap FROM predictions WHERE {VALID} GROUP BY detector")
 def f09(spark, d):
     s = 2 * F.col("score_ai") - 1
@@ -116,43 +68,12 @@ def f09(spark, d):
     return table(spark, d, "predictions").where(M.is_valid()).groupBy("detector").agg(F.round(F.avg((s > 0).cast("double")), 6).alias("positive"), F.round(F.avg((F.abs(s) < 0.2).cast("double")), 6).alias("ambiguous"), F.round(gap, 6).alias("gap"))
 
 
-@query("F16_comment_variety", f"SELECT count(*) AS comments, count(DISTINCT comment) AS forms, round(avg(length(comment)), 6) AS mean_length, round(quantile_cont(length(comment), 0.95), 6) AS p95 FROM {_COMMENTS}")
-def f16(spark, d):
-    n = F.length("comment")
-    return _comments(spark, d).agg(F.count(F.lit(1)).alias("comments"), F.count_distinct("comment").alias("forms"), F.round(F.avg(n), 6).alias("mean_length"), F.round(F.percentile(n, 0.95), 6).alias("p95"))
-
-
-@query("G06_round_robin_over_strata", "WITH r AS (SELECT id, dataset, row_number() OVER (PARTITION BY dataset ORDER BY sha256('21|' || id), id) AS turn FROM examples WHERE label IS NOT NULL) SELECT id, dataset, turn FROM r WHERE turn <= 4")
-def g06(spark, d):
-    keyed = A.with_sort_key(table(spark, d, "examples").where("label is not null").select("id", "dataset"), 21, "id")
-    turn = F.row_number().over(Window.partitionBy("dataset").orderBy("sort_key", "id"))
-    return keyed.withColumn("turn", turn).where("turn <= 4").select("id", "dataset", "turn")
-
-
-@query("G10_balanced_evaluation", "WITH k AS (SELECT id, label, row_number() OVER (PARTITION BY label ORDER BY sha256('23|' || id), id) AS place FROM examples WHERE label IS NOT NULL), m AS (SELECT least(25, (SELECT count(*) FROM examples WHERE label = 0), (SELECT count(*) FROM examples WHERE label = 1)) AS m) SELECT id, label FROM k, m WHERE place <= m")
-def g10(spark, d):
-    e = table(spark, d, "examples").where("label is not null").select("id", "label")
-    return A.top_per_group(A.with_sort_key(e, 23, "id"), ["label"], ["sort_key", "id"], 25).select("id", "label")
-
-
 @query("H01_union_of_runs", "SELECT split, count(*) AS rows FROM (SELECT lower(trim(split)) AS split FROM examples UNION ALL SELECT lower(trim(split)) FROM predictions) GROUP BY split")
 def h01(spark, d):
     a, b = (table(spark, d, t).select(F.lower(F.trim("split")).alias("split")) for t in ("examples", "predictions"))
     return a.unionByName(b).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("H12_cache_keys", "SELECT id, substr(sha256(concat_ws('|', detector, id, coalesce(raw_label, ''))), 1, 12) AS cache_key FROM predictions")
-def h12(spark, d):
-    return table(spark, d, "predictions").select("id", F.substring(F.sha2(T.key_of("detector", "id", "raw_label"), 256), 1, 12).alias("cache_key"))
-
-
-@query("J30_label_vocabulary", "SELECT detector, CASE WHEN lower(trim(raw_label)) IN ('ai', 'machine', 'machine-generated', 'ai-generated', 'fake') THEN 'ai' WHEN lower(trim(raw_label)) IN ('human', 'human-written', 'real') THEN 'human' ELSE 'other' END AS kind, count(*) AS rows FROM predictions GROUP BY ALL")
-def j30(spark, d):
-    low = F.lower(F.trim("raw_label"))
-    kind = F.when(low.isin("ai", "machine", "machine-generated", "ai-generated", "fake"), "ai").when(low.isin("human", "human-written", "real"), "human").otherwise("other")
-    return table(spark, d, "predictions").groupBy("detector", kind.alias("kind")).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("K09_linear_decay", "SELECT step, greatest(2, round_even(8 - 6 * step / 20.0, 0))::BIGINT AS k FROM range(0, 30) AS r(step)")
 def k09(spark, d):
     return spark.range(30).select(F.col("id").alias("step"), F.greatest(F.lit(2), F.bround(8 - 6 * F.col("id") / 20.0)).cast("bigint").alias("k"))
@@ -183,52 +104,6 @@ def l08(spark, d):
     return M.threshold_metrics(table(spark, d, "predictions").where(M.is_valid()), ["detector", "dataset"]).select("detector", "dataset", "tp", "fp", "tn", "fn")
 
 
-@query("N06_label_ngrams", f"WITH t AS (SELECT id, {_TOK.format('title')} AS t FROM expert_articles WHERE title IS NOT NULL), g AS (SELECT DISTINCT id, unnest(list_concat({_GRAMS('t', 1)}, {_GRAMS('t', 2)})) AS gram FROM t) SELECT gram, count(*) AS df FROM g GROUP BY gram")
-def n06(spark, d):
-    rows = table(spark, d, "expert_articles").where("title is not null")
-    return document_frequency(rows, "id", T.ngrams_upto(T.ascii_tokens(F.col("title")), 2))
-
-
-@query("N10_phrase_matches", f"SELECT phrase, count(*) AS comments FROM {_COMMENTS}, (VALUES ('the same'), ('too'), ('it is')) AS v(phrase) WHERE contains(' ' || array_to_string({_TOK.format('comment')}, ' ') || ' ', ' ' || phrase || ' ') GROUP BY phrase")
-def n10(spark, d):
-    padded = F.concat(F.lit(" "), F.array_join(T.ascii_tokens(F.col("comment")), " "), F.lit(" "))
-    phrases = F.explode(F.array(*[F.lit(p) for p in ("the same", "too", "it is")]))
-    rows = _comments(spark, d).select(padded.alias("t"), phrases.alias("phrase")).where(F.contains("t", F.concat(F.lit(" "), F.col("phrase"), F.lit(" "))))
-    return rows.groupBy("phrase").agg(F.count(F.lit(1)).alias("comments"))
-
-
-@query("N20_overlap_score", f"WITH p AS (SELECT source_id, {_TOK.format('source_text')} AS a, {_TOK.format('ai_edited.text')} AS b FROM pair_docs WHERE source_text IS NOT NULL AND ai_edited.text IS NOT NULL), r AS (" + " UNION ALL ".join(f"SELECT source_id, {n} AS n, sum(least(x, coalesce(y, 0))) / sum(x) AS ratio FROM (SELECT source_id, g, count(*) AS x FROM (SELECT source_id, unnest({_GRAMS('a', n)}) AS g FROM p) GROUP BY ALL) LEFT JOIN (SELECT source_id, g, count(*) AS y FROM (SELECT source_id, unnest({_GRAMS('b', n)}) AS g FROM p) GROUP BY ALL) USING (source_id, g) GROUP BY source_id" for n in (3, 4, 5)) + ") SELECT source_id AS id, round(sum(n * ln(n) * ratio), 6) AS score FROM r GROUP BY source_id")
-def n20(spark, d):
-    import math
-
-    from quern.operators.textmine import overlap_ratio
-
-    p = table(spark, d, "pair_docs").where("source_text is not null and ai_edited.text is not null")
-    a, b = p.select("source_id", F.col("source_text").alias("t")), p.select("source_id", F.col("ai_edited.text").alias("t"))
-    parts = [overlap_ratio(a, b, "source_id", T.ascii_tokens(F.col("t")), n).withColumn("s", F.col("ratio") * (n * math.log(n))) for n in (3, 4, 5)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("id").agg(F.round(F.sum("s"), 6).alias("score"))
-
-
-@query("O13_score_agreement", f"WITH m AS (SELECT id, avg(score_ai) AS m FROM predictions WHERE {VALID} GROUP BY id) SELECT p.detector, round(avg(1 - abs(p.score_ai - m.m)), 6) AS agreement FROM predictions p JOIN m USING (id) WHERE {VALID} GROUP BY p.detector")
-def o13(spark, d):
-    rows = table(spark, d, "predictions").where(M.is_valid()).select("id", "detector", "score_ai")
-    m = F.avg("score_ai").over(Window.partitionBy("id"))
-    return rows.withColumn("m", m).groupBy("detector").agg(F.round(F.avg(1 - F.abs(F.col("score_ai") - F.col("m"))), 6).alias("agreement"))
-
-
-@query("O24_feature_score", "SELECT id, detector, generated_at, round(1 / (1 + exp(-((2.75 - x / 20) / 1))), 6) AS score FROM (SELECT id, detector, generated_at, TRY_CAST(features['perplexity'] AS DOUBLE) AS x FROM predictions) WHERE x IS NOT NULL")
-def o24(spark, d):
-    x = F.try_element_at("features", F.lit("perplexity")).try_cast("double")
-    rows = table(spark, d, "predictions").select("id", "detector", "generated_at", x.alias("x")).where("x is not null")
-    return rows.select("id", "detector", "generated_at", F.round(T.sigmoid(2.75 - F.col("x") / 20), 6).alias("score"))
-
-
-@query("P07_repeated_openings", f"SELECT substr(trim(lower(comment)), 1, 24) AS opening, count(*) AS comments, round(ln(1 + count(*)), 6) AS genericity FROM {_COMMENTS} GROUP BY 1")
-def p07(spark, d):
-    opening = F.substring(F.trim(F.lower("comment")), 1, 24)  # the bucket is defined by the first characters
-    return _comments(spark, d).groupBy(opening.alias("opening")).agg(F.count(F.lit(1)).alias("comments"), F.round(F.ln(1 + F.count(F.lit(1))), 6).alias("genericity"))
-
-
 @query("Q07_curriculum_ramp", "SELECT step, round(0.2 + 0.6 * least(1.0, greatest(0.0, step / 10.0)), 9) AS tau FROM range(0, 20) AS r(step)")
 def q07(spark, d):
     from quern.operators.samplers import linear_ramp

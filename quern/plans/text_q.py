@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.functions import evidence as E
 from quern.functions import text as T
 from quern.operators import intervals as V
 from quern.operators import textmine as X
 from quern.plans.registry import query, table
 
+_W = r"[\s\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _GRAMS = lambda t, n: f"CASE WHEN len({t}) >= {n} THEN list_transform(range(1, len({t}) - {n} + 2), lambda i: array_to_string({t}[i:i+{n - 1}], ' ')) ELSE [] END"
 _COMMENTS = "(SELECT id::VARCHAR || ':' || slot AS cid, id, slot, a.comment AS comment, a.guess AS guess FROM (SELECT id, unnest([1, 2, 3, 4, 5]) AS slot, unnest([annotator_1, annotator_2, annotator_3, annotator_4, annotator_5]) AS a FROM expert_articles) WHERE trim(a.comment) <> '')"
@@ -21,49 +21,6 @@ def _comments(spark, d):
     return rows.where("trim(comment) != ''").select(F.concat_ws(":", F.col("id").cast("string"), F.col("slot").cast("string")).alias("cid"), "id", "slot", "comment", "guess")
 
 
-@query("N04_ngram_counts", f"WITH c AS (SELECT cid, guess, {_TOK.format('comment')} AS t FROM {_COMMENTS}), g AS (SELECT DISTINCT cid, guess, unnest(list_concat(list_concat({_GRAMS('t', 1)}, {_GRAMS('t', 2)}), {_GRAMS('t', 3)})) AS gram FROM c) SELECT gram, count(*) AS df, count(*) FILTER (lower(trim(guess)) LIKE 'ai%') AS ai FROM g GROUP BY gram HAVING count(*) >= 3")
-def n04(spark, d):
-    c = _comments(spark, d)
-    ai = F.coalesce(F.lower(F.trim("guess")).startswith("ai"), F.lit(False))
-    return X.document_frequency(c, "cid", T.ngrams_upto(X.words("comment"), 3), {"ai": ai}).where("df >= 3").select("gram", "df", "ai")
-
-
-@query("N05_char_substrings", f"WITH g AS (SELECT DISTINCT cid, unnest(list_transform(range(1, length(comment) - 6), lambda i: substr(comment, i, 8))) AS gram FROM {_COMMENTS} WHERE length(comment) >= 8) SELECT gram, count(*) AS df FROM g WHERE contains(gram, ' ') AND left(gram, 1) <> ' ' AND right(gram, 1) <> ' ' GROUP BY gram HAVING count(*) >= 2")
-def n05(spark, d):
-    g = F.filter(T.char_ngrams(F.col("comment"), 8), lambda x: F.contains(x, F.lit(" ")) & ~x.startswith(" ") & ~x.endswith(" "))
-    return X.document_frequency(_comments(spark, d), "cid", g).where("df >= 2")
-
-
-@query("N08_tfidf", f"""WITH c AS (SELECT id, {_TOK.format('text')} AS t FROM examples), n AS (SELECT count(*) AS n FROM c), tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
-  w AS (SELECT id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), u AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM w) SELECT term, round(max(weight), 6) AS most, count(*) AS documents FROM u GROUP BY term""")
-def n08(spark, d):
-    w = X.tfidf(table(spark, d, "examples"), "id", X.words("text"))
-    return w.groupBy("term").agg(F.round(F.max("weight"), 6).alias("most"), F.count(F.lit(1)).alias("documents"))
-
-
-@query("N07_idf_ngrams", f"WITH c AS (SELECT cid, {_TOK.format('comment')} AS t FROM {_COMMENTS}), n AS (SELECT count(*) AS n FROM c), g AS (SELECT cid, unnest({_GRAMS('t', 2)}) AS gram FROM c) SELECT gram, count(*) AS tf, count(DISTINCT cid) AS df, round(ln((max(n) + 1) / (count(DISTINCT cid) + 1)) + 1, 6) AS idf FROM g, n GROUP BY gram")
-def n07(spark, d):
-    c = _comments(spark, d)
-    per = c.select("cid", F.explode(T.word_ngrams(X.words("comment"), 2)).alias("gram")).groupBy("cid", "gram").agg(F.count(F.lit(1)).alias("k"))
-    n = c.agg(F.count(F.lit(1)).alias("n"))
-    g = per.groupBy("gram").agg(F.sum("k").alias("tf"), F.count(F.lit(1)).alias("df"))
-    return g.crossJoin(F.broadcast(n)).select("gram", "tf", "df", F.round(F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1, 6).alias("idf"))  # n: one row
-
-
-@query("N14_lexical_diversity", f"WITH t AS (SELECT source, unnest({_TOK.format('text')}) AS t FROM documents WHERE source IS NOT NULL) SELECT source, count(*) AS tokens, count(DISTINCT t) AS vocabulary, round(count(DISTINCT t) / count(*), 4) AS ttr FROM t GROUP BY source")
-def n14(spark, d):
-    return X.lexical_diversity(table(spark, d, "documents").where("source is not null"), ["source"], X.words("text"))
-
-
-@query("N17_intra_document_overlap", f"""WITH c AS (SELECT cid, id, {_TOK.format('comment')} AS t FROM {_COMMENTS}), n AS (SELECT count(*) AS n FROM c), tf AS (SELECT cid, id, term, count(*) AS tf FROM (SELECT cid, id, unnest(t) AS term FROM c) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term HAVING count(*) >= 2),
-  w AS (SELECT cid, id, term, tf * (ln((1 + n) / (1 + df)) + 1) AS w FROM tf JOIN df USING (term), n), u AS (SELECT cid, id, term, w / sqrt(sum(w * w) OVER (PARTITION BY cid)) AS weight FROM w)
-  SELECT x.id AS grp, x.cid AS a, y.cid AS b, round(sum(x.weight * y.weight), 6) AS cosine FROM u x JOIN u y ON x.id = y.id AND x.term = y.term AND x.cid < y.cid GROUP BY ALL""")
-def n17(spark, d):
-    c = _comments(spark, d)
-    w = X.tfidf(c, "cid", X.words("comment"))
-    return X.pair_cosine(w, c.select(F.col("cid").alias("id"), F.col("id").alias("grp"))).withColumn("cosine", F.round("cosine", 6))
-
-
 @query("N19_edit_overlap", f"WITH p AS (SELECT source_id, {_TOK.format('source_text')} AS a, {_TOK.format('ai_edited.text')} AS b FROM pair_docs WHERE source_text IS NOT NULL AND ai_edited.text IS NOT NULL), x AS (SELECT source_id, g, count(*) AS a FROM (SELECT source_id, unnest({_GRAMS('a', 3)}) AS g FROM p) GROUP BY ALL), y AS (SELECT source_id, g, count(*) AS b FROM (SELECT source_id, unnest({_GRAMS('b', 3)}) AS g FROM p) GROUP BY ALL) SELECT source_id AS id, round(sum(least(a, coalesce(b, 0))) / sum(a), 6) AS ratio FROM x LEFT JOIN y USING (source_id, g) GROUP BY ALL")
 def n19(spark, d):
     p = table(spark, d, "pair_docs").where("source_text is not null and ai_edited.text is not null")
@@ -82,51 +39,6 @@ def k10(spark, d):
     return rows.select("id", F.round(1 - T.distinct_ratio(X.words("text"), 8), 6).alias("repetition"))
 
 
-_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
-
-
-@query("L22_explanation_overlap", f"WITH c AS (SELECT cid, list_distinct(list_filter({_TOK.format('comment')}, lambda t: length(t) > 2 AND NOT list_contains([{_STOP}], t))) AS a, list_distinct(list_filter({_TOK.format('article')}, lambda t: length(t) > 2 AND NOT list_contains([{_STOP}], t))) AS b FROM {_COMMENTS} c JOIN expert_articles USING (id) WHERE article IS NOT NULL) SELECT cid, round(CASE WHEN len(a) + len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 1 END, 6) AS overlap FROM c")
-def l22(spark, d):
-    rows = _comments(spark, d).join(table(spark, d, "expert_articles").select("id", "article").where("article is not null"), "id")
-    return rows.select("cid", F.round(T.jaccard(T.content_tokens(F.col("comment")), T.content_tokens(F.col("article"))), 6).alias("overlap"))
-
-
-@query("L21_generic_explanations", f"WITH c AS (SELECT cid, trim(regexp_replace(regexp_replace(lower(comment), '[^a-z0-9\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS k FROM {_COMMENTS}), r AS (SELECT k, count(*) AS n FROM c GROUP BY k) SELECT count(*) AS comments, count(*) FILTER (n >= 5) AS repeated, count(DISTINCT k) AS forms FROM c JOIN r USING (k)")
-def l21(spark, d):
-    k = _comments(spark, d).groupBy(T.normalized_explanation(F.col("comment")).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-    return k.agg(F.sum("n").alias("comments"), F.coalesce(F.sum(F.when(F.col("n") >= 5, F.col("n"))), F.lit(0)).alias("repeated"), F.count(F.lit(1)).alias("forms"))
-
-
-@query("O30_keyword_scorer", "SELECT id, round(1 / (1 + exp(-(" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in E.AI_WORDS) + " - " + " - ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in E.HUMAN_WORDS) + "))), 9) AS score FROM (SELECT id, lower(coalesce(text, '')) AS t FROM examples)")
-def o30(spark, d):
-    return table(spark, d, "examples").select("id", F.round(E.keyword_score(F.col("text")), 9).alias("score"))
-
-
-@query("O11_why_quality", f"WITH t AS (SELECT cid, {_TOK.format('comment')} AS t FROM {_COMMENTS}), g AS (SELECT cid, len(t) AS n, {_GRAMS('t', 3)} AS g FROM t) SELECT cid, round(CASE WHEN n <= 20 THEN n / 20.0::DOUBLE ELSE greatest(0.0, (60 - n) / 40.0::DOUBLE) END * CASE WHEN len(g) > 0 THEN len(list_distinct(g)) / len(g) ELSE 1 END, 9) AS quality FROM g")
-def o11(spark, d):
-    return _comments(spark, d).select("cid", F.round(E.why_quality(X.words("comment")), 9).alias("quality"))
-
-
-@query("O15_length_gate", f"WITH t AS (SELECT id, {_TOK.format('text')} AS t FROM examples WHERE text IS NOT NULL), g AS (SELECT id, len(t)::DOUBLE AS n, {_GRAMS('t', 3)} AS g FROM t) SELECT id, round(CASE WHEN n < 50 THEN (n / 50) ** 2 WHEN n <= 150 THEN 1 ELSE greatest(0.0, (200 - n) / 50) END * CASE WHEN len(g) > 0 THEN len(list_distinct(g)) / len(g) ELSE 1 END, 6) AS gate FROM g")
-def o15(spark, d):
-    rows = table(spark, d, "examples").where("text is not null")
-    return rows.select("id", F.round(E.length_gate(X.words("text")), 6).alias("gate"))
-
-
-@query("O17_verdict_recall", f"WITH c AS (SELECT cid, list_distinct({_TOK.format('comment')}) AS a, {_TOK.format('article')} AS b FROM {_COMMENTS} c JOIN expert_articles USING (id) WHERE article IS NOT NULL) SELECT cid, round(CASE WHEN len(a) > 0 THEN len(list_intersect(a, b)) / len(a) ELSE 0 END, 6) AS recall FROM c")
-def o17(spark, d):
-    rows = _comments(spark, d).join(table(spark, d, "expert_articles").select("id", "article").where("article is not null"), "id")
-    return rows.select("cid", F.round(E.word_recall(X.words("comment"), X.words("article")), 6).alias("recall"))
-
-
-@query("O10_label_agreement", "SELECT id, slot, CASE WHEN g = 'ai' THEN CASE WHEN t = 1 THEN 1 ELSE -1 END WHEN g = 'human' THEN CASE WHEN t = 0 THEN 1 ELSE -1 END ELSE 0 END AS agreement FROM (SELECT id, slot, lower(trim(a.guess)) AS g, CASE WHEN lower(ground_truth) LIKE 'ai%' THEN 1 WHEN lower(ground_truth) LIKE 'human%' THEN 0 END AS t FROM (SELECT id, ground_truth, unnest([1, 2, 3, 4, 5]) AS slot, unnest([annotator_1, annotator_2, annotator_3, annotator_4, annotator_5]) AS a FROM expert_articles) WHERE a.guess IS NOT NULL AND ground_truth IS NOT NULL)")
-def o10(spark, d):
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(f"annotator_{i}.guess").alias("guess")) for i in range(1, 6)])
-    truth = F.when(F.lower("ground_truth").startswith("ai"), 1).when(F.lower("ground_truth").startswith("human"), 0)
-    rows = table(spark, d, "expert_articles").where("ground_truth is not null").select("id", truth.alias("t"), F.explode(slots).alias("s")).where("s.guess is not null")
-    return rows.select("id", "s.slot", E.label_agreement(F.trim("s.guess"), F.col("t")).alias("agreement"))
-
-
 #: Two spans per document, from a hash of its id: the same in both engines.
 _SPANS = "(SELECT doc_id, k, ('0x' || substr(sha256(doc_id::VARCHAR || '|' || k), 1, 6))::BIGINT % greatest(length(text), 1) AS s, ('0x' || substr(sha256(doc_id::VARCHAR || '|' || k), 7, 2))::BIGINT AS w, text FROM documents, (VALUES (1), (2), (3)) AS v(k) WHERE text IS NOT NULL)"
 
@@ -149,24 +61,36 @@ def i01(spark, d):
 
 
 def _per_document(spark, d, documents=None):
-    g = _spans(spark, d, documents).groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("x"))  # three spans a document
+    """``doc_id, text, iv``: the merged intervals of a document's three spans, worked out in its row."""
     docs = (table(spark, d, "documents") if documents is None else documents).where("text is not null").select("doc_id", "text")
-    return docs.join(g, "doc_id").select("doc_id", "text", V.merged(F.col("x")).alias("iv"))
+
+    def span(k):
+        h = F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), F.lit(str(k))), 256)
+        s = F.pmod(F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint"), F.greatest(F.length("text"), F.lit(1)))
+        return F.struct(s.cast("int").alias("start"), F.least(s + F.conv(F.substring(h, 7, 2), 16, 10).cast("bigint"), F.length("text")).cast("int").alias("end"))
+
+    return docs.withColumn("iv", V.merged(F.array(*[span(k) for k in (1, 2, 3)])))
 
 
-@query("F15_span_coverage", f"WITH {_MERGED} SELECT doc_id, count(*) AS spans, sum(en - st) AS covered FROM u GROUP BY doc_id")
+@query("F15_span_coverage", f"WITH {_MERGED}, w AS (SELECT doc_id, len(list_filter(string_split_regex(text, '{_W}'), lambda x: x <> '')) AS words, length(text) AS n FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS spans, sum(en - st) AS covered, round(100 * count(*) / any_value(greatest(words, 1)), 6) AS per_100_words, round(sum(en - st) / any_value(n), 6) AS share FROM u JOIN w USING (doc_id) GROUP BY doc_id HAVING sum(en - st) < any_value(n)")
 def f15(spark, d):
-    return _per_document(spark, d).select("doc_id", F.size("iv").cast("bigint").alias("spans"), V.covered(F.col("iv")).cast("bigint").alias("covered")).where("spans > 0")
+    """Documents whose spans aren't the whole text: spans, per 100 words, and the share of characters they cover."""
+    rows = _per_document(spark, d).select("doc_id", F.size("iv").cast("bigint").alias("spans"), V.covered(F.col("iv")).cast("bigint").alias("covered"), F.size(T.white_words(F.col("text"))).alias("w"), F.length("text").alias("n"))
+    return rows.where("spans > 0 and covered < n").select("doc_id", "spans", "covered", F.round(100 * F.col("spans") / F.greatest("w", F.lit(1)), 6).alias("per_100_words"), F.round(F.col("covered") / F.col("n"), 6).alias("share"))
 
 
-@query("I05_extracted_spans", f"WITH {_MERGED} SELECT doc_id, sha256(array_to_string(list(trim(substr(text, st + 1, en - st), ' ') ORDER BY st), ' [...] ')) AS kept FROM u JOIN documents USING (doc_id) GROUP BY doc_id")
+_STRIP = lambda x: f"regexp_replace({x}, '^{_W}|{_W}$', '', 'g')"
+
+
+@query("I05_extracted_spans", f"WITH {_MERGED} SELECT doc_id, sha256(coalesce(string_agg(p, ' [...] ' ORDER BY st) FILTER (p <> ''), ' ')) AS kept FROM (SELECT doc_id, st, {_STRIP('substr(text, st + 1, en - st)')} AS p FROM u JOIN documents USING (doc_id)) GROUP BY doc_id")
 def i05(spark, d):
     return _per_document(spark, d).where("size(iv) > 0").select("doc_id", F.sha2(V.kept_spans(F.col("text"), F.col("iv")), 256).alias("kept"))
 
 
-@query("I06_deleted_spans")
+@query("I06_deleted_spans", f"""WITH {_MERGED}, g AS (SELECT doc_id, coalesce(lag(en) OVER (PARTITION BY doc_id ORDER BY st), 0) AS f, st AS t FROM (SELECT doc_id, st, en FROM u UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE doc_id IN (SELECT doc_id FROM u))),
+  p AS (SELECT doc_id, string_agg(substr(text, f + 1, t - f), '' ORDER BY f, t) AS x FROM g JOIN documents USING (doc_id) GROUP BY doc_id) SELECT doc_id, sha256(coalesce(nullif({_STRIP('x')}, ''), ' ')) AS kept FROM p""")
 def i06(spark, d):
-    return _per_document(spark, d).select("doc_id", F.length("text").alias("n"), V.covered(F.col("iv")).alias("covered"), F.length(V.without_spans(F.col("text"), F.col("iv"))).alias("left"))
+    return _per_document(spark, d).where("size(iv) > 0").select("doc_id", F.sha2(V.without_spans(F.col("text"), F.col("iv")), 256).alias("kept"))
 
 
 @query("I08_roc_area", """WITH v AS (SELECT detector, label, score_ai AS s FROM predictions WHERE label IS NOT NULL AND score_ai IS NOT NULL AND NOT isnan(score_ai) AND NOT isinf(score_ai) AND coalesce(error, '') = ''), b AS (SELECT detector, least(10, greatest(0, floor(s * 10))) AS x, avg(label) AS y FROM v GROUP BY ALL), l AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM b WINDOW w AS (PARTITION BY detector ORDER BY x)) SELECT detector, round(sum((x - px) * (y + py) / 2), 9) AS area FROM l GROUP BY detector""")
@@ -188,12 +112,3 @@ def j12(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.sha2(T.escape_document(F.col("text")), 256).alias("escaped"))
 
 
-@query("J35_normalized_comments", f"SELECT cid, trim(regexp_replace(regexp_replace(lower(comment), '[^a-z0-9\\s-]', '', 'g'), '\\s+', ' ', 'g')) AS form FROM {_COMMENTS}")
-def j35(spark, d):
-    return _comments(spark, d).select("cid", T.normalized_explanation(F.col("comment")).alias("form"))
-
-
-@query("N12_unit_embeddings", "SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 4) AS norm FROM embeddings")
-def n12(spark, d):
-    e = F.transform("embedding", lambda x: x.cast("double"))
-    return table(spark, d, "embeddings").select("vec_id", F.round(F.sqrt(F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)), 4).alias("norm"))

@@ -8,6 +8,7 @@ from quern.operators import allocate as A
 from quern.operators import duels as D
 from quern.operators import intervals as V
 from quern.operators import normalize as N
+from quern.operators.ranks import positions
 
 
 def one(spark, column, **values):
@@ -23,7 +24,8 @@ def test_text_functions(spark):
     assert one(spark, T.unescape_document(T.escape_document(F.col("t"))), t=text) == text
     assert one(spark, T.word_ngrams(T.ascii_tokens(F.col("t")), 3), t="one two") == []
     assert one(spark, T.ngrams_upto(T.ascii_tokens(F.col("t")), 2), t="One two") == ["one", "two", "one two"]
-    assert one(spark, T.first_number(F.col("t")), t="about 87.5% of it") == 0.875
+    for raw, want in (("about 87.5% of it", 0.875), ("fell from 0.9 to 0.7 in it", 0.7), ("not reported, 0.9", None), ("1250 items", 1250.0), ("", None), (None, None)):
+        assert one(spark, T.reported_score(F.col("t")), t=raw) == want
     assert one(spark, E.keyword_score(F.col("t")), t=None) == 0.5
 
 
@@ -34,6 +36,18 @@ def test_intervals(spark):
     assert rows[1]["m"] == [] and rows[1]["k"] == " " and rows[1]["d"] == "xyz"
 
 
+def test_positions_split_long_prefixes_and_groups(spark):
+    rows = [(f"same-prefix-{k:05}", k % 3 if k % 7 else None, float(k % 50)) for k in range(400)]
+    df = spark.createDataFrame(rows, "id string, g int, v double").repartition(5)
+    got = {r["id"]: (r["position"], r["group_rows"]) for r in positions(df, ["id"], ["g"], largest=20).collect()}
+    for g in (0, 1, 2, None):
+        mine = sorted(i for i, x, _ in rows if x == g)
+        assert [got[i] for i in mine] == [(k, len(mine)) for k in range(len(mine))]
+    by_value = {r["id"]: r["position"] for r in positions(df, ["v", "id"]).collect()}
+    assert [by_value[i] for i, _, _ in sorted(rows, key=lambda r: (r[2], r[0]))] == list(range(400))
+    assert positions(df.limit(0), ["id"]).count() == positions(df.limit(0), ["v"]).count() == 0
+
+
 def test_allocation():
     strata = [{"key": k, "n0": a, "n1": b} for k, a, b in (("x", 50, 80), ("y", 20, 9), ("z", 2, 100))]
     plan = A.balanced_allocation(strata, 60, 5, 1, 1000, 1)
@@ -52,7 +66,7 @@ def test_balanced_sample_is_balanced(spark):
 
 
 def test_unified_record_keeps_counts(spark, small):
-    from quern.plans.corpus_q import _unified
+    from quern.plans.records_q import _unified
 
     u = _unified(spark, small)
     assert tuple(u.columns) == N.UNIFIED and u.count() == spark.read.parquet(f"{small}/examples.parquet").count()

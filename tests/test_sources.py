@@ -63,7 +63,7 @@ def test_splits_and_unified(spark, small, tmp_path):
     B.write_splits(e, assign, str(tmp_path / "s"), "id", shards=3)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == e.count() and back.where("split = 'test'").count() == 30
-    from quern.plans.corpus_q import _unified
+    from quern.plans.records_q import _unified
 
     counts = B.write_unified(_unified(spark, small), str(tmp_path / "u"))
     assert counts.where("gid = 7").agg(F.sum("rows")).first()[0] == e.count()
