@@ -237,3 +237,143 @@ def kendall_tau(ranks: DataFrame, item: str, a: str, b: str) -> DataFrame:
     pairs = x.join(y, F.col(f"x.{item}") < F.col(f"y.{item}"))  # items are systems: few
     agree = F.signum(F.col(f"x.{a}") - F.col(f"y.{a}")) * F.signum(F.col(f"x.{b}") - F.col(f"y.{b}"))
     return pairs.agg((F.sum(agree) / F.count(F.lit(1))).alias("tau"))
+
+
+#: Numerator and denominator of the metrics that are ratios of counts, per row.
+RATIOS = {
+    "f1": (lambda y, p: 2 * (y & p), lambda y, p: 2 * (y & p) + (y ^ p)), "accuracy": (lambda y, p: 1 - (y ^ p), lambda y, p: y * 0 + 1), "precision": (lambda y, p: y & p, lambda y, p: p),
+    "recall": (lambda y, p: y & p, lambda y, p: y), "specificity": (lambda y, p: (1 - y) & (1 - p), lambda y, p: 1 - y),
+}
+
+
+def bootstrap_confusion(scored: DataFrame, groups: list[str], id_col: str, resamples: int, metric: str = "f1", threshold: float = 0.5, seed: int = 42, label: str = "label", score: str = "score_ai") -> DataFrame:
+    """``groups, mean, low, high`` of a metric in RATIOS over resamples; resamples where it isn't defined are left out.  Numerator and denominator share their draws."""
+    y, p = (F.col(label) == 1).cast("int"), (F.col(score) >= threshold).cast("int")
+    over = [lambda a, b, f=f: f(a, b) for f in RATIOS[metric]]
+    bit = lambda f: f(_Bits(y), _Bits(p)).c.cast("double")
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(*groups, _hash(seed, id_col).alias("_h"), bit(over[0]).alias("_a"), bit(over[1]).alias("_b"))
+    top = _drawn_sums(rows.withColumnRenamed("_a", "_v").drop("_b"), groups, resamples, TASK_DRAWS, poisson_draws).select(*groups, "b", F.col("s").alias("top"))
+    low = _drawn_sums(rows.withColumnRenamed("_b", "_v").drop("_a"), groups, resamples, TASK_DRAWS, poisson_draws).select(*groups, "b", F.col("s").alias("under"))
+    per = top.join(low, [*groups, "b"]).where("under > 0").withColumn("m", F.col("top") / F.col("under"))
+    return per.groupBy(*groups).agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+class _Bits:
+    """0/1 columns with the operators RATIOS uses."""
+
+    def __init__(self, c: Column):
+        self.c = c
+
+    def _of(self, other, f):
+        return _Bits(f(self.c, other.c if isinstance(other, _Bits) else F.lit(other)))
+
+    def __and__(self, o):
+        return self._of(o, lambda a, b: a * b)
+
+    def __xor__(self, o):
+        return self._of(o, lambda a, b: F.abs(a - b))
+
+    def __add__(self, o):
+        return self._of(o, lambda a, b: a + b)
+
+    def __rsub__(self, o):
+        return self._of(o, lambda a, b: b - a)
+
+    def __mul__(self, o):
+        return self._of(o, lambda a, b: a * b)
+
+    __rmul__ = __mul__
+
+
+def bootstrap_tpr(scored: DataFrame, keys: list[str], id_col: str, resamples: int, target: float = 0.01, seed: int = 42, slice_rows: int = 4096, label: str = "label", score: str = "score_ai") -> DataFrame:
+    """``keys, b, tpr``: the highest true-positive rate with a false-positive rate within ``target`` in each resample; resamples without both classes are left out.
+
+    Exact, in two levels: slices of the scores (ties in one) send their drawn classes; only the slice where a resample passes the target is opened by score, for that resample.
+    Sums of a slice add up over parts of it, so a score that many rows share is split over tasks.
+    """
+    import pandas as pd
+
+    from quern.operators.ranks import positions
+
+    rows = scored.where(F.col(label).isNotNull() & F.col(score).isNotNull()).select(F.struct(*keys).alias("k"), (-(F.col(score) + 0.0)).alias("s"), _hash(seed, id_col).alias("h"), (F.col(label) == 1).cast("int").alias("y"))
+    ties = positions(rows.groupBy("k", "s").agg(F.count(F.lit(1)).alias("c")), ["s"], ["k"])  # distinct scores, the highest first
+    sliced = rows.join(ties.select("k", "s", F.floor(F.col("position") / slice_rows).alias("slice")), ["k", "s"])
+    parts = sliced.groupBy("k", "slice").agg(F.ceil(F.count(F.lit(1)) / (4 * slice_rows)).alias("parts"))
+    parted = sliced.join(parts, ["k", "slice"]).withColumn("part", F.pmod("h", "parts")).drop("parts")
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def draws(f: pd.DataFrame) -> np.ndarray:
+        return poisson_draws(f["h"].to_numpy().view(np.uint64), resamples, 0, resamples)
+
+    def totals(key, f):
+        w, y = draws(f), f["y"].to_numpy() == 1
+        return pd.DataFrame({"slice": key[1], "b": np.arange(resamples), "p": w[y].sum(0, dtype=np.int64), "n": w[~y].sum(0, dtype=np.int64)}).assign(k=[key[0]] * resamples)
+
+    each = parted.groupBy("k", "slice", "part").applyInPandas(totals, f"slice bigint, b bigint, p bigint, n bigint, k {kind}").groupBy("k", "slice", "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    run, whole = Window.partitionBy("k", "b").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("k", "b")
+    cum = each.withColumns({"cp": F.sum("p").over(run), "cn": F.sum("n").over(run), "pos": F.sum("p").over(whole), "neg": F.sum("n").over(whole)}).where("pos > 0 and neg > 0")
+    cross = cum.where(F.col("cn") / F.col("neg") > target).groupBy("k", "b").agg(F.min_by(F.struct("slice", (F.col("cp") - F.col("p")).alias("bp"), (F.col("cn") - F.col("n")).alias("bn"), "pos", "neg"), "slice").alias("x")).select("k", "b", "x.*")
+    wanted = cross.groupBy("k", "slice").agg(F.collect_list(F.col("b").cast("int")).alias("bs"))  # at most one entry per resample
+
+    def by_score(key, f):
+        bs = np.array(f["bs"].iloc[0])
+        w, y = draws(f)[:, bs].astype(np.int64), f["y"].to_numpy() == 1
+        out = []
+        for s, at in f.groupby("s").indices.items():
+            out.append(pd.DataFrame({"slice": key[1], "s": s, "b": bs, "p": w[at][y[at]].sum(0), "n": w[at][~y[at]].sum(0)}))
+        r = pd.concat(out)
+        return r.assign(k=[key[0]] * len(r))
+
+    opened = parted.join(wanted, ["k", "slice"]).groupBy("k", "slice", "part").applyInPandas(by_score, f"slice bigint, s double, b bigint, p bigint, n bigint, k {kind}").groupBy("k", "slice", "s", "b").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    up = Window.partitionBy("k", "b").orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    curve = opened.join(cross, ["k", "slice", "b"]).withColumns({"tp": F.col("bp") + F.sum("p").over(up), "fp": F.col("bn") + F.sum("n").over(up)})
+    inside = curve.groupBy("k", "b").agg(F.max(F.when(F.col("fp") / F.col("neg") <= target, F.col("tp") / F.col("pos")).otherwise(F.when(F.col("bn") / F.col("neg") <= target, F.col("bp") / F.col("pos")).otherwise(0.0))).alias("tpr"))
+    every = cum.groupBy("k", "b").agg(F.max("neg").alias("neg"))
+    out = every.join(inside, ["k", "b"], "left").select("k", "b", F.coalesce("tpr", F.lit(1.0)).alias("tpr"))
+    return out.select("k.*", "b", "tpr")
+
+
+def mean_tau(aurocs: DataFrame, point: DataFrame, system: str) -> DataFrame:
+    """One row ``tau``: mean over resamples of Kendall's tau between the resample's order of the (few) systems and that of ``point`` (``system, auroc``)."""
+    ranked = aurocs.join(point.select(system, F.col("auroc").alias("_o")), system).select("b", F.col(system).alias("_s"), "auroc", "_o")
+    x, y = ranked.alias("x"), ranked.alias("y")
+    pairs = x.join(y, (F.col("x.b") == F.col("y.b")) & (F.col("x._s") < F.col("y._s")))
+    agree = F.signum(F.col("x.auroc") - F.col("y.auroc")) * F.signum(F.col("x._o") - F.col("y._o"))
+    return pairs.groupBy("x.b").agg(F.avg(agree).alias("t")).agg(F.avg("t").alias("tau"))
+
+
+def judge_summary(rates: DataFrame, resamples: int, seed: int = 7) -> DataFrame:
+    """One row per judge, one for the panel (mean over judges) and one for the consensus: documents, mean rate with interval, permutation and signed-rank p, their Holm correction over the judges, share of agreement."""
+    from quern.operators.duels import panel
+
+    p = panel(rates)
+    units = rates.select(F.col("judge_id").alias("unit"), "doc_id", "win_rate").unionByName(p.select(F.lit("(panel)").alias("unit"), "doc_id", F.col("panel_rate").alias("win_rate"))).unionByName(p.select(F.lit("(consensus)").alias("unit"), "doc_id", F.col("consensus").alias("win_rate")))
+    keyed = units.withColumn("item", F.concat_ws("|", "unit", "doc_id"))
+    interval = bootstrap_mean(keyed, ["unit"], "item", "win_rate", resamples).select("unit", "low", "high")
+    flips = sign_flip_test(keyed, ["unit"], "item", "win_rate", permutations=resamples, seed=seed).select("unit", F.col("p_value").alias("permutation_p"))
+    ranks = wilcoxon_greater(units, ["unit"], "win_rate").select("unit", F.col("p_value").alias("wilcoxon_p"))
+    means = units.groupBy("unit").agg(F.count(F.lit(1)).alias("documents"), F.avg("win_rate").alias("rate"))
+    agree = p.agg(F.avg((F.col("consensus") != 0.5).cast("double")).alias("agreement"))
+    out = means.join(interval, "unit").join(flips, "unit").join(ranks, "unit", "left").withColumn("wilcoxon_p", F.coalesce("wilcoxon_p", F.lit(1.0)))
+    judges = out.where("unit not like '(%'")
+    a = holm(judges, "permutation_p", ["unit"]).select("unit", F.col("p_holm").alias("permutation_holm"))
+    b = holm(judges, "wilcoxon_p", ["unit"]).select("unit", F.col("p_holm").alias("wilcoxon_holm"))
+    return out.join(a, "unit", "left").join(b, "unit", "left").crossJoin(F.broadcast(agree))  # one row
+
+
+def threshold_policies(validation: DataFrame, keys: list[str], fpr: float = 0.01) -> DataFrame:
+    """``keys, fixed, f1, fpr01``: the fixed threshold, the one with the best F1, and the lowest within a false-positive rate (infinity where none is)."""
+    from quern.operators.metrics import best_f1_threshold, threshold_at_fpr
+
+    best = best_f1_threshold(validation, keys).select(*keys, F.col("threshold").alias("f1"))
+    low = threshold_at_fpr(validation, keys, fpr).select(*keys, F.col("threshold").alias("_t"))
+    return best.join(low, keys, "left").select(*keys, F.lit(0.5).alias("fixed"), "f1", F.coalesce("_t", F.lit(float("inf"))).alias("fpr01"))
+
+
+def records_at_policies(test: DataFrame, validation: DataFrame, keys: list[str], label: str = "label", score: str = "score_ai") -> DataFrame:
+    """``keys, policy, threshold, tp, fp, tn, fn`` of the test rows at the thresholds that the validation rows give."""
+    th = threshold_policies(validation, keys)
+    long = th.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("policy"), F.col(c).alias("threshold")) for c in ("fixed", "f1", "fpr01")])).alias("x")).select(*keys, "x.*")
+    y, p = F.col(label) == 1, F.col(score) >= F.col("threshold")
+    rows = test.select(*keys, label, score).join(long, keys)
+    return rows.groupBy(*keys, "policy", "threshold").agg(F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(~y & ~p).alias("tn"), F.count_if(y & ~p).alias("fn"))

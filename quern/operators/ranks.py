@@ -75,3 +75,39 @@ def midrank(rows: DataFrame, groups: list[str], value: str) -> DataFrame:
     total = F.sum("_ties").over(Window.partitionBy(*groups))
     ranked = counts.select(*groups, value, ((below + F.col("_ties") / 2) / total).alias("midrank"))
     return rows.join(ranked, [*groups, value])
+
+
+def early_stop(rows: DataFrame, key: str, order: list[str], measures: list[str]) -> DataFrame:
+    """``rows`` with ``better`` (some measure beats its best before) and ``streak`` (steps in a row, up to this one, without any that does)."""
+    w = Window.partitionBy(key).orderBy(*order)
+    better = F.lit(False)
+    for m in measures:
+        best = F.max(m).over(w.rowsBetween(Window.unboundedPreceding, -1))
+        better = better | F.coalesce(F.col(m) > F.coalesce(best, F.lit(float("-inf"))), F.lit(False))
+    marked = rows.withColumn("better", better)
+    return streaks(marked, key, order, ~F.col("better"))
+
+
+def _group_statistics(rows: DataFrame, groups: list[str], value: Column) -> DataFrame:
+    return rows.groupBy(F.struct(*groups).alias("_k")).agg(F.count(value).alias("_n"), F.avg(value).alias("_m"), F.min(value).alias("_lo"), F.stddev_pop(value).alias("_sd"))
+
+
+def group_advantages(rows: DataFrame, groups: list[str], value: str, floor: float = 0.0, baseline: str = "mean", missing: float | None = None, least: int = 1, out: str = "advantage") -> DataFrame:
+    """Column ``out``: (value - mean or least of its group) / max(population spread, floor, 0.0001), within -5..5.
+
+    Statistics are aggregated and joined back, so no task holds a group.  A null value gets ``missing``, a group with fewer than ``least`` values null.
+    """
+    stats = _group_statistics(rows, groups, F.col(value))
+    base = F.col("_lo") if baseline == "min" else F.col("_m")
+    z = (F.col(value) - base) / F.greatest(F.col("_sd"), F.lit(floor), F.lit(1e-4))
+    clipped = F.when(F.col(value).isNotNull(), F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z))).otherwise(F.lit(missing).cast("double"))
+    return rows.withColumn("_k", F.struct(*groups)).join(stats, "_k").withColumn(out, F.when(F.col("_n") >= least, clipped)).drop("_k", "_n", "_m", "_lo", "_sd")
+
+
+def correct_only_advantages(rows: DataFrame, groups: list[str], value: str, correct: str, floor: float, low: float, high: float) -> DataFrame:
+    """Column ``advantage``: correct rows are scored against the correct rows of their group (a single one keeps its value), wrong ones never get more than 0."""
+    stats = _group_statistics(rows, groups, F.when(F.col(correct), F.col(value)))
+    z = F.greatest(F.lit(-5.0), F.least(F.lit(5.0), (F.col(value) - F.col("_m")) / F.greatest(F.col("_sd"), F.lit(floor), F.lit(1e-4))))
+    clip = lambda c, top: F.greatest(F.lit(low), F.least(F.lit(top), c))
+    advantage = F.when(~F.col(correct), clip(F.col(value), 0.0)).when(F.col("_n") >= 2, clip(z, high)).otherwise(clip(F.col(value), high))
+    return rows.withColumn("_k", F.struct(*groups)).join(stats, "_k").withColumn("advantage", advantage).drop("_k", "_n", "_m", "_lo", "_sd")

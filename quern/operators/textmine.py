@@ -37,11 +37,121 @@ def pair_cosine(weights: DataFrame, groups: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("x.grp").alias("grp"), F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.sum(F.col("x.weight") * F.col("y.weight")).alias("cosine"))
 
 
-def lexical_diversity(rows: DataFrame, groups: list[str], tokens: Column) -> DataFrame:
-    """``groups, tokens, vocabulary, ttr``: type-token ratio, rounded to four places."""
-    each = rows.select(*groups, F.explode(tokens).alias("_t")).groupBy(*groups, "_t").agg(F.count(F.lit(1)).alias("_n"))
-    g = each.groupBy(*groups).agg(F.sum("_n").alias("tokens"), F.count(F.lit(1)).alias("vocabulary"))
-    return g.withColumn("ttr", F.round(F.col("vocabulary") / F.col("tokens"), 4))
+def substring_frequency(rows: DataFrame, text: str, lengths: tuple[int, ...]) -> DataFrame:
+    """``length, gram, count``: in how many texts a substring of a given length occurs that holds a blank and has none at its ends."""
+    inner = lambda g: F.filter(g, lambda x: F.contains(x, F.lit(" ")) & ~x.startswith(" ") & ~x.endswith(" "))
+    sets = F.array(*[F.struct(F.lit(n).alias("length"), F.array_distinct(inner(char_ngrams(F.col(text), n))).alias("g")) for n in lengths])
+    each = rows.select(F.explode(sets).alias("s")).select("s.length", F.explode("s.g").alias("gram"))
+    return each.groupBy("length", "gram").agg(F.count(F.lit(1)).alias("count"))
+
+
+def idf_table(rows: DataFrame, id_col: str, grams: Column) -> DataFrame:
+    """``phrase, n, count, doc_count, idf``: uses, documents and ln((N + 1) / (df + 1)) + 1 of each n-gram."""
+    per = rows.select(F.col(id_col).alias("id"), F.explode(grams).alias("phrase")).groupBy("id", "phrase").agg(F.count(F.lit(1)).alias("k"))
+    g = per.groupBy("phrase").agg(F.sum("k").alias("count"), F.count(F.lit(1)).alias("doc_count"))
+    total = rows.agg(F.count(F.lit(1)).alias("_n"))
+    idf = F.ln((F.col("_n") + 1) / (F.col("doc_count") + 1)) + 1
+    return g.crossJoin(F.broadcast(total)).select("phrase", F.size(F.split("phrase", " ")).cast("bigint").alias("n"), "count", "doc_count", F.round(idf, 6).alias("idf"))  # one row
+
+
+def variety(rows: DataFrame, groups: list[str], words: str) -> DataFrame:
+    """Per group: explanations, vocabulary, tokens, type-token ratio, and mean, median and 95th percentile (discrete) of their lengths in words."""
+    from quern.operators.ranks import positions
+
+    each = rows.select(*groups, F.explode(words).alias("_t")).groupBy(*groups, "_t").agg(F.count(F.lit(1)).alias("_n"))
+    g = each.groupBy(*groups).agg(F.count(F.lit(1)).alias("vocabulary"), F.sum("_n").alias("tokens"))
+    placed = positions(rows.select(*groups, F.size(words).cast("bigint").alias("_l")), ["_l"], groups)
+    n = F.col("group_rows")
+    at = lambda p: F.max(F.when(F.col("position") == p, F.col("_l")))
+    lengths = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("explanations"), at(F.floor(n / 2)).alias("median_words"), at(F.least(n - 1, F.floor(0.95 * n))).alias("p95_words"))
+    out = g.join(lengths, groups)
+    return out.select(*groups, "explanations", "vocabulary", "tokens", F.round(F.col("vocabulary") / F.col("tokens"), 4).alias("ttr"), F.round(F.col("tokens") / F.col("explanations"), 1).alias("mean_words"), "median_words", "p95_words")
+
+
+def intra_similarity(rows: DataFrame, group: str, id_col: str, words: str) -> DataFrame:
+    """``group, similarity``: mean cosine of the pairs of a group's texts, weighed by sublinear TF-IDF over words and pairs of words within the group; groups of one text have no row.
+
+    The sum over all pairs is (|sum of the unit vectors|^2 - n) / 2, so no pairs are formed.
+    """
+    texts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_k")).where("_k > 1")
+    tf = rows.select(group, id_col, F.explode(ngrams_upto(F.col(words), 2)).alias("term")).groupBy(group, id_col, "term").agg((1 + F.ln(F.count(F.lit(1)))).alias("_tf"))
+    df = tf.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df"))
+    w = tf.join(df, [group, "term"]).join(texts, group).withColumn("_w", F.col("_tf") * (F.ln((1 + F.col("_k")) / (1 + F.col("_df"))) + 1))
+    norms = w.groupBy(group, id_col).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    unit = w.join(norms, [group, id_col]).groupBy(group, "term").agg(F.sum(F.col("_w") / F.col("_norm")).alias("_x"))
+    sums = unit.groupBy(group).agg(F.sum(F.col("_x") * F.col("_x")).alias("_s")).join(norms.groupBy(group).agg(F.count(F.lit(1)).alias("_m")), group)
+    pairs = F.col("_k") * (F.col("_k") - 1) / 2
+    return texts.join(sums, group, "left").select(group, (F.coalesce((F.col("_s") - F.col("_m")) / 2, F.lit(0.0)) / pairs).alias("similarity"))
+
+
+def gram_model(rows: DataFrame, row_col: str, id_col: str, grams: str) -> tuple[DataFrame, DataFrame]:
+    """Document frequency of n-grams over rows (``g, df``; a row's texts count together) and ``id, row, mean_idf``: mean ln((1 + N) / (1 + df)) over a text's distinct n-grams, 0 without any."""
+    each = rows.select(row_col, id_col, F.explode(grams).alias("g"))
+    df = each.select(row_col, "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    total = rows.agg(F.count_distinct(row_col).alias("_n"))
+    scored = each.join(df, "g").crossJoin(F.broadcast(total)).groupBy(id_col).agg(F.avg(F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("mean_idf"))  # one row
+    return df, rows.select(id_col, row_col).join(scored, id_col, "left").select(id_col, row_col, F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"))
+
+
+def word_sets(spans: DataFrame, span: str, tokenizer=None) -> DataFrame:
+    """``spans`` with ``words``: the distinct words of each span; ``tokenizer`` maps a column to an array of words."""
+    words = tokenizer(F.col(span)) if tokenizer else F.regexp_extract_all(F.lower(span), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return spans.withColumn("words", F.array_distinct(words))
+
+
+def span_genericity(tells: DataFrame, ids: list[str], bucket: str, span: str, weight: float, least: int) -> DataFrame:
+    """``tells`` with ``n`` (tells of the bucket) and ``g = ln(1 + max(n, least)) * clamp(1 - weight * J)``, J the largest word Jaccard of the span with another span of the bucket.
+
+    Equal word sets meet as one: a set that occurs twice has J = 1 without a comparison, so only distinct sets of a bucket are compared, joined on a
+    shared word (sets that share none have J = 0).
+    """
+    from quern.functions.text import jaccard
+
+    t = word_sets(tells, span).withColumn("_set", F.array_sort("words"))
+    sizes = t.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    sets = t.groupBy(bucket, "_set").agg(F.count(F.lit(1)).alias("_copies"))
+    single = sets.where("_copies = 1").select(bucket, "_set")
+    words = sets.select(bucket, F.col("_set").alias("_other"), F.explode("_set").alias("_w"))
+    mine = single.select(bucket, "_set", F.explode("_set").alias("_w"))
+    met = mine.join(words, [bucket, "_w"]).where("_set != _other").select(bucket, "_set", "_other").distinct()
+    best = met.groupBy(bucket, "_set").agg(F.max(jaccard(F.col("_set"), F.col("_other"))).alias("_j"))
+    scored = sets.join(best, [bucket, "_set"], "left").select(bucket, "_set", F.when(F.col("_copies") > 1, 1.0).otherwise(F.coalesce("_j", F.lit(0.0))).alias("_j"))
+    out = t.join(sizes, bucket).join(scored, [bucket, "_set"])
+    diversity = F.when(F.col("n") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - weight * F.col("_j"))))
+    return out.withColumn("g", F.ln(1 + F.greatest("n", F.lit(least))) * diversity).drop("_set", "_j", "words")
+
+
+def drop_probabilities(tells: DataFrame, g: str, score: str, strength: float, cap: float, score_weight: float, quantile: float) -> DataFrame:
+    """``tells`` with the drop probabilities of three styles: by genericity over its median (``scaled``; before the score counts, ``mass``), above a quantile of it, and above the median; each times ``keep`` = max(0, 1 - weight * score)."""
+    from quern.operators.aggregates import linear_quantile
+
+    refs = linear_quantile(tells, [], g, {"_med": 0.5, "_ref": quantile})
+    rows = tells.crossJoin(F.broadcast(refs)).withColumn("keep", F.greatest(F.lit(0.0), 1 - score_weight * F.col(score)))  # one row
+    over = F.greatest(F.lit(1e-6), F.col("_med"))
+    p = lambda excess: F.least(F.lit(cap), strength * excess / over)
+    above = lambda ref: F.greatest(F.lit(0.0), F.col(g) - F.col(ref))
+    rows = rows.withColumn("mass", p(F.col(g)))
+    return rows.withColumns({"scaled": F.col("mass") * F.col("keep"), "above_quantile": p(above("_ref")) * F.col("keep"), "above_median": p(above("_med")) * F.col("keep")}).drop("_med", "_ref")
+
+
+def content_key(p: Column, why: Column, substance: str, style: str) -> Column:
+    """Order in which tells are kept: explanations of substance come 0.6 earlier, those of mere style 0.4 later."""
+    return F.when(why.rlike(substance), F.greatest(F.lit(0.0), p - 0.6)).when(why.rlike(style), F.least(F.lit(1.0), p + 0.4)).otherwise(p)
+
+
+def keep_most_specific(tells: DataFrame, doc: str, order: str, p: str, key: str, cap: float, least: int, most: int, seed: int) -> DataFrame:
+    """``tells`` with ``kept``: a document keeps between ``least`` and ``most`` tells (as far as it has them), fewer the more generic they are on average; the fraction is rounded by a hash."""
+    from pyspark.sql.window import Window
+
+    from quern.functions.text import hash_uniform
+
+    of = Window.partitionBy(doc)
+    n = F.count(F.lit(1)).over(of)
+    rows = tells.withColumns({"_low": F.least(F.lit(least), n), "_high": F.greatest(F.least(F.lit(least), n), F.least(F.lit(most), n)), "_gen": F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(p).over(of) / cap))})
+    want = F.col("_low") + (F.col("_high") - F.col("_low")) * (1 - F.col("_gen"))
+    k = F.greatest("_low", F.least("_high", F.floor(want) + (hash_uniform(F.lit(str(seed)), doc) < want - F.floor(want)).cast("int")))
+    place = F.row_number().over(of.orderBy(F.round(key, 9), order))
+    return rows.withColumns({"_k": k, "_place": place}).withColumn("kept", F.col("_place") <= F.col("_k")).drop("_low", "_high", "_gen", "_k", "_place")
 
 
 def overlap_ratio(target: DataFrame, other: DataFrame, id_col: str, tokens: Column, n: int) -> DataFrame:
@@ -55,15 +165,5 @@ def overlap_ratio(target: DataFrame, other: DataFrame, id_col: str, tokens: Colu
     return both.groupBy("id").agg((F.sum(F.least("a", F.coalesce("b", F.lit(0)))) / F.sum("a")).alias("ratio"))
 
 
-def char_idf_genericity(rows: DataFrame, id_col: str, text: Column, n: int = 4) -> DataFrame:
-    """``id, mean_idf``: mean ln((1 + N) / (1 + df)) over a text's distinct character n-grams, 0 without any; low values mark generic texts."""
-    grams = rows.select(F.col(id_col).alias("id"), F.array_distinct(char_ngrams(text, n)).alias("g"))
-    total = grams.agg(F.count(F.lit(1)).alias("_n"))
-    each = grams.select("id", F.explode("g").alias("g"))
-    df = each.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    scored = each.join(df, "g").crossJoin(F.broadcast(total)).groupBy("id").agg(F.avg(F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("mean_idf"))
-    return grams.select("id").join(scored, "id", "left").select("id", F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"))
-
-
 def words(c: Column | str) -> Column:
     return ascii_tokens(F.col(c) if isinstance(c, str) else c)

@@ -43,11 +43,6 @@ def e07(spark, d):
     return best.join(mapping, ["doc_id", "judge_id", "item_id"], "left").select("doc_id", "judge_id", "item_id", "source_id", "best_rank")
 
 
-@query("F27_pooled_win_rate", f"WITH {_RATES} SELECT judge_id, sum(duels)::BIGINT AS duels, round(sum(wins) / sum(duels), 9) AS pooled_rate, round(avg(win_rate), 9) AS mean_doc_rate FROM rates GROUP BY judge_id")
-def f27(spark, d):
-    return _rates(spark, d).groupBy("judge_id").agg(F.sum("duels").alias("duels"), F.round(F.sum("wins") / F.sum("duels"), 9).alias("pooled_rate"), F.round(F.avg("win_rate"), 9).alias("mean_doc_rate"))
-
-
 @query("F29_panel_rates", f"WITH {_RATES} SELECT doc_id, count(*) AS judges, round(avg(win_rate), 9) AS panel_rate, CASE WHEN min(win_rate) > 0.5 THEN 1.0::DOUBLE WHEN max(win_rate) < 0.5 THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS consensus FROM rates GROUP BY doc_id")
 def f29(spark, d):
     return D.panel(_rates(spark, d)).withColumn("panel_rate", F.round("panel_rate", 9))
@@ -123,14 +118,6 @@ def k07(spark, d):
     return R.streaks(table(spark, d, "events"), "user_id", ["ts", "event_id"], F.col("value") < 50).groupBy("user_id").agg(F.max("streak").alias("longest"))
 
 
-@query("K16_group_advantages", f"WITH s AS (SELECT detector, dataset, id, generated_at, score_ai, avg(score_ai) OVER w AS m, stddev_pop(score_ai) OVER w AS sd FROM predictions WHERE {VALID} WINDOW w AS (PARTITION BY detector, dataset)) SELECT detector, dataset, id, generated_at, score_ai, round(greatest(-5.0, least(5.0, (score_ai - m) / greatest(sd, 0.0001))), 6) AS advantage FROM s")
-def k16(spark, d):
-    w = Window.partitionBy("detector", "dataset")
-    z = (F.col("score_ai") - F.avg("score_ai").over(w)) / F.greatest(F.stddev_pop("score_ai").over(w), F.lit(0.0001))
-    rows = table(spark, d, "predictions").where(M.is_valid())
-    return rows.select("detector", "dataset", "id", "generated_at", "score_ai", F.round(F.greatest(F.lit(-5.0), F.least(F.lit(5.0), z)), 6).alias("advantage"))
-
-
 @query("F18_lower_quantiles", f"SELECT detector, list_sort(list(score_ai))[floor(0.1 * (count(*) - 1))::BIGINT + 1] AS p10, list_sort(list(score_ai))[floor(0.5 * (count(*) - 1))::BIGINT + 1] AS p50, list_sort(list(score_ai))[floor(0.9 * (count(*) - 1))::BIGINT + 1] AS p90 FROM predictions WHERE {VALID} GROUP BY detector")
 def f18(spark, d):
     return lower_quantile(table(spark, d, "predictions").where(M.is_valid()), ["detector"], "score_ai", {"p10": 0.1, "p50": 0.5, "p90": 0.9})

@@ -79,12 +79,6 @@ def k09(spark, d):
     return spark.range(30).select(F.col("id").alias("step"), F.greatest(F.lit(2), F.bround(8 - 6 * F.col("id") / 20.0)).cast("bigint").alias("k"))
 
 
-@query("K14_normalized_weights", f"SELECT detector, dataset, id, generated_at, score_ai, round(CASE WHEN sum(score_ai) OVER w > 0 THEN score_ai / sum(score_ai) OVER w ELSE 0 END, 9) AS weight FROM predictions WHERE {VALID} WINDOW w AS (PARTITION BY detector, dataset)")
-def k14(spark, d):
-    total = F.sum("score_ai").over(Window.partitionBy("detector", "dataset"))
-    return table(spark, d, "predictions").where(M.is_valid()).select("detector", "dataset", "id", "generated_at", "score_ai", F.round(F.when(total > 0, F.col("score_ai") / total).otherwise(0.0), 9).alias("weight"))
-
-
 @query("K15_softmax_weights", f"WITH s AS (SELECT id, detector, generated_at, score_ai, exp(2 * score_ai - max(2 * score_ai) OVER (PARTITION BY id)) AS x FROM predictions WHERE {VALID}) SELECT id, detector, generated_at, score_ai, round(x / sum(x) OVER (PARTITION BY id) * count(*) OVER (PARTITION BY id), 9) AS weight FROM s")
 def k15(spark, d):
     w = Window.partitionBy("id")

@@ -28,11 +28,6 @@ def n19(spark, d):
     return X.overlap_ratio(a, b, "source_id", X.words("t"), 3).withColumn("ratio", F.round("ratio", 6))
 
 
-@query("P03_char_idf", f"WITH c AS (SELECT cid, comment FROM {_COMMENTS}), n AS (SELECT count(*) AS n FROM c), g AS (SELECT DISTINCT cid, unnest(list_transform(range(1, length(comment) - 2), lambda i: substr(comment, i, 4))) AS g FROM c WHERE length(comment) >= 4), df AS (SELECT g, count(*) AS df FROM g GROUP BY g), s AS (SELECT cid, avg(ln((1 + n) / (1 + df))) AS m FROM g JOIN df USING (g), n GROUP BY cid) SELECT c.cid AS id, round(coalesce(m, 0), 6) AS mean_idf FROM c LEFT JOIN s USING (cid)")
-def p03(spark, d):
-    return X.char_idf_genericity(_comments(spark, d), "cid", F.col("comment")).withColumn("mean_idf", F.round("mean_idf", 6))
-
-
 @query("K10_repetition", f"WITH t AS (SELECT id, {_TOK.format('text')} AS t FROM examples WHERE text IS NOT NULL), g AS (SELECT id, {_GRAMS('t', 8)} AS g FROM t) SELECT id, round(CASE WHEN len(g) > 0 THEN 1 - len(list_distinct(g)) / len(g) ELSE 0 END, 6) AS repetition FROM g")
 def k10(spark, d):
     rows = table(spark, d, "examples").where("text is not null")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 EXAMPLE = "id string, text string, label int, split string, dataset string, domain string, generator string, attack string, meta map<string,string>"
 PREDICTION = "id string, detector string, score_ai double, raw_score double, raw_label string, pred_builtin int, features map<string,string>, runtime_s double, error string, label int, split string, dataset string, domain string, generator string, attack string"
@@ -74,3 +75,65 @@ def latest_log_entry(spark: SparkSession, path: str, schema: str, step: int | No
     if step is not None:
         rows = rows.where(F.col("step") == step)
     return rows.orderBy(F.desc("_at")).limit(1).drop("_at")
+
+
+def read_splits(spark: SparkSession, path: str, split: str, order: list[str]) -> DataFrame:
+    """A folder per split, with ``row_index`` from 0 within each."""
+    from quern.operators.ranks import positions
+
+    return positions(spark.read.parquet(path), order, [split]).drop("group_rows").withColumnRenamed("position", "row_index")
+
+
+def dataset_path(path: Column) -> tuple[Column, Column]:
+    """Repository and split of ``scheme://owner/repo/split..``; a path with fewer parts is an error."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, r"^[a-z]+://", ""), r"^/+|/+$", ""), "/")
+    bad = F.raise_error(F.concat(F.lit("not owner/repo/split: "), path)).cast("string")
+    repo = F.when(F.size(parts) >= 3, F.array_join(F.slice(parts, 1, 2), "/")).otherwise(bad)
+    return repo, F.array_join(F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0))), "/")
+
+
+def read_examples(spark: SparkSession, path: str) -> DataFrame:
+    """Examples with their schema; an id or label (other than 0, 1 or null) that isn't valid is an error."""
+    rows = read_jsonl(spark, path, EXAMPLE)
+    bad = F.col("id").isNull() | (F.col("label").isNotNull() & ~F.col("label").isin(0, 1))
+    return rows.withColumn("id", F.when(bad, F.raise_error(F.concat(F.lit("not a valid example: "), F.coalesce("id", F.lit("without id")))).cast("string")).otherwise(F.col("id")))
+
+
+def read_json_document(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """A JSON document that lists rows; a document is read in one task, so this is for configurations and small tables."""
+    raw = spark.read.option("wholetext", True).text(path)
+    return raw.select(F.explode(F.from_json("value", f"array<struct<{fields}>>")).alias("r")).select("r.*")
+
+
+def read_detector_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Predictions in a folder per detector, as ``read_predictions_folder`` gives them."""
+    schema = ", ".join(f for f in PREDICTION.split(", ") if not f.startswith("detector "))
+    rows = spark.read.schema(schema + ", detector string").json(folder)
+    failed = F.col("score_ai").isNull() | (F.coalesce("error", F.lit("")) != "")
+    return rows.withColumns({"failed": failed, "score_ai": F.coalesce("score_ai", F.lit(0.0))})
+
+
+class ListSource(DataSource):
+    """Rows that Python code yields (a pickled list, a paged service), as a source with partitions."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "quern_list"
+
+    def schema(self) -> str:
+        return "k bigint, v bigint"
+
+    def reader(self, schema):
+        return ListReader(int(self.options.get("rows", 0)), int(self.options.get("parts", 1)))
+
+
+class ListReader(DataSourceReader):
+    def __init__(self, rows: int, parts: int):
+        self.rows, self.parts = rows, parts
+
+    def partitions(self):
+        return [InputPartition(i) for i in range(self.parts)]
+
+    def read(self, partition):
+        for k in range(partition.value, self.rows, self.parts):
+            yield (k, k * k)
