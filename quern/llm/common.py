@@ -41,13 +41,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
 class Bitmap:
     """Which hashes may occur in a column: a bit for each value of the top bits of a 64-bit hash.
 
-    It has 2 ** bits / 8 bytes, however many hashes there are, so it can be broadcast; bits are set and packed in the executors.
-    A hash of the column is always in it; others are in it by the share of bits that are set.
+    It has sixteen bits or more for each of the ``expected`` hashes, but never more than 2 ** MOST_BITS (8 MB), so it can be broadcast whatever the data; bits
+    are set and packed in the executors.  A hash of the column is always in it; others are in it by the share of bits that are set.
     """
 
-    CHUNK = 4096  # words of 64 bits in a row that the driver gets
+    CHUNK, MOST_BITS = 1024, 26  # words of 64 bits in a row that the driver gets
 
-    def __init__(self, hashes: DataFrame, column: str, bits: int):
+    def __init__(self, hashes: DataFrame, column: str, expected: int):
+        bits = min(self.MOST_BITS, max(16, max(expected, 1).bit_length() + 4))
         slot, chunk = f"shiftrightunsigned(`{column}`, {64 - bits})", self.CHUNK
         words = hashes.where(F.col(column).isNotNull()).groupBy(F.expr(f"shiftright({slot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("b"))
 

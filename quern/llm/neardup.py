@@ -29,8 +29,6 @@ PERMUTATIONS, BANDS, ROWS = 128, 20, 2
 TILE = 256
 #: Blocks this large (estimated from one text in SAMPLE) are split into parts.
 PART_ROWS, SAMPLE = 16_384, 64
-#: The bitmap of ids whose texts are read again for the exact check has 2 ** ID_BITS bits (8 MB).
-ID_BITS = 26
 #: Pairs of a block that a task holds before it passes them on.
 PAIRS = 1 << 19
 
@@ -194,7 +192,7 @@ def verified_pairs(pool: DataFrame, sigs: DataFrame, threshold: float) -> DataFr
     pairs = checkpoint(candidate_pairs(sigs, threshold))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
     owner = sigs.where("keys is not null").join(wanted, "cls", "left_semi").groupBy("cls").agg(F.min("id").alias("id"))
-    owners = Bitmap(owner.select(F.xxhash64("id").alias("h")), "h", ID_BITS)
+    owners = Bitmap(owner.select(F.xxhash64("id").alias("h")), "h", 2 * pairs.count())
 
     @F.pandas_udf("boolean")
     def may_own(h: pd.Series) -> pd.Series:
