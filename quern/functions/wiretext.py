@@ -59,7 +59,7 @@ def normalize_attribute_spacing(c: Column) -> Column:
 
 def collapse_double_entities(c: Column, passes: int = 6) -> Column:
     for _ in range(passes):
-        c = F.regexp_replace(c, r"&amp;(amp|lt|gt|quot|apos);", "&$1;")
+        c = F.replace(F.replace(c, F.lit("&amp;apos;"), F.lit("&apos;")), F.lit("&amp;quot;"), F.lit("&quot;"))
     return c
 
 
@@ -169,3 +169,44 @@ def scorer_text(c: Column, openings: tuple[str, ...]) -> Column:
         return F.array_join(F.when((F.size(p) > 1) & stock, F.slice(p, F.lit(2), F.size(p))).otherwise(p), "\n")
 
     return squeeze(F.lower(let(F.filter(F.split(answer, "\n"), lambda x: strip(x) != ""), join)))
+
+
+def unwrapped(wire: Column) -> Column:
+    """What stands between ``<text>`` and the last verdict of a wire; null without either."""
+    return F.nullif(F.regexp_extract(wire, r'(?s)^<text>(.*)<verdict type="', 1), F.lit(""))
+
+
+def annotation_tag(kind: Column, why: Column, score: Column) -> Column:
+    from quern.functions.text import escape_document
+
+    attr = lambda name, x: F.concat(F.lit(f' {name}="'), escape_document(x), F.lit('"'))
+    return F.concat(F.lit("<annotation"), attr("type", kind), attr("why", F.trim(why)), attr("score", score), F.lit(" />"))
+
+
+def bare_wire(document: Column, kind: Column, why: Column, score: Column) -> Column:
+    """A wire without tells."""
+    from quern.functions.text import escape_document
+
+    tag = F.replace(annotation_tag(kind, why, score), F.lit("<annotation"), F.lit("<verdict"))
+    return F.concat(F.lit("<text>"), escape_document(document), tag, F.lit("</text>"))
+
+
+def tag_attribute(tag: Column, name: str) -> Column:
+    """An attribute in double quotes, else in single quotes, escaped quotes inside resolved; null without it."""
+    double = F.regexp_extract(tag, rf'{name}\s*=\s*"((?:\\.|[^"])*)"', 1)
+    single = F.regexp_extract(tag, rf"{name}\s*=\s*'((?:\\.|[^'])*)'", 1)
+    has = lambda q: tag.rlike(rf"{name}\s*=\s*{q}")
+    return F.when(has('"'), F.replace(double, F.lit('\\"'), F.lit('"'))).when(has("'"), F.replace(single, F.lit("\\'"), F.lit("'")))
+
+
+def patch_last_verdict(wire: Column, score: Column) -> Column:
+    """The wire with the score of its last verdict replaced, in two places after the point."""
+    pattern = r'(?s)^(.*<verdict type="(?:AI|human)" why="(?:[^"\\]|\\.)*" score=")([0-9]*\.?[0-9]+)(".*)$'
+    return F.when(wire.rlike(pattern), F.concat(F.regexp_extract(wire, pattern, 1), F.format_string("%.2f", score), F.regexp_extract(wire, pattern, 3))).otherwise(wire)
+
+
+def first_why_span(wire: Column) -> Column:
+    """``struct(start, end)`` of the characters of the first explanation."""
+    start = F.instr(wire, 'why="') + 4
+    value = F.regexp_extract(wire, r'why="((?:[^"\\]|\\.)*)"', 1)
+    return F.when(F.instr(wire, 'why="') > 0, F.struct(start.cast("int").alias("start"), (start + F.length(value)).cast("int").alias("end")))

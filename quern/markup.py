@@ -11,6 +11,7 @@ import difflib
 import html
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -216,7 +217,7 @@ def repair(wire: str | None, document: str, most: float = 0.2) -> str | None:
     wire = re.sub(r'type="\s*(ai|human)\s*"', lambda m: f'type="{"AI" if m.group(1).lower() == "ai" else "human"}"', wire, flags=re.I)
     wire = re.sub(r'score="\s*(-?\d*\.?\d+)\s*"', lambda m: f'score="{min(1.0, max(0.0, float(m.group(1)))):g}"', wire)
     for _ in range(6):
-        once = re.sub(r"&amp;(amp|lt|gt|quot|apos);", r"&\1;", wire)
+        once = re.sub(r"&amp;(quot|apos);", r"&\1;", wire)
         if once == wire:
             break
         wire = once
@@ -285,3 +286,61 @@ def annotation_rows(wire: Column) -> Column:
     attr = lambda t, a: F.regexp_extract(t, rf"""{a}=(?:"([^"]*)"|'([^']*)')""", 1)
     rows = F.transform(tags, lambda t: F.struct(attr(t, "type").alias("type"), F.trim(unescape_document(attr(t, "why"))).alias("why"), attr(t, "score").try_cast("double").alias("score")))
     return F.filter(rows, lambda r: r["why"] != "")
+
+
+def nearest(document: str, span: str, first: int, hint: int) -> int | None:
+    """The occurrence of ``span`` from ``first`` on that lies nearest to ``hint`` (the earlier of two)."""
+    best, at = None, document.find(span, first) if span else -1
+    while at >= 0:
+        if best is None or abs(at - hint) < abs(best - hint):
+            best = at
+        at = document.find(span, at + 1)
+    return best
+
+
+def fuzzy_place(document: str, span: str, first: int = 0) -> tuple[int, int] | None:
+    """Start and length of the stretch nearest to ``span`` in characters that differ, two shorter to three longer, within max(5, a sixth of both); the first of equals.
+
+    Characters that a stretch and the span don't have in common are a lower bound of the difference; stretches whose bound is too high are passed over
+    without a comparison, which loses none.
+    """
+    best, codes = None, np.frombuffer(document.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    wanted = {c: span.count(c) for c in set(span)}
+    running = {c: np.r_[0, np.cumsum(codes == ord(c))] for c in wanted}
+    for length in range(max(1, len(span) - 2), len(span) + 4) if span else ():
+        if length > len(document) - first:
+            continue
+        most = max(5, (len(span) + length) // 6)
+        common = sum(np.minimum(r[first + length :] - r[first : len(r) - length], wanted[c]) for c, r in running.items())
+        apart = len(span) + length - 2 * common
+        for at in np.flatnonzero(apart <= (most if best is None else min(most, best[0]))):
+            if best and apart[at] > best[0]:
+                continue
+            off = difference(document[first + at : first + at + length], span)
+            if off <= most and (best is None or (off, first + at) < best[:2]):
+                best = (off, int(first + at), length)
+    return best[1:] if best else None
+
+
+def _differences(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difference(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def _located(documents: pd.Series, spans: pd.Series) -> pd.Series:
+    place = lambda p: {"start": p[0], "end": p[1]} if p else None
+    return pd.Series([[place(p) for p in locate(d, list(s))] for d, s in zip(documents, spans, strict=True)], dtype=object)
+
+
+def _nearest(documents: pd.Series, spans: pd.Series, first: pd.Series, hints: pd.Series) -> pd.Series:
+    return pd.Series([nearest(d, s, int(f), int(h)) for d, s, f, h in zip(documents, spans, first, hints, strict=True)], dtype="Int64")
+
+
+def _fuzzy(documents: pd.Series, spans: pd.Series) -> pd.Series:
+    got = (fuzzy_place(d, s) for d, s in zip(documents, spans, strict=True))
+    return pd.Series([p[0] if p else None for p in got], dtype="Int64")
+
+
+difference_udf = _vectorized(_differences, "bigint")
+locate_udf = _vectorized(_located, "array<struct<start:int,end:int>>")
+nearest_udf = _vectorized(_nearest, "bigint")
+fuzzy_udf = _vectorized(_fuzzy, "bigint")

@@ -7,7 +7,7 @@ from quern.plans.registry import ORACLE, QUERIES
 
 ship_by_value()
 
-for _name in ("metrics_q", "corpus_q", "inference_q", "text_q", "wire_q", "more_q", "evidence_q", "records_q", "splits_q", "mining_q", "inference2_q", "sources_q"):
+for _name in ("metrics_q", "corpus_q", "inference_q", "text_q", "wire_q", "more_q", "evidence_q", "records_q", "splits_q", "mining_q", "inference2_q", "sources_q", "wires_q", "samplers_q"):
     import_module(f"quern.plans.{_name}")
 
 __all__ = ["ORACLE", "QUERIES"]

@@ -4,57 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern import markup as W
 from quern import scorers as S
 from quern.functions import text as T
 from quern.plans.registry import query, table
-from quern.plans.text_q import _MERGED, _TOK, _comments, _per_document
-
-TYPE = "struct<start:int,end:int,type:string,explanation:string,score:double>"
-
-
-def _wires(docs):
-    """Each document of ``_per_document`` with an annotation around its merged spans, and the wire of both."""
-    tells = F.transform("iv", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(x["start"] % 2 == 0, "AI").otherwise("human").alias("type"), F.concat(F.lit("starts at "), x["start"].cast("string")).alias("explanation"), ((x["start"] % 10) / 10.0).alias("score")))
-    verdict = F.struct(F.lit("AI").alias("type"), F.lit("from a hash").alias("why"), F.lit(0.5).alias("score"))
-    return docs.select("doc_id", "text", W.render_udf("text", tells, verdict).alias("wire"))
-
-
-def _every_wire(spark, d):
-    """Characters that a wire can't carry are no part of the text: they go before the spans are laid."""
-    return _wires(_per_document(spark, d, table(spark, d, "documents").withColumn("text", F.regexp_replace("text", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))))
-
-
-def _plain_wires(spark, d):
-    """The wires of the documents that the SQL of J10, J18 and J32 keeps: those without such characters and without '&'."""
-    return _wires(_per_document(spark, d).where(~F.col("text").rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f&]")))
-
-
-_PLAIN = "NOT regexp_matches(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f&]')"
-
-
-@query("J10_parsed_tells", f"WITH {_MERGED} SELECT doc_id, st AS start, en AS \"end\", CASE WHEN st % 2 = 0 THEN 'AI' ELSE 'human' END AS type, (st % 10) / 10.0::DOUBLE AS score, length(substr(text, st + 1, en - st)) AS n FROM u JOIN documents USING (doc_id) WHERE {_PLAIN}")
-def j10(spark, d):
-    parsed = _plain_wires(spark, d).select("doc_id", W.parse_udf("wire").alias("p")).select("doc_id", F.explode("p.tells").alias("t"))
-    return parsed.select("doc_id", "t.start", "t.end", "t.type", "t.score", F.length("t.span_text").alias("n"))
-
-
-@query("J18_format_reasons", f"WITH {_MERGED} SELECT 'ok' AS reason, count(DISTINCT doc_id) AS wires FROM u JOIN documents USING (doc_id) WHERE {_PLAIN}")
-def j18(spark, d):
-    r = _plain_wires(spark, d).where("wire like '%<span>%'").select(W.diagnose_udf("wire", "text").alias("r"))
-    return r.groupBy("r.reason").agg(F.count(F.lit(1)).alias("wires"))
-
-
-@query("J21_repaired_wires")
-def j21(spark, d):
-    broken = _every_wire(spark, d).withColumn("wire", F.regexp_replace("wire", r'score="0\.([0-9])"', 'score=" 0.$1 "'))
-    return broken.select("doc_id", W.repair_udf("wire", "text").isNotNull().alias("repaired"))
-
-
-@query("J32_annotation_rows", f"WITH {_MERGED} SELECT doc_id, CASE WHEN st % 2 = 0 THEN 'AI' ELSE 'human' END AS type, 'starts at ' || st AS why, (st % 10) / 10.0::DOUBLE AS score FROM u JOIN documents USING (doc_id) WHERE {_PLAIN}")
-def j32(spark, d):
-    return _plain_wires(spark, d).select("doc_id", F.explode(W.annotation_rows(F.col("wire"))).alias("t")).select("doc_id", "t.type", "t.why", "t.score")
-
+from quern.plans.text_q import _TOK, _comments
 
 @query("R05_scorer_run", "SELECT id, round(length(text) / (length(text) + 1000.0::DOUBLE), 9) AS score_ai, text IS NULL AS failed FROM examples")
 def r05(spark, d):

@@ -118,3 +118,47 @@ def apply_feature_model(model, rows: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     return model.transform(rows).withColumn("score_ai", vector_to_array("probability")[1]).drop("_raw", "features", "rawPrediction", "probability", "prediction")
+
+
+@scorer("keywords")
+def keyword_scorer() -> Scorer:
+    """The offline scorer of ``functions.evidence`` for a list of texts."""
+    from quern.functions.evidence import AI_TERMS, HIT_WEIGHT, HUMAN_TERMS, LOGISTIC_BASE
+
+    def one(text: str) -> float:
+        low = text.lower()
+        balance = sum(map(low.count, AI_TERMS)) - sum(map(low.count, HUMAN_TERMS))
+        return 1.0 / (1.0 + LOGISTIC_BASE ** (-HIT_WEIGHT * balance))
+
+    return lambda texts: [one(t) for t in texts]
+
+
+def softmax_of(logits: Column) -> Column:
+    """Softmax of an array, without overflow."""
+    e = let(F.array_max(logits), lambda m: F.transform(logits, lambda x: F.exp(x - m)))
+    return let(e, lambda v: let(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), lambda s: F.transform(v, lambda x: x / s)))
+
+
+def bucket_expectation(weights: Column) -> tuple[Column, Column]:
+    """Expected bucket (from 0) over the number of buckets less one, and the likeliest bucket, of an array of unnormalized probabilities."""
+    top = F.aggregate(F.transform(weights, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)
+    mass = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
+    return top / mass / F.greatest(F.size(weights) - 1, F.lit(1)), F.array_position(weights, F.array_max(weights)) - 1
+
+
+def masked_starts(words: Column, seed: Column, share: float, span: int) -> Column:
+    """Sorted starts (from 1) of the spans that are masked: as many as ``share`` of the words asks for, drawn by hashes without replacement; none for very short texts."""
+    n = F.size(words)
+    wanted = F.least(F.greatest(F.lit(1), F.bround(n * share / span)), n - span).cast("int")
+    order = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(n - span, F.lit(1))), lambda i: F.struct(F.xxhash64(seed, i).alias("h"), i.alias("i"))))
+    drawn = F.transform(F.slice(order, F.lit(1), F.greatest(wanted, F.lit(1))), lambda x: x["i"])
+    return F.when(n < max(4, span + 2), F.array().cast("array<int>")).otherwise(F.array_sort(drawn))
+
+
+def filled(words: Column, starts: Column, span: int) -> Column:
+    """The text with its masked spans filled by the words that stood there, in one pass over the places: what a filler that knows the text gives."""
+    places = F.sequence(F.lit(1), F.size(words))
+    masked = lambda i: F.exists(starts, lambda s: (i >= s) & (i < s + span))
+    kept = F.transform(places, lambda i: F.when(masked(i), F.lit(None).cast("string")).otherwise(F.element_at(words, i)))
+    fills = F.transform(places, lambda i: F.when(masked(i), F.element_at(words, i)))
+    return F.array_join(F.zip_with(kept, fills, lambda a, b: F.coalesce(a, b)), " ")
