@@ -30,9 +30,10 @@ def positions(rows: DataFrame, order: list[str], groups: list[str] = [], largest
                 break
     else:
         value = F.unix_micros(F.col(first).cast("timestamp")).cast("double") if kind.startswith(("timestamp", "date")) else F.col(first).cast("double")
-        numbers = rows.select(value.alias("_x"))
-        ranges = min(RANGES, max(16, rows.count() // largest + 1))
-        cuts = sorted(set(numbers.where(~F.isnan("_x")).approxQuantile("_x", [i / ranges for i in range(1, ranges)], 0.2 / ranges)))
+        x = F.when(~F.isnan(value), value)
+        n, found = rows.agg(F.count(F.lit(1)), F.percentile_approx(x, [i / RANGES for i in range(1, RANGES)], 4 * RANGES)).first()  # one pass
+        step = RANGES // min(RANGES, max(16, 1 << (n // largest).bit_length()))
+        cuts = sorted(set((found or [])[step - 1 :: step]))
         marked = keyed(F.when(value.isNotNull(), F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value))).otherwise(-1) if cuts else F.lit(0))
     heads = counted(marked)
     of_group = Window.partitionBy("_group")

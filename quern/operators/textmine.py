@@ -124,7 +124,9 @@ def span_genericity(tells: DataFrame, ids: list[str], bucket: str, span: str, we
 def drop_probabilities(tells: DataFrame, g: str, score: str, strength: float, cap: float, score_weight: float, quantile: float) -> DataFrame:
     """``tells`` with the drop probabilities of three styles: by genericity over its median (``scaled``; before the score counts, ``mass``), above a quantile of it, and above the median; each times ``keep`` = max(0, 1 - weight * score)."""
     from quern.operators.aggregates import linear_quantile
+    from quern.session import checkpoint
 
+    tells = checkpoint(tells)  # read by the quantiles and by what follows
     refs = linear_quantile(tells, [], g, {"_med": 0.5, "_ref": quantile})
     rows = tells.crossJoin(F.broadcast(refs)).withColumn("keep", F.greatest(F.lit(0.0), 1 - score_weight * F.col(score)))  # one row
     over = F.greatest(F.lit(1e-6), F.col("_med"))

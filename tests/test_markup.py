@@ -89,14 +89,46 @@ def test_columns(spark):
 
 def test_wires_of_every_document(spark, tmp_path):
     from quern.plans import QUERIES
-    from quern.plans.wire_q import _every_wire
+    from quern.plans.wires_q import _wires
 
     texts = {k: f"R&D {k} <b>&amp;</b>" + ("\x01\x0b" if k % 2 else "") + " said \"no\" & left, & came 'back' again" * 4 for k in range(20)}
     spark.createDataFrame(list(texts.items()), "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = _every_wire(spark, str(tmp_path)).select("doc_id", "wire", W.parse_udf("wire").alias("p"), W.diagnose_udf("wire", "text").alias("r")).collect()
+    rows = _wires(spark, str(tmp_path)).select("doc_id", "wire", W.parse_udf("wire").alias("p"), W.diagnose_udf("wire", "text").alias("r")).collect()
     assert {r["doc_id"] for r in rows} == set(texts)
     for r in rows:
         text = texts[r["doc_id"]].replace("\x01", "").replace("\x0b", "")
         assert r["r"]["reason"] == "ok" and r["p"]["plain"] == text and r["p"]["tells"]
         assert all(t["span_text"] == text[t["start"] : t["end"]] for t in r["p"]["tells"])
-    assert {tuple(r) for r in QUERIES["J21_repaired_wires"](spark, str(tmp_path)).collect()} == {(k, True) for k in texts}
+    import hashlib
+
+    repaired = {r["doc_id"]: r for r in QUERIES["J21_repaired_wires"](spark, str(tmp_path)).collect()}
+    for r in rows:
+        assert repaired[r["doc_id"]]["plain"] == hashlib.sha256(r["p"]["plain"].encode()).hexdigest() and repaired[r["doc_id"]]["tells"] == len(r["p"]["tells"])
+
+
+def test_fuzzy_places_match_brute_force():
+    rng = random.Random(3)
+    for _ in range(60):
+        text = "".join(rng.choice("abcd ") for _ in range(rng.randint(0, 50)))
+        span = "".join(rng.choice("abcd ") for _ in range(rng.randint(1, 14)))
+        best = None
+        for n in range(max(1, len(span) - 2), len(span) + 4):
+            for i in range(len(text) - n + 1):
+                off = W.difference(text[i : i + n], span)
+                if off <= max(5, (len(span) + n) // 6) and (best is None or (off, i) < best[:2]):
+                    best = (off, i, n)
+        got = W.fuzzy_place(text, span)
+        assert (got is None) == (best is None)
+        assert best is None or (W.difference(text[got[0] : sum(got)], span), got[0]) == best[:2]
+    assert W.nearest("abcabcab", "ab", 1, 5) == 6 and W.nearest("abc", "x", 0, 0) is None and W.nearest("", "", 0, 0) is None
+
+
+def test_token_classes_by_hand():
+    from quern.operators import tokenclasses as K
+
+    # reasoning, text, span, its text, attributes: type, why, score; text; verdict: type, why, score; closing
+    t = [50, 0, 60, 3, 61, 4, 62, 5, 63, 63, 6, 64, 7, 65, 1, 66, 5, 67, 6, 68, 2]
+    assert list(K.classes(t, 1)) == [0, 1, 7, 2, 7, 1, 5, 1, 6, 6, 1, 8, 1, 7, 1, 3, 1, 4, 1, 9, 1]
+    assert list(K.segments(t, 1)) == [0, 0, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 2, 1, 1, 1, 1, 1, 1, 1]
+    assert list(K.mask(t, 1)) == [1, 0, 1, 0, 1, 1, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 1]
+    assert list(K.classes([], 3)) == list(K.segments([], 0)) == list(K.mask([5], 4)) == [] and list(K.classes([9], 4)) == [0]
