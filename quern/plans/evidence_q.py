@@ -134,7 +134,7 @@ def o18(spark, d):
     return _verdicts(spark, d).select("id", F.round(E.quote_coverage(F.col("verdict"), _SPANS_OF()), 9).alias("coverage"))
 
 
-@query("O16_combined_verdict", f"WITH {_T}, {_VERDICT}, {_RECALL}, {_COVER}, g AS (SELECT id, {_GATE} AS gate FROM (SELECT id, {_WORDS('v')} AS t FROM verdicts)) SELECT id, round(gate * (recall + cover), 9) AS reward FROM g JOIN r USING (id) JOIN k USING (id)")
+@query("O16_combined_verdict", f"WITH {_T}, {_VERDICT}, {_RECALL}, {_COVER}, g AS (SELECT id, {_GATE} AS gate FROM (SELECT id, {_WORDS('v')} AS t FROM verdicts WHERE v IS NOT NULL)) SELECT id, round(gate * (recall + cover), 9) AS reward FROM g JOIN r USING (id) JOIN k USING (id)")
 def o16(spark, d):
     return _verdicts(spark, d).where("verdict is not null").select("id", F.round(E.verdict_reward(F.col("verdict"), _WHYS_OF(), _SPANS_OF()), 9).alias("reward"))
 

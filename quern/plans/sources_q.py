@@ -378,7 +378,7 @@ def b20(spark, d):
     return rows.select("id", "detector", "generated_at", F.when(score == "", "").otherwise("set").alias("score"), B.tsv_cell(F.col("e"), "string").alias("error"))
 
 
-@query("B21_summary_and_records", "SELECT detector, count(*) AS records, (count(*) FILTER (isnan(score_ai))) = 0 AS finite FROM predictions WHERE score_ai IS NOT NULL GROUP BY detector")
+@query("B21_summary_and_records", "SELECT detector, count(*) AS records, (count(*) FILTER (isnan(score_ai) OR isinf(score_ai))) = 0 AS finite FROM predictions WHERE score_ai IS NOT NULL GROUP BY detector")
 def b21(spark, d):
     """Records as JSON lines with NaN as null, and a summary that is read from them."""
     path = _place(spark, "records")
