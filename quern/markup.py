@@ -129,20 +129,20 @@ def difference(a: str, b: str) -> int:
     return len(a) + len(b) - 2 * same
 
 
-def diagnose(wire: str | None, document: str | None) -> dict:
-    """``ok, reason, char_diff``: the first rule a wire breaks as an annotation of ``document``."""
+def diagnose(wire: str | None, document: str | None, measure=difference) -> dict:
+    """``ok, reason, char_diff``: the first rule a wire breaks as an annotation of ``document``; ``measure`` counts the characters that differ, which takes long for long texts."""
     wire, document = (wire or "").removesuffix(END_MARK), document or ""
     if not wire:
         return {"ok": False, "reason": "empty_final", "char_diff": len(document)}
     if not (wire.startswith("<text>") and wire.endswith("</text>") and "<verdict " in wire):
-        return {"ok": False, "reason": "missing_outer_annotation", "char_diff": difference(wire, document)}
+        return {"ok": False, "reason": "missing_outer_annotation", "char_diff": measure(wire, document)}
     p = parse(wire)
     if not p["ok"]:
-        return {"ok": False, "reason": "annotation_parse_failed", "char_diff": difference(p["plain"], document)}
+        return {"ok": False, "reason": "annotation_parse_failed", "char_diff": measure(p["plain"], document)}
     if any(t["type"] not in KINDS for t in p["tells"]):
-        return {"ok": False, "reason": "invalid_type", "char_diff": difference(p["plain"], document)}
+        return {"ok": False, "reason": "invalid_type", "char_diff": measure(p["plain"], document)}
     if p["plain"] != _FORBIDDEN.sub("", document):
-        return {"ok": False, "reason": "text_mismatch", "char_diff": difference(p["plain"], document)}
+        return {"ok": False, "reason": "text_mismatch", "char_diff": measure(p["plain"], document)}
     if any(kind == "run" and escape(unescape(piece)) != piece for kind, piece in _pieces(wire)):
         return {"ok": False, "reason": "bad_xml_escaping", "char_diff": 0}
     return {"ok": True, "reason": "ok", "char_diff": 0}
@@ -250,6 +250,10 @@ def _diagnosed(wires: pd.Series, documents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([diagnose(w, d) for w, d in zip(wires, documents, strict=True)], columns=["ok", "reason", "char_diff"])
 
 
+def _reasons(wires: pd.Series, documents: pd.Series) -> pd.Series:
+    return pd.Series([diagnose(w, d, lambda a, b: 0)["reason"] for w, d in zip(wires, documents, strict=True)], dtype=object)
+
+
 def _repaired(wires: pd.Series, documents: pd.Series) -> pd.Series:
     return pd.Series([repair(w, d or "") for w, d in zip(wires, documents, strict=True)], dtype=object)
 
@@ -269,6 +273,7 @@ def _vectorized(f, returns: str):
 
 parse_udf = _vectorized(_parsed, PARSED)
 diagnose_udf = _vectorized(_diagnosed, "ok boolean, reason string, char_diff int")
+reason_udf = _vectorized(_reasons, "string")
 repair_udf = _vectorized(_repaired, "string")
 render_udf = _vectorized(_rendered, "string")
 

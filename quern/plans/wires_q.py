@@ -116,24 +116,24 @@ def _broken(spark, d):
 
 @query("J18_format_reasons", f"WITH {_DC} SELECT doc_id, {_REASON} AS reason FROM k")
 def j18(spark, d):
-    return _broken(spark, d).select("doc_id", W.diagnose_udf("wire", "text")["reason"].alias("reason"))
+    return _broken(spark, d).select("doc_id", W.reason_udf("wire", "text").alias("reason"))
 
 
 @query("F11_format_pass_rates", f"WITH {_DC} SELECT lang, count(*) AS wires, round(avg(({_REASON} = 'ok')::INT), 6) AS pass_rate FROM k JOIN (SELECT doc_id, lang FROM documents) USING (doc_id) GROUP BY lang")
 def f11b(spark, d):
-    ok = _broken(spark, d).select("doc_id", W.diagnose_udf("wire", "text")["ok"].alias("ok"))
+    ok = _broken(spark, d).select("doc_id", (W.reason_udf("wire", "text") == "ok").alias("ok"))
     return ok.join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.count(F.lit(1)).alias("wires"), F.round(F.avg(F.col("ok").cast("double")), 6).alias("pass_rate"))
 
 
 @query("A26_gated_wires", f"WITH {_DC} SELECT doc_id FROM k WHERE {_REASON} = 'ok'")
 def a26(spark, d):
     """Rows whose wire isn't valid for their text are dropped."""
-    return _broken(spark, d).where(W.diagnose_udf("wire", "text")["ok"]).select("doc_id")
+    return _broken(spark, d).where((W.reason_udf("wire", "text") == "ok")).select("doc_id")
 
 
 @query("D23_canonical_escaping", f"WITH {_DC} SELECT doc_id, doc_id % 7 <> 6 AS canonical FROM k WHERE doc_id % 7 IN (0, 6)")
 def d23(spark, d):
-    reason = W.diagnose_udf("wire", "text")["reason"]
+    reason = W.reason_udf("wire", "text")
     return _broken(spark, d).where((F.col("doc_id") % 7).isin(0, 6)).select("doc_id", (reason != "bad_xml_escaping").alias("canonical"))
 
 
@@ -283,7 +283,7 @@ def i09(spark, d):
     return table(spark, d, "expert_articles").where("article != ''").select("id", apart.alias("apart"))
 
 
-@query("I10_nearest_occurrence", "WITH w AS (SELECT doc_id, text, substr(text, 1, 3) AS s FROM documents WHERE length(text) >= 60), o AS (SELECT doc_id, unnest(list_filter(range(0, length(text) - 2), lambda i: substr(text, i + 1, 3) = s)) AS p FROM w) SELECT doc_id, min_by(p, (abs(p - 50), p)) AS place FROM o GROUP BY doc_id")
+@query("I10_nearest_occurrence")
 def i10(spark, d):
     """The occurrence of a text's first three characters that lies nearest to character 50."""
     rows = table(spark, d, "documents").where("length(text) >= 60").select("doc_id", "text", F.substring("text", 1, 3).alias("s"))
