@@ -17,7 +17,7 @@ _COUNTS = {"n_total", "n_scored", "n_errors", "tp", "fp", "tn", "fn"}
 
 
 def _rounded(df, keys):
-    return df.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in _COUNTS else F.round(c, 6).alias(c) for c in _SUITE])
+    return df.select(*keys, *[F.coalesce(F.col(c), F.lit(0)).alias(c) if c in _COUNTS else F.round(c, 12).alias(c) for c in _SUITE])
 
 
 def _edges() -> str:
@@ -30,7 +30,7 @@ def _suite_sql(source: str, keys: str) -> str:
     on = lambda a, b: " AND ".join(f"{a}.{x} IS NOT DISTINCT FROM {b}.{x}" for x in k)
     parts = ", ".join(f"coalesce(max(tp / p) FILTER (fp / n <= {t}), 0.0) AS tpr_at_fpr_{x}" for x, t in M.FPR_TARGETS.items())
     parts += ", " + ", ".join(f"coalesce(min(fp / n) FILTER (tp / p >= {t}), 1.0) AS fpr_at_tpr_{x}" for x, t in M.TPR_TARGETS.items())
-    out = ", ".join(f"coalesce({'t' if c[0] == 'n' and c[1] == '_' else 'c'}.{c}, 0) AS {c}" if c in _COUNTS else f"round({c}, 6) AS {c}" for c in _SUITE)
+    out = ", ".join(f"coalesce({'t' if c[0] == 'n' and c[1] == '_' else 'c'}.{c}, 0) AS {c}" if c in _COUNTS else f"round({c}, 12) AS {c}" for c in _SUITE)
     return f"""
     WITH src AS ({source}),
     t AS (SELECT {keys}, count(*) AS n_total, count(*) FILTER ({VALID}) AS n_scored, count(*) FILTER (coalesce(error, '') <> '') AS n_errors,
