@@ -151,3 +151,42 @@ def test_block_longer_than_an_arrow_batch(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == {(a, b) for b in range(1, 61) for a in range(1, b)}
+
+
+def template_rows(seed, count=1500):
+    """Texts of a few sentence patterns, so that most sequences of three words are common; some evaluation texts are edited training texts."""
+    rng = random.Random(seed)
+    words = [[f"{k}{i}" for i in range(12)] for k in ("noun", "verb", "adj")]
+    sentence = lambda: ["the", rng.choice(words[2]), rng.choice(words[0]), rng.choice(words[1]), "the", rng.choice(words[0])]
+    rows = []
+    for i in range(count):
+        text = [w for _ in range(rng.choice([4, 12, 25])) for w in sentence()]
+        rows.append((f"t{i}", " ".join(text), "train", "d"))
+        if i % 4 == 0:
+            rows.append((f"e{i}", " ".join(w if rng.random() > 0.08 else rng.choice(words[0]) for w in text) if i % 8 else " ".join(w for _ in range(12) for w in sentence()), "test", "d"))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def template(spark):
+    rows = template_rows(5)
+    s = [(i, sp, sets(t)) for i, t, sp, _ in rows]
+    return rows, {(e, t) for e, se, x in s for t, st_, y in s if se == "test" and st_ == "train" and len(x & y) / len(x) >= 0.6}
+
+
+def test_overlap_ships_no_more_than_its_input(spark, template):
+    rows, want = template
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    df = examples(spark, rows).repartition(2)
+    before = written()
+    got = {(r["eval_id"], r["train_id"]) for r in overlap.id_pairs(*overlap.contaminated_pairs(df)).collect()}
+    assert got == want and len(want) > 100
+    assert written() - before < 2 * sum(len(t) for _, t, _, _ in rows)
+
+
+def test_overlap_in_blocks(spark, template, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(overlap, "HITS", 50)
+    rows, want = template
+    got = overlap.id_pairs(*overlap.contaminated_pairs(examples(spark, rows).repartition(3))).collect()
+    assert {(r["eval_id"], r["train_id"]) for r in got} == want
