@@ -190,3 +190,24 @@ def test_overlap_in_blocks(spark, template, monkeypatch):
     rows, want = template
     got = overlap.id_pairs(*overlap.contaminated_pairs(examples(spark, rows).repartition(3))).collect()
     assert {(r["eval_id"], r["train_id"]) for r in got} == want
+
+
+def test_overlap_finds_what_sql_finds(spark, tmp_path):
+    import duckdb
+
+    from quern.llm.oracle import ORACLE
+    from quern.llm.queries import p4_found
+
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for name, a, b in (("dotted", "İz{}", "iz{}"), ("sigma", "ΛΟΓΟΣ {}Σ", "λογοσ {}σ"), ("split", "{}", "{}"), ("same", "{}", "{}"), ("final", "ΛΟΓΟΣ{}", "λογος{}")):
+        text = [word() for _ in range(30)]
+        rows.append((name if name == "same" else f"{name}-e", " ".join(map(a.format, text)), " Test " if name == "split" else "test", "d"))
+        rows.append((name if name == "same" else f"{name}-t", " ".join(map(b.format, text)), "train", "d"))
+    examples(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/examples.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW examples AS SELECT * FROM '{tmp_path}/examples.parquet/*.parquet'")
+    want = set(con.sql(ORACLE["p4_found"]).fetchall())
+    assert {("dotted-e", "dotted-t"), ("sigma-e", "sigma-t"), ("split-e", "split-t"), ("same", "same")} <= want
+    assert {tuple(r) for r in p4_found(spark, str(tmp_path)).collect()} == want
