@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -84,13 +88,45 @@ def intra_similarity(rows: DataFrame, group: str, id_col: str, words: str) -> Da
     return texts.join(sums, group, "left").select(group, (F.coalesce((F.col("_s") - F.col("_m")) / 2, F.lit(0.0)) / pairs).alias("similarity"))
 
 
-def gram_model(rows: DataFrame, row_col: str, id_col: str, grams: str) -> tuple[DataFrame, DataFrame]:
-    """Document frequency of n-grams over rows (``g, df``; a row's texts count together) and ``id, row, mean_idf``: mean ln((1 + N) / (1 + df)) over a text's distinct n-grams, 0 without any."""
-    each = rows.select(row_col, id_col, F.explode(grams).alias("g"))
-    df = each.select(row_col, "g").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("df"))
-    total = rows.agg(F.count_distinct(row_col).alias("_n"))
-    scored = each.join(df, "g").crossJoin(F.broadcast(total)).groupBy(id_col).agg(F.avg(F.ln((1 + F.col("_n")) / (1 + F.col("df")))).alias("mean_idf"))  # one row
-    return df, rows.select(id_col, row_col).join(scored, id_col, "left").select(id_col, row_col, F.coalesce("mean_idf", F.lit(0.0)).alias("mean_idf"))
+#: Characters of text whose n-grams a task holds at once.
+CHUNK_CHARS = 500_000
+
+
+def gram_model(rows: DataFrame, row_col: str, id_col: str, text: str, shortest: int, longest: int) -> tuple[DataFrame, DataFrame]:
+    """Document frequency of character n-grams over rows (``g, df``; a row's texts count together) and ``id, row, mean_idf``: mean ln((1 + N) / (1 + df)) over a text's distinct n-grams, 0 without any.
+
+    Texts come together in chunks of whole rows.  A chunk counts its n-grams, and it gets the frequencies of its distinct ones back, so no n-gram of a single text is shuffled.
+    """
+    from quern.session import checkpoint
+
+    texts = checkpoint(rows.select(F.col(row_col).cast("string").alias("_row"), F.col(id_col).cast("string").alias("_id"), F.col(text).alias("_text")))
+    n, chars = texts.agg(F.count_distinct("_row"), F.coalesce(F.sum(F.length("_text")), F.lit(0))).first()
+    texts = texts.withColumn("_chunk", F.pmod(F.xxhash64("_row"), F.lit(max(1, -(-chars // CHUNK_CHARS)))))
+    kinds = dict(rows.dtypes)
+
+    def sets(keys: list, values: pd.Series) -> dict:
+        out: dict = {}
+        for k, t in zip(keys, values, strict=True):
+            out.setdefault(k, set()).update(t[i : i + size] for size in range(shortest, longest + 1) for i in range(len(t) - size + 1))
+        return out
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        found: Counter = Counter()
+        for grams in sets([r if isinstance(r, str) else None for r in group["_row"]], group["_text"]).values():
+            found.update(grams)
+        return pd.DataFrame({"_chunk": group["_chunk"].iloc[0], "g": list(found), "_n": list(found.values())})
+
+    def score(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        idf = {g: math.log((1 + n) / (1 + df)) for g, df in zip(known["g"], known["df"], strict=True)}
+        keys = [(r if isinstance(r, str) else None, i if isinstance(i, str) else None) for r, i in zip(group["_row"], group["_id"], strict=True)]
+        out = [(*k, math.fsum(idf[g] for g in grams) / len(grams) if grams else 0.0) for k, grams in sets(keys, group["_text"]).items()]
+        return pd.DataFrame(out, columns=["_row", "_id", "mean_idf"])
+
+    counts = checkpoint(texts.groupBy("_chunk").applyInPandas(count, "_chunk bigint, g string, _n bigint"))
+    df = counts.groupBy("g").agg(F.sum("_n").alias("df"))
+    known = counts.select("_chunk", "g").join(df, "g")
+    scored = texts.groupBy("_chunk").cogroup(known.groupBy("_chunk")).applyInPandas(score, "_row string, _id string, mean_idf double")
+    return df, scored.select(F.col("_id").cast(kinds[id_col]).alias(id_col), F.col("_row").cast(kinds[row_col]).alias(row_col), "mean_idf")
 
 
 def word_sets(spans: DataFrame, span: str, tokenizer=None) -> DataFrame:

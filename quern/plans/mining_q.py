@@ -283,10 +283,9 @@ _MEANIDF = f"{_ROWGRAMS}, m AS (SELECT c.cid, c.id, coalesce(avg(ln((1.0 + n) /
 
 
 def _fitted(spark, d):
-    from quern.functions.mining import char_gram_set, fragment
+    from quern.functions.mining import fragment
 
-    rows = _comments(spark, d).select("cid", "id", char_gram_set(fragment(F.col("comment")), 3, 5).alias("grams"))
-    return X.gram_model(rows, "id", "cid", "grams")
+    return X.gram_model(_comments(spark, d).select("cid", "id", fragment(F.col("comment")).alias("t")), "id", "cid", "t", 3, 5)
 
 
 @query("P03_char_idf", f"WITH {_MEANIDF} SELECT cid, round(m, 6) AS mean_idf FROM m")

@@ -86,3 +86,35 @@ def test_scorers_keep_errors_to_their_rows(spark):
     assert all("KeyError" in r["error"] and r["score_ai"] is None for r in broken)
     chunks = spark.createDataFrame([(list("abcdefg"),), (["a"],)], "w array<string>").select(S.word_chunks(F.col("w"), 4, 2).alias("c")).collect()
     assert ["".join(x) for x in chunks[0]["c"]] == ["abcd", "cdef", "efg"] and chunks[1]["c"] == [["a"]]
+
+
+def _comment_tables(spark, folder, articles):
+    """``expert_articles`` with comments of few words; two articles share an id."""
+    import random
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30)]
+    slots = lambda: [(f"w{k}", rng.choice(["AI-generated", "human"]), 3, " ".join(rng.choice(words) for _ in range(20)) if rng.random() > 0.2 else None) for k in range(5)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(80))
+    rows = [(min(i, articles - 2), "t", text(), "AI", "human", *slots()) for i in range(articles)]
+    slot = "struct<annotator_id: string, guess: string, confidence: int, comment: string>"
+    kinds = "id bigint, title string, article string, ground_truth string, expert_majority_vote string, " + ", ".join(f"annotator_{k} {slot}" for k in range(1, 6))
+    spark.createDataFrame(rows, kinds).coalesce(2).write.parquet(f"{folder}/expert_articles.parquet")
+
+
+def test_gram_model_ships_no_gram_of_a_text_and_equals_sql(spark, tmp_path):
+    import duckdb
+
+    from quern.plans import ORACLE, QUERIES
+
+    _comment_tables(spark, tmp_path, 300)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW expert_articles AS SELECT * FROM '{tmp_path}/expert_articles.parquet/*.parquet'")
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    for name in ("P03_char_idf", "P04_fitted_model"):
+        before = written()
+        df = QUERIES[name](spark, str(tmp_path))
+        got = sorted(map(tuple, df.collect()))
+        assert written() - before < 1_000_000
+        want = con.sql(ORACLE[name])
+        assert df.columns == want.columns and got == sorted(want.fetchall())
