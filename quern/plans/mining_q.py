@@ -296,8 +296,10 @@ def p03(spark, d):
 @query("P04_fitted_model", f"WITH {_MEANIDF} SELECT (SELECT count(*) FROM df) AS grams, (SELECT n FROM n) AS rows, round(median(m), 6) AS median_idf FROM m")
 def p04(spark, d):
     from quern.operators.aggregates import linear_quantile
+    from quern.session import checkpoint
 
     df, scored = _fitted(spark, d)
+    scored = checkpoint(scored)  # read by the count and by the quantile
     grams = df.agg(F.count(F.lit(1)).alias("grams"))
     rows = scored.agg(F.count_distinct("id").alias("rows"))
     med = linear_quantile(scored, [], "mean_idf", {"median_idf": 0.5})
