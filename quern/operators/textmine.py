@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -135,26 +136,78 @@ def word_sets(spans: DataFrame, span: str, tokenizer=None) -> DataFrame:
     return spans.withColumn("words", F.array_distinct(words))
 
 
+#: Sets of a bucket up to which a join compares them; sets whose nearest a task looks for, and the most tasks for a bucket.
+JOINED_SETS, TASK_SETS, BUCKET_TASKS = 64, 16_384, 16
+
+
+def nearest_jaccard(sets: list[np.ndarray], asked: np.ndarray) -> np.ndarray:
+    """Largest Jaccard similarity of each of the ``asked`` sets (by place) with another one.
+
+    A set's words are followed from the rarest; one of s words that first meets another at its word p shares at most s - p with it (p from 0), so the
+    common words are left as soon as none can come closer than what was found.
+    """
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    flat, word, df = np.unique(np.concatenate([*sets, np.zeros(0, np.int64)]), return_inverse=True, return_counts=True)
+    of = np.repeat(np.arange(len(sets)), size)
+    order = np.lexsort((word, df[word], of))  # within each set, rarest first
+    word, at = word[order], np.append(0, np.cumsum(size))
+    by_word = np.lexsort((size[of], word))
+    posting, start = of[by_word], np.append(0, np.cumsum(df))
+    inside, out = np.zeros(len(flat), dtype=bool), np.zeros(len(asked))
+    for k, i in enumerate(asked):
+        mine = word[at[i] : at[i + 1]]
+        s, best = len(mine), 0.0
+        inside[mine] = True
+        for p, w in enumerate(mine):
+            if best >= (s - p) / s:
+                break
+            others = posting[start[w] : start[w + 1]]  # by size
+            low = np.searchsorted(size[others], best * s, "left")  # a shared part of all its words, at most
+            others = others[low : np.searchsorted(size[others], (s - p) / best - p, "right") if best else None]
+            others = others[others != i]
+            if len(others):
+                lengths = size[others]
+                ends = np.cumsum(lengths)
+                shared = np.add.reduceat(inside[word[np.repeat(at[others] - ends + lengths, lengths) + np.arange(ends[-1])]].astype(np.int64), ends - lengths)
+                best = max(best, float((shared / (s + lengths - shared)).max()))
+        inside[mine] = False
+        out[k] = best
+    return out
+
+
 def span_genericity(tells: DataFrame, ids: list[str], bucket: str, span: str, weight: float, least: int) -> DataFrame:
-    """``tells`` with ``n`` (tells of the bucket) and ``g = ln(1 + max(n, least)) * clamp(1 - weight * J)``, J the largest word Jaccard of the span with another span of the bucket.
+    """``tells`` without their spans, with ``n`` (tells of the bucket) and ``g = ln(1 + max(n, least)) * clamp(1 - weight * J)``, J the largest word Jaccard of the span with another span of the bucket.
 
-    Equal word sets meet as one: a set that occurs twice has J = 1 without a comparison, so only distinct sets of a bucket are compared, joined on a
-    shared word (sets that share none have J = 0).
+    Equal word sets meet as one: a set that occurs twice has J = 1 without a comparison, so only distinct sets of a bucket are compared: those of a small bucket
+    joined on a shared word (sets that share none have J = 0), those of a large one by ``nearest_jaccard``, in parts that each look for the nearest of some sets.
     """
     from quern.functions.text import jaccard
+    from quern.session import checkpoint
 
-    t = word_sets(tells, span).withColumn("_set", F.array_sort("words"))
-    sizes = t.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
-    sets = t.groupBy(bucket, "_set").agg(F.count(F.lit(1)).alias("_copies"))
-    single = sets.where("_copies = 1").select(bucket, "_set")
-    words = sets.select(bucket, F.col("_set").alias("_other"), F.explode("_set").alias("_w"))
-    mine = single.select(bucket, "_set", F.explode("_set").alias("_w"))
-    met = mine.join(words, [bucket, "_w"]).where("_set != _other").select(bucket, "_set", "_other").distinct()
-    best = met.groupBy(bucket, "_set").agg(F.max(jaccard(F.col("_set"), F.col("_other"))).alias("_j"))
-    scored = sets.join(best, [bucket, "_set"], "left").select(bucket, "_set", F.when(F.col("_copies") > 1, 1.0).otherwise(F.coalesce("_j", F.lit(0.0))).alias("_j"))
-    out = t.join(sizes, bucket).join(scored, [bucket, "_set"])
+    hashed = F.array_sort(F.transform("words", lambda w: F.xxhash64(w)))
+    t = checkpoint(word_sets(tells, span).withColumn("_set", hashed).drop("words", span))
+    sets = checkpoint(t.groupBy(bucket, "_set").agg(F.count(F.lit(1)).alias("_copies")).withColumn("_sid", F.monotonically_increasing_id()))
+    sizes = sets.groupBy(bucket).agg(F.sum("_copies").alias("n"))
+    held = sets.join(sets.groupBy(bucket).agg(F.count(F.lit(1)).alias("_sets")).where("_sets > 1"), bucket)
+    small = held.where(F.col("_sets") <= JOINED_SETS)
+    words = small.select(bucket, F.col("_sid").alias("_oid"), F.col("_set").alias("_other"), F.explode("_set").alias("_w"))
+    mine = small.where("_copies = 1").select(bucket, "_sid", "_set", F.explode("_set").alias("_w"))
+    met = mine.join(words, [bucket, "_w"]).where("_sid != _oid").groupBy("_sid", "_oid").agg(F.first("_set").alias("_set"), F.first("_other").alias("_other"))
+    joined = met.groupBy("_sid").agg(F.max(jaccard(F.col("_set"), F.col("_other"))).alias("_j"))
+
+    def nearest(group: pd.DataFrame) -> pd.DataFrame:
+        asked = np.flatnonzero(group["_own"].to_numpy(bool))
+        return pd.DataFrame({"_sid": group["_sid"].to_numpy(np.int64)[asked], "_j": nearest_jaccard(list(group["_words"]), asked)})
+
+    parts = F.least(F.lit(BUCKET_TASKS), F.ceil(F.col("_sets") / TASK_SETS)).cast("bigint")
+    large = held.where(F.col("_sets") > JOINED_SETS).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    large = large.select(bucket, "_part", "_sid", ((F.col("_copies") == 1) & (F.pmod(F.xxhash64("_sid"), parts) == F.col("_part"))).alias("_own"), F.col("_set").alias("_words"))
+    large = large.repartition(4 * tells.sparkSession.sparkContext.defaultParallelism, bucket, "_part")  # work grows with more than bytes
+    best = joined.unionByName(large.groupBy(bucket, "_part").applyInPandas(nearest, "_sid bigint, _j double"))
+    scored = sets.join(best, "_sid", "left").select(bucket, "_set", F.when(F.col("_copies") > 1, 1.0).otherwise(F.coalesce("_j", F.lit(0.0))).alias("_j"))
+    out = t.join(scored.join(sizes, bucket), [bucket, "_set"])
     diversity = F.when(F.col("n") < 2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - weight * F.col("_j"))))
-    return out.withColumn("g", F.ln(1 + F.greatest("n", F.lit(least))) * diversity).drop("_set", "_j", "words")
+    return out.withColumn("g", F.ln(1 + F.greatest("n", F.lit(least))) * diversity).drop("_set", "_j")
 
 
 def drop_probabilities(tells: DataFrame, g: str, score: str, strength: float, cap: float, score_weight: float, quantile: float) -> DataFrame:

@@ -329,10 +329,10 @@ _GENERIC = f"""o AS (SELECT id, slot, score, why, span, substr({_FRAG('why')}, 1
   g AS (SELECT b.id, b.slot, b.score, b.why, b.n, ln(1 + greatest(b.n, 2)) * CASE WHEN b.n < 2 THEN 1 ELSE least(1, greatest(0, 1 - 0.5 * coalesce(best, 0))) END AS g FROM b LEFT JOIN j USING (id, slot))"""
 
 
-def _generic(spark, d):
+def _generic(spark, d, *more):
     from quern.functions.mining import fragment
 
-    t = _tells(spark, d).select("id", F.col("ord").alias("slot"), "score", "why", "span", F.substring(fragment(F.col("why")), 1, 12).alias("k"))
+    t = _tells(spark, d).select("id", F.col("ord").alias("slot"), "score", *more, "span", F.substring(fragment(F.col("why")), 1, 12).alias("k"))
     return X.span_genericity(t, ["id", "slot"], "k", "span", weight=0.5, least=2)
 
 
@@ -344,8 +344,8 @@ def p07(spark, d):
 _DROPS = f"{_GENERIC}, r AS (SELECT *, median(g) OVER () AS med, quantile_cont(g, 0.75) OVER () AS ref FROM g), p AS (SELECT id, slot, why, greatest(0, 1 - 0.5 * score) AS keep, least(0.9, 0.45 * g / greatest(1e-6, med)) AS scaled, least(0.9, 0.45 * greatest(0, g - ref) / greatest(1e-6, med)) AS above_quantile, least(0.9, 0.45 * greatest(0, g - med) / greatest(1e-6, med)) AS above_median FROM r)"
 
 
-def _drops(spark, d):
-    return X.drop_probabilities(_generic(spark, d), "g", "score", strength=0.45, cap=0.9, score_weight=0.5, quantile=0.75)
+def _drops(spark, d, *more):
+    return X.drop_probabilities(_generic(spark, d, *more), "g", "score", strength=0.45, cap=0.9, score_weight=0.5, quantile=0.75)
 
 
 @query("P08_drop_probabilities", f"WITH {_TELLS}, {_DROPS} SELECT id, slot, round(scaled * keep, 6) AS scaled, round(above_quantile * keep, 6) AS above_quantile, round(above_median * keep, 6) AS above_median FROM p")
@@ -359,7 +359,7 @@ _SUBSTANCE, _STYLE = r"(?i)\bimplausible\b|\bimpossible\b|\bfabricat|\bmade.?up\
 
 @query("P09_content_order", f"WITH {_TELLS}, {_KEYED} SELECT id, slot, round(key, 6) AS key FROM q")
 def p09(spark, d):
-    return _drops(spark, d).select("id", "slot", F.round(X.content_key(F.col("scaled"), F.col("why"), _SUBSTANCE, _STYLE), 6).alias("key"))
+    return _drops(spark, d, "why").select("id", "slot", F.round(X.content_key(F.col("scaled"), F.col("why"), _SUBSTANCE, _STYLE), 6).alias("key"))
 
 
 _KEPT = f"{_KEYED}, m AS (SELECT id, count(*) AS n, least(1, greatest(0, avg(p) / 0.9)) AS gen FROM q GROUP BY id), t AS (SELECT id, n, least(2, n) AS lo, greatest(least(2, n), least(4, n)) AS hi, gen, ('0x' || substr(sha256('83|' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM m), k AS (SELECT id, lo, hi, lo + (hi - lo) * (1 - gen) AS tk, u FROM t), kk AS (SELECT id, greatest(lo, least(hi, floor(tk) + CASE WHEN u < tk - floor(tk) THEN 1 ELSE 0 END)) AS k FROM k), o AS (SELECT q.*, row_number() OVER (PARTITION BY id ORDER BY round(key, 9), slot) AS r FROM q)"
@@ -368,7 +368,7 @@ _KEPT = f"{_KEYED}, m AS (SELECT id, count(*) AS n, least(1, greatest(0, avg(p)
 @query("G27_kept_tells", f"WITH {_TELLS}, {_KEPT.replace('o AS (SELECT q.*', 'oo AS (SELECT q.*')} SELECT oo.id, slot, r <= k AS kept FROM oo JOIN kk USING (id)")
 def g27(spark, d):
     """How many tells a document keeps falls with how generic they are (rounded by a hash); those of substance and the least generic stay."""
-    rows = _drops(spark, d).select("id", "slot", F.col("scaled").alias("p"), X.content_key(F.col("scaled"), F.col("why"), _SUBSTANCE, _STYLE).alias("key"))
+    rows = _drops(spark, d, "why").select("id", "slot", F.col("scaled").alias("p"), X.content_key(F.col("scaled"), F.col("why"), _SUBSTANCE, _STYLE).alias("key"))
     return X.keep_most_specific(rows, "id", "slot", "p", "key", cap=0.9, least=2, most=4, seed=83).select("id", "slot", "kept")
 
 

@@ -118,3 +118,25 @@ def test_gram_model_ships_no_gram_of_a_text_and_equals_sql(spark, tmp_path):
         assert written() - before < 1_000_000
         want = con.sql(ORACLE[name])
         assert df.columns == want.columns and got == sorted(want.fetchall())
+
+
+def test_nearest_sets_of_a_large_bucket(spark, monkeypatch):
+    import math
+    import random
+
+    from quern.operators import textmine as X
+
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    spans = [" ".join(rng.choice(words[: rng.choice([20, 60])]) for _ in range(rng.choice([0, 1, 3, 7, 9, 12]))) for _ in range(1500)]
+    rows = [(i, "large" if i % 5 else "small" if i % 25 else f"b{i}", s) for i, s in enumerate(spans)]
+    monkeypatch.setattr(X, "TASK_SETS", 1000, raising=False)
+    df = X.span_genericity(spark.createDataFrame(rows, "id int, k string, span string"), ["id"], "k", "span", 0.5, 2)
+    assert "FlatMapGroupsInPandas" in df._jdf.queryExecution().toString()  # a large bucket's sets aren't joined with each other
+    got = {r["id"]: (r["n"], r["g"]) for r in df.collect()}
+    sets = {i: (k, set(s.split())) for i, k, s in rows}
+    for i, (k, x) in list(sets.items())[::4]:
+        others = [y for j, (q, y) in sets.items() if q == k and j != i]
+        best = max((1 if not x | y else len(x & y) / len(x | y) for y in others), default=0)
+        n = len(others) + 1
+        assert got[i][0] == n and abs(got[i][1] - math.log(1 + max(n, 2)) * (1 if n < 2 else 1 - 0.5 * best)) < 1e-12
